@@ -11,6 +11,7 @@ from importlib import import_module
 _MODULES = (
     "decontaminate",
     "shards",
+    "substrings",
     "bpe",
     "exact",
     "simhash",

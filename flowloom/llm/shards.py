@@ -4,6 +4,7 @@ others only into itself."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -89,7 +90,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
 
     @F.pandas_udf("int")
     def shard_of(ids):
-        return __import__("pandas").Series(jump_hash(np.array([stable_key(None if x != x else x) for x in ids], np.uint64), shards))
+        return pd.Series(jump_hash(np.array([stable_key(None if x != x else x) for x in ids], np.uint64), shards))
 
     docs.withColumn("shard", shard_of(F.col("doc_id").cast("string"))).write.partitionBy("shard").parquet(path)
 
