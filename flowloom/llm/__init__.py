@@ -10,6 +10,7 @@ from importlib import import_module
 
 _MODULES = (
     "decontaminate",
+    "secrets",
     "shards",
     "substrings",
     "bpe",
