@@ -12,6 +12,8 @@ _MODULES = (
     "decontaminate",
     "secrets",
     "shards",
+    "licenses",
+    "warc",
     "substrings",
     "bpe",
     "exact",
