@@ -9,6 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
+    "quality",
     "decontaminate",
     "secrets",
     "shards",
