@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, row: str = "row") -> DataFrame:
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least")
     of_root = linked.groupBy("root").agg(F.min("least").alias("best"))
     best = linked.select("fp", "root").join(of_root, "root").select("fp", "best")
-    per_print = distinct.join(best, "fp", "left").select(F.col("fp").alias("print"), F.coalesce("best", "least").alias("of"))
+    # stored, so that both sides of the last join are exchanges whose skewed partitions Spark can split
+    per_print = stored(distinct.join(best, "fp", "left").select(F.col("fp").alias("print"), F.coalesce("best", "least").alias("of")), "simhash-classes")
     return prints.join(per_print, F.col("fp") == F.col("print")).select(
         row,
         "doc_id",
