@@ -1 +1,9 @@
+"""Registered queries of the library: ``QUERIES`` by name and ``ORACLES``, their DuckDB SQL."""
 
+from __future__ import annotations
+
+from . import tagging
+
+_PARTS = (tagging,)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: f for part in _PARTS for name, f in part.ORACLES.items()}
