@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import tagging
+from . import flows, tagging
 
-_PARTS = (tagging,)
+_PARTS = (tagging, flows)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: f for part in _PARTS for name, f in part.ORACLES.items()}
