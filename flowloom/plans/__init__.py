@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import flows, tagging
+from . import flows, graph, tagging
 
-_PARTS = (tagging, flows)
+_PARTS = (tagging, flows, graph)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: f for part in _PARTS for name, f in part.ORACLES.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import joined
+from ..functions.shared import stored
 from ..operators import flows as ops
 from ..schemas import AND, XOR
 from . import fixtures as fx
@@ -33,8 +34,13 @@ def flat(flows, *more):
     return flows.select("doc_id", *more, pos("src"), F.col("src.kind").alias("src_kind"), pos("tgt"), F.col("tgt.kind").alias("tgt_kind"))
 
 
-def kind(spark, d, k):
-    return gateways(spark, d).filter(F.col("kind") == k).drop("kind")
+def base(spark, d):
+    """Gateways and activities, written once: the rules read them many times."""
+    return stored(gateways(spark, d), "gateways"), stored(activities(spark, d), "activities")
+
+
+def kind(gates, k):
+    return gates.filter(F.col("kind") == k).drop("kind")
 
 
 #: Neighbours as columns; rules as unions of edges.
@@ -97,9 +103,10 @@ def f1(spark, d):
 
 def rule(rel):
     def run(spark, d):
+        gates, acts = base(spark, d)
         if rel == "and":
-            return flat(ops.concurrent_flows(kind(spark, d, AND), activities(spark, d))[0])
-        return flat(ops.exclusive_flows(kind(spark, d, XOR), activities(spark, d), fx.PAIRS)[0].filter(F.col("rel") == rel))
+            return flat(ops.concurrent_flows(kind(gates, AND), acts)[0])
+        return flat(ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[0].filter(F.col("rel") == rel))
 
     return run
 
@@ -110,49 +117,50 @@ for _name, _rel in (("f2_pair_flows", "pair"), ("f3_or_flows", "or"), ("f4_singl
 
 @query("f2_same_gateways", sql(RULES, "SELECT doc_id, pos AS src, pos2 AS tgt FROM two", True))
 def f2_same(spark, d):
-    return flat(ops.exclusive_flows(kind(spark, d, XOR), activities(spark, d), fx.PAIRS)[2]).select("doc_id", "src", "tgt")
+    gates, acts = base(spark, d)
+    return flat(ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[2]).select("doc_id", "src", "tgt")
 
 
 @query("j4_frames", sql(RULES, "SELECT doc_id, rule, a, b FROM frame", True))
 def j4_frames(spark, d):
-    acts = activities(spark, d)
-    frames = ops.exclusive_flows(kind(spark, d, XOR), acts, fx.PAIRS)[1].unionAll(ops.concurrent_flows(kind(spark, d, AND), acts)[1])
+    gates, acts = base(spark, d)
+    frames = ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[1].unionAll(ops.concurrent_flows(kind(gates, AND), acts)[1])
     pos = lambda c, n: (F.col(f"{c}.s") * F.lit(1_000_000).cast("long") + F.col(f"{c}.t")).alias(n)
     return frames.select("doc_id", "rule", pos("start", "a"), pos("end", "b"))
 
 
 @query("j5_kept_defaults", sql(RULES, "SELECT doc_id, src, tgt FROM every EXCEPT SELECT doc_id, src, tgt FROM flow", True))
 def j5(spark, d):
-    acts = activities(spark, d)
-    gate = ops.exclusive_flows(kind(spark, d, XOR), acts, fx.PAIRS)[0].unionAll(ops.concurrent_flows(kind(spark, d, AND), acts)[0])
+    gates, acts = base(spark, d)
+    gate = ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[0].unionAll(ops.concurrent_flows(kind(gates, AND), acts)[0])
     return flat(ops.suppress_defaults(ops.default_flows(acts), gate)).select("doc_id", "src", "tgt")
 
 
 @query("f6_decided_pairs", sql(ENT, "SELECT doc_id, s, t, comment, CASE WHEN comment = 'score' AND (doc_id * 31 + s * 17 + t) % 100 > 50 THEN 1 ELSE 0 END AS joined FROM (SELECT *, CASE WHEN ns - s > 3 THEN 'distance' WHEN phrase = 'or' OR np = 'or' THEN 'or' ELSE 'score' END AS comment FROM (SELECT *, lead(s) OVER w AS ns, lead(phrase) OVER w AS np FROM gw WHERE kind = 'XOR Gateway' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE ns IS NOT NULL)"))
 def f6(spark, d):
-    xor = kind(spark, d, XOR)
+    xor = stored(kind(gateways(spark, d), XOR), "gateways")
     scores = xor.select("doc_id", "s", "t", (F.expr("(doc_id * 31 + s * 17 + t) % 100") / 100.0).alias("score"))
     return ops.decide_pairs(xor, scores).select("doc_id", "s", "t", "comment", "joined")
 
 
 @query("f7_merged_flows", sql(RULES, "SELECT doc_id, src, src_kind, tgt, tgt_kind FROM led", True))
 def f7(spark, d):
-    return flat(ops.document_flows(gateways(spark, d), activities(spark, d), fx.PAIRS)[0])
+    return flat(ops.document_flows(*base(spark, d), fx.PAIRS)[0])
 
 
 @query("f8_flow_counts", sql(RULES, "SELECT l.doc_id, count(*) AS n_flows, count(DISTINCT tgt) AS n_targets FROM led l GROUP BY 1", True))
 def f8(spark, d):
-    flows, _ = ops.document_flows(gateways(spark, d), activities(spark, d), fx.PAIRS)
+    flows, _ = ops.document_flows(*base(spark, d), fx.PAIRS)
     return flat(flows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_flows"), F.countDistinct("tgt").alias("n_targets"))
 
 
 @query("p4_gateway_flows", sql(RULES, "SELECT doc_id, src, tgt FROM led WHERE src_kind = 'XOR Gateway' OR tgt_kind = 'XOR Gateway'", True))
 def p4(spark, d):
-    return flat(ops.document_flows(gateways(spark, d), activities(spark, d), fx.PAIRS)[0]).filter((F.col("src_kind") == XOR) | (F.col("tgt_kind") == XOR)).select("doc_id", "src", "tgt")
+    return flat(ops.document_flows(*base(spark, d), fx.PAIRS)[0]).filter((F.col("src_kind") == XOR) | (F.col("tgt_kind") == XOR)).select("doc_id", "src", "tgt")
 
 
 @query("p7_benchmark_flows", sql(RULES, "SELECT l.doc_id, lower(a.words) AS source, lower(b.words) AS target, count(*) AS n FROM led l JOIN word a ON a.doc_id = l.doc_id AND a.pos = src JOIN word b ON b.doc_id = l.doc_id AND b.pos = tgt GROUP BY ALL", True))
 def p7(spark, d):
-    flows, _ = ops.document_flows(gateways(spark, d), activities(spark, d), fx.PAIRS)
+    flows, _ = ops.document_flows(*base(spark, d), fx.PAIRS)
     low = lambda c: F.lower(joined(f"{c}.tokens"))
     return flows.groupBy("doc_id", low("src").alias("source"), low("tgt").alias("target")).agg(F.count(F.lit(1)).alias("n"))
