@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import flows, graph, tagging
+from . import flows, gateways, graph, tagging
 
-_PARTS = (tagging, flows, graph)
+_PARTS = (tagging, flows, graph, gateways)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: f for part in _PARTS for name, f in part.ORACLES.items()}
