@@ -29,7 +29,7 @@ FEATURES = 2 * DIM + 1
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the non-zero entries of each slot's index vector."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, DIM, (SLOTS, NONZERO)), rng.choice([-1, 1], (SLOTS, NONZERO))
+    return rng.integers(0, DIM, (SLOTS, NONZERO)), rng.choice([-1.0, 1.0], (SLOTS, NONZERO))
 
 
 def _slots(data, offsets):
@@ -45,17 +45,14 @@ def context_sums(docs: DataFrame) -> DataFrame:
         place, sign = index_vectors()
         sums, seen = np.zeros(SLOTS * DIM), np.zeros(SLOTS, np.int64)
         for b in batches:
-            for _, data, offsets in slices(b.column(0), 1 << 22):
+            for _, data, offsets in slices(b.column(0)):
                 text, slot = _slots(data, offsets)
                 seen += np.bincount(slot, minlength=SLOTS)
-                cells, weights = [], []
                 for d in range(1, WINDOW + 1):
                     near = text[d:] == text[:-d]
                     left, right = slot[:-d][near], slot[d:][near]
                     for a, c in ((left, right), (right, left)):
-                        cells.append((a[:, None] * DIM + place[c]).ravel())
-                        weights.append(sign[c].ravel())
-                sums += np.bincount(np.concatenate(cells), np.concatenate(weights), SLOTS * DIM)
+                        sums += np.bincount((a[:, None] * DIM + place[c]).ravel(), sign[c].ravel(), SLOTS * DIM)
         used = np.flatnonzero(seen)
         flat = pa.array(sums.reshape(SLOTS, DIM)[used].astype(np.int64).astype(np.int32).ravel())
         columns = [pa.array(used), pa.array(seen[used]), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * DIM, pa.int32()), flat)]
