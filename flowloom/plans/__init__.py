@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluate, flows, gateways, graph, tagging
+from . import evaluate, flows, gateways, graph, tagging, trainset
 
-_PARTS = (tagging, flows, graph, gateways, evaluate)
+_PARTS = (tagging, flows, graph, gateways, evaluate, trainset)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: f for part in _PARTS for name, f in part.ORACLES.items()}
