@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, stored, table, text_or_empty, with_row
+from .common import ascii_lower, broadcast_if, fresh, stored, table, text_or_empty, with_row
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 #: Windows of a broadcast block (about 200 bytes each).
 BLOCK_WINDOWS = 100_000
+#: Contaminated rows are broadcast up to this count (16 MB), else the join shuffles.
+BROADCAST_ROWS = 2_000_000
 #: What separates words: everything of ASCII but digits and lower-case letters.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -85,8 +87,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     hits = judged(scan(docs, benchmark, size, row))
     rows = with_row(docs, row)
     if remove == "documents":
-        gone = hits.filter("contaminated").select(row)
-        return rows.join(gone, row, "left_anti").drop(row)
+        gone = stored(hits.filter("contaminated").select(row), "contaminated")
+        return rows.join(broadcast_if(gone, BROADCAST_ROWS), row, "left_anti").drop(row)
     mark = fresh(docs, "hits")
     hit = hits.filter("n_hit > 0").select(row, F.col("hits").alias(mark))
     clean = F.array_join(F.filter(words("text"), lambda w, i: ~F.exists(mark, lambda h: (i >= h.start) & (i < h.start + h.length))), " ")
