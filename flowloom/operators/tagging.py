@@ -99,3 +99,23 @@ def profile(texts: DataFrame, entities: DataFrame, relations: DataFrame) -> Data
 def mask_class(tokens_: DataFrame, label: str, tag: str = "ner_tag") -> DataFrame:
     """Adds ``y``: 1 where the tag ends with ``label``, else 0."""
     return tokens_.withColumn("y", F.when(F.endswith(tag, F.lit(label)), 1).otherwise(0))
+
+
+def filter_relations(relations: DataFrame, label: str | None = None, exclude: str | None = None, column: str = "relation_type") -> DataFrame:
+    """Relations of one label, or all but those of one; exactly one of the two must be given. Relations
+    without a label are neither kept by ``label`` nor lost by ``exclude``."""
+    if (label is None) == (exclude is None):
+        raise ValueError("give either label or exclude")
+    if label is not None:
+        return relations.filter(F.col(column) == label)
+    return relations.filter(~F.col(column).eqNullSafe(exclude))
+
+
+def select_documents(rows: DataFrame, listed: DataFrame | None = None, excluded: DataFrame | None = None, prefix: str | None = None) -> DataFrame:
+    """``rows`` of the documents that are ``listed``, not ``excluded`` (tables with ``doc_id``) and whose
+    id begins with ``prefix``; what is not given selects all."""
+    if listed is not None:
+        rows = rows.join(listed.select("doc_id"), "doc_id", "left_semi")
+    if excluded is not None:
+        rows = rows.join(excluded.select("doc_id"), "doc_id", "left_anti")
+    return rows if prefix is None else rows.filter(F.startswith(F.col("doc_id").cast("string"), F.lit(prefix)))

@@ -154,6 +154,46 @@ def padded(labels: Column, size: int = 350) -> Column:
     return F.slice(F.concat(labels, F.array_repeat(F.lit(0), size)), 1, size)
 
 
+def context_tags(pairs: DataFrame, sentences: DataFrame, c: int, size: int = 350) -> DataFrame:
+    """``doc_id, pair_id, labels``: padded context labels of sentences s1-c to s2+c of ``pairs``
+    (``doc_id, pair_id, s1, s2``)."""
+    s = sentences.select("doc_id", F.col("sentence_idx").alias("j"), context_labels(F.col("ner_tags")).alias("l"))
+    near = pairs.select("doc_id", "pair_id", F.explode(F.sequence(F.col("s1") - c, F.col("s2") + c)).alias("j"))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "l"))), lambda x: x["l"]))
+    return near.join(s, ["doc_id", "j"]).groupBy("doc_id", "pair_id").agg(padded(listed, size).alias("labels"))
+
+
+def synonym_variants(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``pairs`` (with ``sample1, sample2``) once for every choice of texts, as ``copy1, copy2``: null is
+    the original sentence, else the ``sample_id`` of one of its ``copies`` (with ``original_id``). Pairs
+    inside one sentence keep the first original, so each copy serves once."""
+    mine = copies.groupBy("original_id").agg(F.array_sort(F.collect_set("sample_id")).alias("ids"))
+    kind = copies.schema["sample_id"].dataType.simpleString()
+    options = lambda c: F.concat(F.array(F.lit(None).cast(kind)), F.coalesce(c, F.array().cast(f"array<{kind}>")))
+    both = pairs.join(mine.select(F.col("original_id").alias("sample1"), F.col("ids").alias("ids1")), "sample1", "left")
+    both = both.join(mine.select(F.col("original_id").alias("sample2"), F.col("ids").alias("ids2")), "sample2", "left")
+    first = F.when(F.col("sample1") == F.col("sample2"), F.array(F.lit(None).cast(kind))).otherwise(options(F.col("ids1")))
+    chosen = both.withColumn("copy1", F.explode(first)).withColumn("copy2", F.explode(options(F.col("ids2"))))
+    return chosen.drop("ids1", "ids2")
+
+
+def variant_contexts(variants: DataFrame, sentences: DataFrame, copies: DataFrame, c: int) -> DataFrame:
+    """``doc_id, pair_id, copy1, copy2, context``: sentences s1-c to s2+c of each of the variants
+    (``doc_id, pair_id, s1, s2, copy1, copy2``), its chosen copies in the place of their originals."""
+    key = ["doc_id", "pair_id", "copy1", "copy2"]
+    near = variants.select(*key, "s1", "s2", F.explode(F.sequence(F.col("s1") - c, F.col("s2") + c)).alias("j"))
+    chosen = F.when(F.col("j") == F.col("s2"), F.col("copy2")).when(F.col("j") == F.col("s1"), F.col("copy1"))
+    near = near.select(*key, "j", chosen.alias("chosen"))
+    s = sentences.select("doc_id", F.col("sentence_idx").alias("j"), F.array_join("tokens", " ").alias("line"))
+    other = copies.select(F.col("sample_id").alias("chosen"), F.array_join("tokens", " ").alias("line"))
+    # two joins, so that no task gets all places without a copy
+    own = near.filter("chosen IS NULL").join(s, ["doc_id", "j"]).select(*key, "j", "line")
+    swapped = near.filter("chosen IS NOT NULL").join(other, "chosen").select(*key, "j", "line")
+    lines = own.unionAll(swapped).select(*key, F.struct("j", "line").alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), " ")
+    return lines.groupBy(*key).agg(text.alias("context"))
+
+
 def features(rows: DataFrame, mode: str) -> DataFrame:
     """The columns of a feature mode, out of ``gram1, gram2, context, labels, i1, i2``."""
     modes = {

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import stored
 from ..operators import gateways as ops
+from ..operators import tagging
 from . import fixtures as fx
 from .fixtures import GRAPH, sql
 
@@ -162,3 +163,13 @@ def x12(spark, d):
 @query("x13_direct_labels", sql(GRAPH, "SELECT a.doc_id, a.idx AS a1, b.idx AS a2, 'directly_following' AS relation_type FROM node a JOIN node b ON a.doc_id = b.doc_id AND a.idx < b.idx"))
 def x13(spark, d):
     return ops.label_directly(j6(spark, d))
+
+
+@query("p5_relations_but_exclusive", sql(REL, "SELECT doc_id, a1, a2, relation_type FROM rel WHERE relation_type <> 'exclusive'"))
+def p5_exclude(spark, d):
+    return tagging.filter_relations(relations(spark, d), exclude="exclusive").select("doc_id", "a1", "a2", "relation_type")
+
+
+@query("p5_exclusive_relations", sql(REL, "SELECT doc_id, a1, a2 FROM rel WHERE relation_type = 'exclusive'"))
+def p5_keep(spark, d):
+    return tagging.filter_relations(relations(spark, d), label="exclusive").select("doc_id", "a1", "a2")

@@ -213,3 +213,10 @@ def j3(spark, d):
 def j3_multiple(spark, d):
     hit = neighbors.contradictory(gateways(spark, d).filter(F.col("kind") == XOR), fx.PAIRS, multiple=True)
     return hit.select("doc_id", "s", "t", F.col("n_s").alias("ns"), F.col("n_t").alias("nt"))
+
+
+@query("p6_selected_documents", sql(SENT, "SELECT doc_id, count(*) AS n_sentences FROM sentences WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1"))
+def p6(spark, d):
+    labels = fx.read(spark, d, "labels")
+    rows = tagging.select_documents(fx.corpus(spark, d), labels, labels.filter("toxic = 1"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))

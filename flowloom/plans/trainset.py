@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import stored
@@ -190,3 +191,66 @@ def j9(spark, d):
     gates = stored(gateways(spark, d).filter(F.col("kind") == XOR), "gateways")
     gold = adjacent(gates, None).filter("(s + t + n_s + n_t) % 3 = 0")
     return ops.pair_labels(gates, gold).select("doc_id", "s", "t", "label")
+
+
+VARIANTS = (
+    ENT
+    + """,
+syn(k, w, x) AS (VALUES ('XOR Gateway','or','otherwise'), ('XOR Gateway','or','else'), ('XOR Gateway','when','whenever'), ('AND Gateway','and','plus'), ('AND Gateway','with','alongside')),
+hit AS (SELECT DISTINCT doc_id, sentence_idx, k, w, x FROM tag JOIN syn ON low = w AND ner_tag LIKE '%' || k),
+body AS MATERIALIZED (SELECT doc_id, sentence_idx, array_to_string(tokens, ' ') AS b FROM sentences),
+opt AS MATERIALIZED (SELECT doc_id, sentence_idx, '' AS v, b FROM body UNION ALL
+  SELECT h.doc_id, h.sentence_idx, k || w || x, string_agg(CASE WHEN low = w AND ner_tag LIKE '%' || k THEN x ELSE token END, ' ' ORDER BY token_idx) FROM hit h JOIN tag t USING (doc_id, sentence_idx) GROUP BY h.doc_id, h.sentence_idx, k, w, x),
+pr AS (SELECT * FROM (SELECT doc_id, pos, s, lead(s) OVER (PARTITION BY doc_id ORDER BY pos) AS ns FROM gw WHERE kind = 'XOR Gateway') WHERE ns - s <= 1),
+variant AS MATERIALIZED (SELECT p.*, a.v AS v1, b.v AS v2, a.b AS b1, b.b AS b2 FROM pr p JOIN opt a ON a.doc_id = p.doc_id AND a.sentence_idx = s JOIN opt b ON b.doc_id = p.doc_id AND b.sentence_idx = ns WHERE s <> ns OR a.v = '')"""
+)
+
+
+@query("j12_synonym_contexts", sql(VARIANTS, "SELECT p.doc_id, pos AS pair_id, md5(string_agg(CASE WHEN x.sentence_idx = ns THEN b2 WHEN x.sentence_idx = s THEN b1 ELSE b END, ' ' ORDER BY x.sentence_idx)) AS context FROM variant p JOIN body x ON x.doc_id = p.doc_id AND x.sentence_idx BETWEEN s - 1 AND ns + 1 GROUP BY p.doc_id, pos, v1, v2"))
+def j12(spark, d):
+    from ..operators.neighbors import adjacent
+
+    near = adjacent(gateways(spark, d).filter(F.col("kind") == XOR))
+    sample = lambda s: F.col("doc_id") * 100_000 + F.col(s)
+    pairs = near.select("doc_id", (F.col("s") * F.lit(1_000_000).cast("long") + F.col("t")).alias("pair_id"), F.col("s").alias("s1"), F.col("n_s").alias("s2"), sample("s").alias("sample1"), sample("n_s").alias("sample2"))
+    made = stored(copies(spark, d).select("original_id", "sample_id", "tokens"), "copies")
+    variants = ops.synonym_variants(pairs, made)
+    return ops.variant_contexts(variants, fx.corpus(spark, d), made, 1).select("doc_id", "pair_id", F.md5("context").alias("context"))
+
+
+FEATURES = (
+    DT
+    + """,
+xg AS MATERIALIZED (SELECT doc_id, di, sentence_idx AS s, lead(di) OVER w AS ndi, lead(sentence_idx) OVER w AS ns FROM dt WHERE ner_tag = 'B-XOR Gateway' WINDOW w AS (PARTITION BY doc_id ORDER BY di)),
+gram AS MATERIALIZED (SELECT a.doc_id, a.di, string_agg(b.token, ' ' ORDER BY b.di) AS gram FROM dt a JOIN dt b ON b.doc_id = a.doc_id AND b.di BETWEEN a.di - 3 AND a.di + 3 + CASE WHEN a.more THEN 1 ELSE 0 END WHERE a.ner_tag = 'B-XOR Gateway' GROUP BY 1, 2),
+pr AS MATERIALIZED (SELECT * FROM xg WHERE ns - s <= 1),
+ctx AS MATERIALIZED (SELECT p.doc_id, p.di, string_agg(x.token, ' ' ORDER BY x.di) AS context, array_to_string(list_resize(list(CASE WHEN x.ner_tag LIKE '%Activity' THEN 2 ELSE 1 END ORDER BY x.di), 350, 0), ',') AS labels FROM pr p JOIN dt x ON x.doc_id = p.doc_id AND x.sentence_idx BETWEEN s - 1 AND ns + 1 GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT p.doc_id, p.di AS pair_id, a.gram AS g1, b.gram AS g2, context, labels, p.di AS i1, p.ndi AS i2 FROM pr p JOIN gram a ON a.doc_id = p.doc_id AND a.di = p.di JOIN gram b ON b.doc_id = p.doc_id AND b.di = p.ndi JOIN ctx c ON c.doc_id = p.doc_id AND c.di = p.di)"""
+)
+MODES = {
+    "n_gram": "g1, g2",
+    "context_n_gram": "context, g1, g2",
+    "context_index": "context, i1, i2",
+    "context_labels_n_gram": "labels, g1, g2",
+    "context_text_and_labels_n_gram": "context, labels, g1, g2",
+}
+
+
+@query("t14_feature_modes", sql(FEATURES, " UNION ALL ".join(f"SELECT doc_id, pair_id, '{m}' AS mode, md5(concat_ws('|', {c})) AS features FROM f" for m, c in MODES.items())))
+def t14(spark, d):
+    places, toks = spans(spark, d)
+    grams = stored(ops.n_grams(places, toks, 3), "grams")
+    w = Window.partitionBy("doc_id").orderBy("i1")
+    heads = toks.filter("ner_tag = 'B-XOR Gateway'").select("doc_id", F.col("doc_token_idx").cast("long").alias("i1"), F.col("sentence_idx").alias("s1"))
+    pairs = heads.select("*", F.lead("i1").over(w).alias("i2"), F.lead("s1").over(w).alias("s2")).filter("s2 - s1 <= 1").withColumn("pair_id", F.col("i1"))
+    pairs, sents = stored(pairs, "pairs"), fx.tagged(spark, d)
+    rows = pairs.join(ops.contexts(pairs, sents, 1), ["doc_id", "pair_id"]).join(ops.context_tags(pairs, sents, 1), ["doc_id", "pair_id"])
+    for k in ("1", "2"):
+        rows = rows.join(grams.select("doc_id", F.col("i").cast("long").alias(f"i{k}"), F.col("gram").alias(f"gram{k}")), ["doc_id", f"i{k}"])
+    rows, out = stored(rows, "features"), None
+    for mode in MODES:
+        made = ops.features(rows, mode)
+        shown = [F.array_join(c, ",") if c == "labels" else F.col(c) for c in made.columns[2:]]
+        part = made.select("doc_id", "pair_id", F.lit(mode).alias("mode"), F.md5(F.concat_ws("|", *shown)).alias("features"))
+        out = part if out is None else out.unionAll(part)
+    return out

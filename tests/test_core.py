@@ -213,3 +213,30 @@ def test_entry_and_oracles():
 def test_position_text(spark):
     row = spark.createDataFrame([(1, 2, ["a"], "Activity")], "sentence_idx int, token_idx int, tokens array<string>, entity_type string").select(at(F.struct("*")).alias("x")).first()
     assert row.x == "1:2"
+
+
+def test_relation_filter_and_document_selection(spark):
+    rel = spark.createDataFrame([("a1", "x"), ("b1", "y"), ("b1", None)], "doc_id string, relation_type string")
+    kinds = lambda df: sorted((r.relation_type or "") for r in df.collect())
+    assert kinds(tagging.filter_relations(rel, label="x")) == ["x"]
+    assert kinds(tagging.filter_relations(rel, exclude="x")) == ["", "y"]
+    for given in ({}, {"label": "x", "exclude": "y"}):
+        with pytest.raises(ValueError):
+            tagging.filter_relations(rel, **given)
+    one = spark.createDataFrame([("a1",)], "doc_id string")
+    assert kinds(tagging.select_documents(rel, listed=one)) == ["x"]
+    assert kinds(tagging.select_documents(rel, excluded=one)) == ["", "y"]
+    assert kinds(tagging.select_documents(rel, prefix="b")) == ["", "y"]
+    assert tagging.select_documents(rel).count() == 3
+
+
+def test_synonym_variants(spark):
+    copies = spark.createDataFrame([(0, 500, ["x"]), (0, 501, ["y"]), (1, 502, ["z"])], "original_id long, sample_id long, tokens array<string>")
+    pairs = spark.createDataFrame([(7, 1, 0, 1, 0, 1), (7, 2, 0, 0, 0, 0), (7, 3, 2, 2, 2, 2)], "doc_id int, pair_id int, s1 int, s2 int, sample1 long, sample2 long")
+    variants = trainset.synonym_variants(pairs, copies)
+    sents = spark.createDataFrame([(7, 0, ["a"]), (7, 1, ["b"]), (7, 2, ["c"])], "doc_id int, sentence_idx int, tokens array<string>")
+    texts: dict = {}
+    for r in trainset.variant_contexts(variants, sents, copies, 0).collect():
+        texts.setdefault(r.pair_id, []).append(r.context)
+    assert {k: sorted(v) for k, v in texts.items()} == {1: ["a b", "a z", "x b", "x z", "y b", "y z"], 2: ["a", "x", "y"], 3: ["c"]}
+    assert trainset.synonym_variants(pairs, copies.limit(0)).count() == 3
