@@ -25,9 +25,16 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores by ``key`` where the table has fewer files than cores; a table of many
+    files stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id, sentence_idx, tokens``."""
-    docs = read(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_idx", "sentence"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_idx", "sentence"))
     return docs.select("doc_id", "sentence_idx", tokens(F.col("sentence")).alias("tokens"))
 
 
