@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +46,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` if it reads Parquet files, whose rows have a place of their own; else a stored copy."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return stored(df, "rows")
+    return df
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of a table scan. Equal scans of the same files give equal numbers, so two
-    passes over one table can meet on this column even where ids repeat or are null."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows of a scan of Parquet files by file and place in the file, so two passes over
+    one table can meet on this column even where ids repeat or are null, however each is split into
+    tasks. What reads no Parquet is stored first: for two passes, start both from ``scanned``."""
+    df = scanned(df)
+    place = F.col("_metadata.row_index")
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    if len(files) < 2:
+        return df.withColumn(name, place)
+    path, number = fresh(df, "file_path"), fresh(df, "file_number")
+    numbers = df.sparkSession.range(1).select(F.posexplode(F.lit(files)).alias(number, path))
+    at = df.select("*", F.col("_metadata.file_path").alias(path), place.alias(name)).join(F.broadcast(numbers), path)
+    return at.withColumn(name, F.shiftleft(F.col(number).cast("long"), 40).bitwiseOR(F.col(name))).drop(path, number)
 
 
 def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if, fresh, stored, table, text_or_empty, with_row
+from .common import ascii_lower, broadcast_if, fresh, scanned, stored, table, text_or_empty, with_row
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -83,7 +83,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    row = fresh(docs, "row")
+    docs, row = scanned(docs), fresh(docs, "row")
     hits = judged(scan(docs, benchmark, size, row))
     rows = with_row(docs, row)
     if remove == "documents":

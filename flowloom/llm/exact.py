@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, fresh, stored, table, text_or_empty, with_row
+from .common import broadcast_if, fresh, scanned, stored, table, text_or_empty, with_row
 
 #: A quotient range holds about so many rows.
 ROWS_PER_RANGE = 500_000
@@ -155,7 +155,7 @@ def exact_duplicates(docs: DataFrame, row: str = "row") -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the rows that :func:`exact_duplicates` drops."""
-    row = fresh(docs, "row")
+    docs, row = scanned(docs), fresh(docs, "row")
     gone = stored(exact_duplicates(docs, row).filter(~F.col("kept")).select(row), "exact-dropped")
     return with_row(docs, row).join(broadcast_if(gone, BROADCAST_FINGERPRINTS), row, "left_anti").drop(row)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, fresh, stored, table, with_row
+from .common import broadcast_if, fresh, scanned, stored, table, with_row
 from .kernels import slices, tokens
 
 SLOTS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
@@ -191,7 +191,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network | float], ke
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the rows that the classifier predicts as 0."""
-    row = fresh(docs, "row")
+    docs, row = scanned(docs), fresh(docs, "row")
     numbered = with_row(docs, row)
     low = score_quality(numbered.select(row, "text"), fit(docs, labels), (row,)).filter("predicted = 0").select(row)
     return numbered.join(broadcast_if(stored(low, "quality-low"), 2_000_000), row, "left_anti").drop(row)

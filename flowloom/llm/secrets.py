@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table, text_or_empty, with_row
+from .common import fresh, scanned, stored, table, text_or_empty, with_row
 
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Greedy runs of one class: asking for the least length here finds the same as dropping short runs.
@@ -164,7 +164,7 @@ def find_secrets(docs: DataFrame, row: str = "row") -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "*") -> DataFrame:
     """``docs`` with all its columns and every span's characters in ``text`` replaced by ``mask``."""
-    row, spans_ = fresh(docs, "row"), fresh(docs, "spans")
+    docs, row, spans_ = scanned(docs), fresh(docs, "row"), fresh(docs, "spans")
     hits = find_secrets(docs.select("doc_id", "text"), row).filter(F.size("spans") > 0).select(row, F.col("spans").alias(spans_))
     hidden = F.array_join(F.transform(F.split("text", ""), lambda c, i: F.when(F.exists(spans_, lambda s: (i >= s["start"]) & (i < s["end"])), mask).otherwise(c)), "")
     return with_row(docs, row).join(hits, row, "left").withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(hidden)).drop(row, spans_)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, fresh, stored, table, with_row
+from .common import broadcast_if, fresh, scanned, stored, table, with_row
 
 RADIUS = 2
 WIDTH = 3
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, row: str = "row") -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, one row (the smallest doc_id) of each class."""
-    row = fresh(docs, "row")
+    docs, row = scanned(docs), fresh(docs, "row")
     gone = stored(near_duplicates(docs, row).filter(~F.col("first")).select(row), "simhash-dropped")
     return with_row(docs, row).join(broadcast_if(gone, 2 * BROADCAST_ROWS), row, "left_anti").drop(row)
 

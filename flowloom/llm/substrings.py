@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, fresh, stored, table, with_row
+from .common import broadcast_if, fresh, scanned, stored, table, with_row
 from .kernels import blank_separated, grams, slices, sliding_min
 
 WINDOW, ANCHOR = 13, 6
@@ -288,6 +288,7 @@ def repeats(docs: DataFrame, row: str = "row") -> tuple[DataFrame, DataFrame]:
     it also starts in a document with a smaller doc_id; a null id is larger than all others, rows
     that repeat an id are one document's. Null texts have no words.
     """
+    docs = scanned(docs)
     known = stored(facts(docs, row), "phrase-facts")
     of = F.coalesce("doc_id", F.lit(LAST))
     firsts = stored(known.filter(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min(of).alias("smallest"), F.max(of).alias("largest")).filter("smallest < largest"), "phrase-copies").select("sha", "smallest")
@@ -322,6 +323,7 @@ def kept_words(text: str | None, ranges) -> list[bytes]:
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns; texts that lose words become their kept words, space-joined."""
+    docs = scanned(docs)
     row, ranges, copy = fresh(docs, "row"), fresh(docs, "ranges"), fresh(docs, "copy")
     rows, marks = repeats(docs, row)
 
