@@ -15,8 +15,8 @@ from flowloom.llm.bpe import VOCABULARY, bpe_encode
 from flowloom.llm.common import shared_dir, table
 from flowloom.llm.decontaminate import decontaminate
 from flowloom.llm.exact import drop_exact_duplicates
+from flowloom.llm.overlap import drop_near_copies
 from flowloom.llm.quality import drop_low_quality
-from flowloom.llm.simhash import drop_near_duplicates
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
