@@ -8,6 +8,8 @@ identifiers are used up. Known sentences that no rule takes are reported as unma
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +86,9 @@ RULES = (
 #: Ends of sentences: a full stop, question or exclamation mark or semicolon before a blank, or a
 #: line break. The point of a version number ends none.
 ENDS = "[.!?;][\\x20\\x09-\\x0D]+|[.!?;]$|[\\x0A-\\x0D]+"
-#: Sentences that wrap over lines are also looked up joined, up to this many lines.
-WRAPPED = 12
+#: Sentences that wrap over lines are also looked up joined. None spans more lines than it has words;
+#: this is the most words of the fixed table, and a scan takes the bound of each opening from its own.
+WRAPPED = max(len(re.findall("[A-Za-z0-9.]+", s)) for group in SENTENCES.values() for s in group)
 
 
 def normal(sentence: Column) -> Column:
@@ -107,14 +110,14 @@ def identifiers(docs: DataFrame, known: DataFrame, row: str = "row") -> DataFram
     longest known form from a place counting. Only places whose first two words open a known
     sentence go on. ``known`` is a table of rules, not of data, and is broadcast.
     """
-    openings = F.broadcast(known.select(F.substring_index("norm", " ", 1).alias("first"), F.substring_index("norm", " ", 2).alias("opening")).distinct())
+    openings = F.broadcast(known.select(F.substring_index("norm", " ", 1).alias("first"), F.substring_index("norm", " ", 2).alias("opening"), F.size(F.split("norm", " ")).alias("most")).groupBy("first", "opening").agg(F.max("most").alias("most")))
     rows = with_row(docs.select("doc_id", text_or_empty("text").alias("text")), row)
     parts = F.filter(F.transform(F.split("text", ENDS), normal), lambda x: x != "")
     stream = rows.select(row, "doc_id", parts.alias("parts")).select(row, "doc_id", "parts", F.posexplode_outer("parts").alias("place", "part"))
     opens = (F.substring_index("part", " ", 1) == F.col("first")) & F.startswith(F.concat_ws(" ", "part", F.get("parts", F.col("place") + 1)), F.col("opening"))
     opened = stream.join(openings, opens, "left").filter("place IS NULL OR place = 0 OR opening IS NOT NULL")
     forms = F.when(F.col("opening").isNull(), F.array(F.struct(F.lit(0).alias("lines"), F.lit(None).cast("string").alias("form")))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.least(F.lit(WRAPPED), F.size("parts") - F.col("place"))), lambda n: F.struct(n.alias("lines"), F.array_join(F.slice("parts", F.col("place") + 1, n), " ").alias("form")))
+        F.transform(F.sequence(F.lit(1), F.least(F.col("most"), F.size("parts") - F.col("place"))), lambda n: F.struct(n.alias("lines"), F.array_join(F.slice("parts", F.col("place") + 1, n), " ").alias("form")))
     )
     met = opened.select(row, "doc_id", "place", F.explode(forms).alias("f")).select(row, "doc_id", "place", "f.lines", "f.form")
     met = met.join(F.broadcast(known), met.form == known.norm, "left").filter("sentence_id IS NOT NULL OR lines <= 1")

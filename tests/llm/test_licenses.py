@@ -67,3 +67,9 @@ def test_against_plain_python(docs, odd_rows):
     by_id = {w[0]: w[2] for w in want}
     assert by_id["102"] == by_id["103"] == ["MIT"] and by_id["104"] == ["BSD-3-Clause"] and by_id["105"] == ["BSD-2-Clause"] and by_id["106"] == []
     assert scan_licenses(docs([])).count() == 0
+
+
+def test_one_word_a_line(docs):
+    full = lambda *ids: ". ".join(SENTENCES[i][0] for i in ids) + "."
+    rows = [(1, wrap(full("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), 1)), (2, wrap(full("gpl-free-3", "gpl-hope", "gpl-see"), 2))]
+    assert {r.doc_id: r.licenses for r in scan_licenses(docs(rows)).collect()} == {1: ["MIT"], 2: ["GPL-3.0-or-later"]}
