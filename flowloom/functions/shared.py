@@ -21,7 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet and read back, for inputs that a plan uses many times and for the
-    rounds of closures: lineage ends there."""
+    rounds of closures: lineage ends there, and work done before survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/flowloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that no later action reads; others are left alone."""
+    for df in tables:
+        path = df.__dict__.get("stored_path")
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
