@@ -8,11 +8,12 @@ anchors and neighbours mostly share one.
    copy has the same windows and a smaller id.
 2. Anchors are counted over all documents. Windows under an anchor of one document can't recur.
 3. Documents stream again; the stretches of windows whose anchor recurs go to the anchor's shard.
-   A bounded Bloom filter of recurring anchors keeps the rest back; a false hit costs a row, no more.
+   A Bloom filter of the recurring anchors keeps the rest back; a false hit costs a row, no more.
+   With more anchors than the filter is good for, stretches meet the anchors in a join instead.
 4. A shard confirms the recurring windows on the words themselves, compiles them into an
    Aho-Corasick automaton over words, and runs it over its stretches to locate every occurrence.
-   Anchors with very many stretches are split: parts report their windows, the reports merge by
-   window, and each part's automaton holds the phrases that the merge confirmed.
+   Anchors of more than ``HOT`` stretches are split: parts report their windows, the reports merge
+   by window, and a part's automaton holds those of its own windows that the merge confirmed.
 5. Located words are taken out of the documents that have any.
 """
 
@@ -27,23 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, fresh, scanned, stored, table, with_row
+from .common import broadcast_if, discard, fresh, scanned, stored, table, text_or_empty, with_row
 from .kernels import blank_separated, grams, slices, sliding_min
 
 WINDOW, ANCHOR = 13, 6
 #: Most windows in one stretch; longer runs continue in the next.
 STRETCH = 64
-#: An anchor with more stretches than this, and than a ten-thousandth of all, is split (so at most
-#: 10,000 anchors are).
-HOT = 2_000
-#: Bits of the Bloom filter of recurring anchors: 16 for each, at most 32 MB in all.
-FILTER_BITS = 1 << 28
-#: Stretches compiled into one automaton, as far as whole anchors allow.
-UNIT = 20_000
+#: An anchor with more stretches than this is split into 8, 64, ... parts of at most about so many.
+HOT = 1_000
+#: Most bits of the Bloom filter of recurring anchors (32 MB), and the least for each anchor.
+FILTER_BITS, BITS_EACH = 1 << 28, 8
+#: Bytes of stretches compiled into one automaton, as far as whole anchors allow.
+UNIT = 1 << 19
 BROADCAST_ROWS = 1_000_000
 #: Stands for a null doc_id: no id is larger.
 LAST = (1 << 63) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -52,14 +53,10 @@ def split_words(text: str | None) -> list[bytes]:
 
 def facts(docs: DataFrame, row: str) -> DataFrame:
     """``row, doc_id, n_words, sha``: word count and digest of the space-joined words."""
-
-    def run(batches):
-        for b in batches:
-            split = [split_words(t.as_py()) for t in b.column(2)]
-            sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in split], pa.int64()), pa.array(sha, pa.string())], names=[row, "doc_id", "n_words", "sha"])
-
-    return with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), row).select(row, "doc_id", "text").mapInArrow(run, f"`{row}` long, doc_id long, n_words long, sha string")
+    joined = F.trim(F.regexp_replace(text_or_empty("text"), BLANKS, " "))
+    rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), joined.alias("words")), row)
+    n = F.when(F.col("words") == "", F.lit(0)).otherwise(F.size(F.split("words", " ")))
+    return rows.select(row, "doc_id", n.cast("long").alias("n_words"), F.sha2("words", 256).alias("sha"))
 
 
 def _windows(data, offsets):
@@ -71,23 +68,26 @@ def _windows(data, offsets):
 
 
 def anchor_counts(rows: DataFrame) -> DataFrame:
-    """``anchor, n``: in how many rows each anchor stands."""
+    """``anchor, parts``: the anchors that stand in several rows, and in how many parts the stretches
+    of each are compared."""
 
     def run(batches):
         for b in batches:
             found = []
-            for _, data, offsets in slices(b.column(1)):
-                text, at, anchor = _windows(data, offsets)
-                of = text[at]
-                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])]) if len(at) else at
-                anchor, of = anchor[new], of[new]
+            for first, data, offsets in slices(b.column(1)):
+                anchor, of, _, _ = _runs(data, offsets)
                 order = np.lexsort((of, anchor))
-                anchor, of = anchor[order], of[order]
-                found.append(anchor[np.r_[True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])]] if len(at) else anchor)
-            values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["anchor", "n"])
+                found.append(np.stack([anchor[order].view(np.int64), first + of[order]]))
+            anchor, of = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            order = np.lexsort((of, anchor))
+            anchor, of = anchor[order], of[order]
+            start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else anchor
+            texts = np.add.reduceat(np.r_[True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])].astype(np.int64), start) if len(anchor) else anchor
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor[start], texts, np.diff(np.r_[start, len(anchor)])))], names=["anchor", "texts", "runs"])
 
-    return rows.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(run, "anchor long, texts long, runs long").groupBy("anchor").agg(F.sum("texts").alias("texts"), F.sum("runs").alias("runs"))
+    tier = F.ceil(F.log(F.col("runs") / HOT) / float(np.log(8)) - 1e-9)
+    return counts.filter("texts > 1").select("anchor", F.when(F.col("runs") > HOT, F.pow(F.lit(8.0), tier)).otherwise(1).cast("long").alias("parts"))
 
 
 def bloom(anchors: DataFrame, count: int) -> np.ndarray:
@@ -108,48 +108,95 @@ def bloom(anchors: DataFrame, count: int) -> np.ndarray:
     return out.ravel()
 
 
-def stretches(rows: DataFrame, row: str, bitmap: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """``anchor, split, row, doc_id, at, body``: runs of windows of one anchor that may recur, as
-    their space-joined words from word ``at`` on; ``split`` tells that the anchor is hot."""
-    sc = rows.sparkSession.sparkContext
-    held = sc.broadcast((bitmap, hot))
-    names = ["anchor", "split", row, "doc_id", "at", "body"]
+def _runs(data, offsets, bitmap=None):
+    """``anchor, text, first word, windows`` of the runs of windows of one anchor, cut at
+    ``STRETCH``; with a bitmap only of those whose anchor may be in it. Words count within a text."""
+    text, at, anchor = _windows(data, offsets)
+    if bitmap is not None:
+        maybe = _in(bitmap, anchor)
+        at, anchor = at[maybe], anchor[maybe]
+    if not len(at):
+        return anchor, at, at, at
+    start = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])])
+    length = np.diff(np.r_[start, len(at)])
+    pieces = -(-length // STRETCH)
+    inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(start, pieces) + inside * STRETCH
+    size = np.minimum(STRETCH, np.repeat(length, pieces) - inside * STRETCH)
+    word, of = at[begin], text[at[begin]]
+    return anchor[begin], of, word - np.searchsorted(text, np.arange(len(offsets)))[of], size
+
+
+def _bodies(data, offsets, of, word, size) -> list[bytes]:
+    """The space-joined words of stretches; those of one text stand together."""
+    out, known, words = [], None, []
+    for k, w, n in zip(of.tolist(), word.tolist(), size.tolist()):
+        if k != known:
+            known, words = k, data[offsets[k] : offsets[k + 1]].tobytes().split()
+        out.append(b" ".join(words[w : w + n + WINDOW - 1]))
+    return out
+
+
+def _in(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    bit = (anchor & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+def stretches(rows: DataFrame, row: str, anchors: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """``anchor, parts, row, doc_id, at, body``: runs of windows of one anchor that may recur, as
+    their space-joined words from word ``at`` on. Each number of parts (``sizes``: how many anchors
+    have it) has a filter of its own; an anchor that several let through takes the most parts."""
+    every = bloom(anchors, sum(sizes.values()))
+    tiers = [(n, bloom(anchors.filter(F.col("parts") == n), sizes[n])) for n in sorted(sizes) if n > 1]
+    held = rows.sparkSession.sparkContext.broadcast((every, tiers))
 
     def run(batches):
-        bitmap, hot = held.value
-        mask = np.uint64(8 * len(bitmap) - 1)
         for b in batches:
-            numbers, ids, texts = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
-            out: list[tuple] = []
-            for first, data, offsets in slices(texts):
-                text, at, anchor = _windows(data, offsets)
-                bit = (anchor & mask).astype(np.int64)
-                maybe = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-                at, anchor = at[maybe], anchor[maybe]
-                if not len(at):
-                    continue
-                start = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])])
-                length = np.diff(np.r_[start, len(at)])
-                pieces = -(-length // STRETCH)
-                inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                begin = np.repeat(start, pieces) + inside * STRETCH
-                size = np.minimum(STRETCH, np.repeat(length, pieces) - inside * STRETCH)
-                word0 = at[begin]
-                of = text[word0]
-                first_word = np.searchsorted(text, np.arange(len(offsets)))
-                known = None
-                for k, w, n, a in zip(of.tolist(), (word0 - first_word[of]).tolist(), size.tolist(), anchor[begin].tolist()):
-                    if k != known:
-                        known, words = k, data[offsets[k] : offsets[k + 1]].tobytes().split()
-                    out.append((a, first + k, w, b" ".join(words[w : w + n + WINDOW - 1])))
-            if out:
-                a, k, w, body = zip(*out)
-                a, k = np.array(a, np.uint64), np.array(k)
-                split = np.isin(a, hot)
-                columns = [pa.array(a.view(np.int64)), pa.array(split), pa.array(numbers[k]), pa.array(ids[k]), pa.array(w, pa.int64()), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.mapInArrow(run, f"anchor long, split boolean, `{row}` long, doc_id long, at long, body binary")
+            numbers, ids = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            for first, data, offsets in slices(b.column(2)):
+                anchor, of, word, size = _runs(data, offsets, held.value[0])
+                parts = np.ones(len(of), np.int64)
+                for n, bitmap in held.value[1]:
+                    parts[_in(bitmap, anchor)] = n
+                if len(of):
+                    columns = [anchor.view(np.int64), parts, numbers[first + of], ids[first + of], word]
+                    body = pa.array(_bodies(data, offsets, of, word, size), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), body], names=["anchor", "parts", row, "doc_id", "at", "body"])
+
+    return rows.mapInArrow(run, f"anchor long, parts long, `{row}` long, doc_id long, at long, body binary")
+
+
+def joined_stretches(rows: DataFrame, row: str, anchors: DataFrame) -> DataFrame:
+    """The same by a join, whatever the number of anchors: places of runs meet the anchors first,
+    and only documents with a run that stays are read for its words."""
+
+    def places(batches):
+        for b in batches:
+            numbers = b.column(0).to_numpy()
+            for first, data, offsets in slices(b.column(1)):
+                anchor, of, word, size = _runs(data, offsets)
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor.view(np.int64), numbers[first + of], word, size))], names=["anchor", row, "at", "n"])
+
+    def cut(batches):
+        for b in batches:
+            runs = b.column(3)
+            count = np.diff(runs.offsets.to_numpy())
+            of = np.repeat(np.arange(len(b)), count)
+            anchor, parts, at, n = (x.to_numpy() for x in runs.flatten().flatten())
+            numbers, ids = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            for first, data, offsets in slices(b.column(2)):
+                mine = slice(*np.searchsorted(of, [first, first + len(offsets) - 1]))
+                o = of[mine]
+                if len(o):
+                    columns = [anchor[mine], parts[mine], numbers[o], ids[o], at[mine]]
+                    body = pa.array(_bodies(data, offsets, o - first, at[mine], n[mine]), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), body], names=["anchor", "parts", row, "doc_id", "at", "body"])
+
+    runs = rows.select(row, "text").mapInArrow(places, f"anchor long, `{row}` long, at long, n long")
+    kept = runs.join(anchors.hint("merge"), "anchor")
+    of_row = kept.groupBy(row).agg(F.collect_list(F.struct("anchor", "parts", "at", "n")).alias("runs"))
+    return rows.join(of_row.hint("merge"), row).select(row, "doc_id", "text", "runs").mapInArrow(cut, f"anchor long, parts long, `{row}` long, doc_id long, at long, body binary")
 
 
 class _Alphabet(dict):
@@ -166,20 +213,19 @@ def _as_strings(bodies) -> list[str]:
     return ["".join(map(letter, b.split(b" "))) for b in bodies]
 
 
-def _ends(strings, ids) -> dict[str, list[int]]:
-    """Smallest and largest id of each window."""
-    ends: dict[str, list[int]] = {}
+def _recurring(strings, ids) -> dict[str, int]:
+    """The windows that stand under several ids, with the smallest."""
+    low: dict[str, int] = {}
+    several: set[str] = set()
     for s, i in zip(strings, ids):
         for k in range(len(s) - WINDOW + 1):
             w = s[k : k + WINDOW]
-            e = ends.get(w)
-            if e is None:
-                ends[w] = [i, i]
-            elif i < e[0]:
-                e[0] = i
-            elif i > e[1]:
-                e[1] = i
-    return ends
+            least = low.setdefault(w, i)
+            if i != least:
+                several.add(w)
+                if i < least:
+                    low[w] = i
+    return {w: low[w] for w in several}
 
 
 def _locate(phrases: dict[str, int], strings, ids, rows, ats, row: str) -> pa.RecordBatch:
@@ -206,76 +252,71 @@ def _locate(phrases: dict[str, int], strings, ids, rows, ats, row: str) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=[row, "begin", "stop"])
 
 
-def _units(batches, key_columns: int, size: int = UNIT):
-    """Regroup sorted batches into tables of whole keys with about ``size`` rows."""
+def _units(batches, key_columns: int):
+    """Regroup sorted batches into tables of whole keys with about ``UNIT`` bytes of bodies."""
     held: list[pa.RecordBatch] = []
     n = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        n += b.num_rows
-        if n < size:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        keys = np.stack([t.column(i).to_numpy() for i in range(key_columns)])
-        other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            yield t.slice(0, cut)
-        held, n = t.slice(cut).to_batches(), t.num_rows - cut
-    if n:
+    for batch in batches:
+        step = max(1, UNIT * batch.num_rows // max(1, batch.nbytes))
+        for first in range(0, batch.num_rows, step):
+            b = batch.slice(first, step)
+            held.append(b)
+            n += b.nbytes
+            if n < UNIT:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([t.column(i).to_numpy() for i in range(key_columns)])
+            other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), t.slice(cut).nbytes
+    if held:
         yield pa.Table.from_batches(held)
 
 
-def _columns(t: pa.Table):
-    return _as_strings(t.column("body").to_pylist()), t.column("doc_id").to_pylist()
-
-
-def located(found: DataFrame, row: str, hot: bool) -> DataFrame:
-    """``row, begin, stop``: every range of words to take out, from stretches."""
+def located(found: DataFrame, row: str, split: bool) -> DataFrame:
+    """``row, begin, stop``: every range of words to take out, from stored stretches."""
 
     def shard(batches):
         for t in _units(batches, 1):
-            strings, ids = _columns(t)
-            phrases = {w: e[0] for w, e in _ends(strings, ids).items() if e[0] < e[1]}
-            yield _locate(phrases, strings, ids, t.column(row).to_pylist(), t.column("at").to_pylist(), row)
+            strings, ids = _as_strings(t.column("body").to_pylist()), t.column("doc_id").to_pylist()
+            yield _locate(_recurring(strings, ids), strings, ids, t.column(row).to_pylist(), t.column("at").to_pylist(), row)
 
     schema = f"`{row}` long, begin long, stop long"
-    cold = found.filter("NOT split").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, schema)
-    if not hot:
+    cold = found.filter("parts = 1").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, schema)
+    if not split:
         return cold
 
-    split = found.filter("split")
-    sizes = split.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("long").alias("parts"))
-    sizes = stored(sizes, "phrase-parts")  # at most 10,000 rows
-    split = split.join(F.broadcast(sizes), "anchor").withColumn("part", F.pmod(F.xxhash64(row), F.col("parts")))
+    part = F.pmod(F.xxhash64(row, "at"), F.col("parts"))
+    hot = found.filter("parts > 1").select("anchor", part.alias("part"), row, "doc_id", "at", "body")
 
     def report(batches):
         for t in _units(batches, 2):
-            ends: dict[tuple, list[int]] = {}
-            for a, body, i in zip(t.column("anchor").to_pylist(), t.column("body").to_pylist(), t.column("doc_id").to_pylist()):
+            low: dict[tuple, int] = {}
+            high: dict[tuple, int] = {}
+            for a, p, body, i in zip(*(t.column(c).to_pylist() for c in ("anchor", "part", "body", "doc_id"))):
                 words = body.split(b" ")
                 for k in range(len(words) - WINDOW + 1):
-                    e = ends.setdefault((a, b" ".join(words[k : k + WINDOW])), [i, i])
-                    e[0], e[1] = min(e[0], i), max(e[1], i)
-            keys = list(ends)
-            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), *(pa.array([ends[k][j] for k in keys], pa.int64()) for j in range(2))]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "phrase", "low", "high"])
-
-    parts = split.select("anchor", "part", row, "doc_id", "at", "body").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    reports = parts.mapInArrow(report, "anchor long, phrase binary, low long, high long")
-    confirmed = reports.groupBy("anchor", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    confirmed = confirmed.join(F.broadcast(sizes), "anchor").select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "phrase", "low")
-
-    def part(key, rows, phrases):
+                    w = (a, p, b" ".join(words[k : k + WINDOW]))
+                    low[w] = min(low.get(w, i), i)
+                    high[w] = max(high.get(w, i), i)
+            columns = [pa.array(list(x), kind) for x, kind in zip(zip(*low), (pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(low.values()), pa.int64()), pa.array([high[w] for w in low], pa.int64())], names=["anchor", "part", "phrase", "low", "high"])
+
+    reports = hot.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(report, "anchor long, part long, phrase binary, low long, high long")
+    reports = stored(reports, "phrase-reports")
+    confirmed = reports.groupBy("anchor", "phrase").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").drop("most")
+    confirmed = reports.join(confirmed, ["anchor", "phrase"]).filter("least < high").select("anchor", "part", "phrase", "least")
+
+    def locate(key, rows, phrases):
         letter = _Alphabet().__getitem__
         code = lambda b: "".join(map(letter, b.split(b" ")))
-        known = {code(p): low for p, low in zip(phrases.column("phrase").to_pylist(), phrases.column("low").to_pylist())}
+        known = {code(p): least for p, least in zip(phrases.column("phrase").to_pylist(), phrases.column("least").to_pylist())}
         strings = list(map(code, rows.column("body").to_pylist()))
         return pa.Table.from_batches([_locate(known, strings, rows.column("doc_id").to_pylist(), rows.column(row).to_pylist(), rows.column("at").to_pylist(), row)])
 
-    warm = split.groupBy("anchor", "part").cogroup(confirmed.groupBy("anchor", "part")).applyInArrow(part, schema)
+    warm = hot.groupBy("anchor", "part").cogroup(confirmed.groupBy("anchor", "part")).applyInArrow(locate, schema)
     return cold.unionAll(warm)
 
 
@@ -291,19 +332,21 @@ def repeats(docs: DataFrame, row: str = "row") -> tuple[DataFrame, DataFrame]:
     docs = scanned(docs)
     known = stored(facts(docs, row), "phrase-facts")
     of = F.coalesce("doc_id", F.lit(LAST))
-    firsts = stored(known.filter(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min(of).alias("smallest"), F.max(of).alias("largest")).filter("smallest < largest"), "phrase-copies").select("sha", "smallest")
-    rows = known.join(broadcast_if(firsts, BROADCAST_ROWS // 4), "sha", "left").select(row, "doc_id", "n_words", "sha", F.coalesce(F.col("smallest") < of, F.lit(False)).alias("copy"))
+    firsts = stored(known.filter(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min(of).alias("smallest"), F.max(of).alias("largest")).filter("smallest < largest"), "phrase-copies")
+    rows = known.join(broadcast_if(firsts.select("sha", "smallest"), BROADCAST_ROWS // 4), "sha", "left").select(row, "doc_id", "n_words", "sha", F.coalesce(F.col("smallest") < of, F.lit(False)).alias("copy"))
     rows = stored(rows, "phrase-rows")
     copies = rows.filter("copy").select(row)
     texts = with_row(docs.select(of.cast("long").alias("doc_id"), "text"), row).join(broadcast_if(copies, 2 * BROADCAST_ROWS), row, "left_anti")
 
-    counts = stored(anchor_counts(texts.select("doc_id", "text")).filter("n > 1"), "phrase-anchors")
-    total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    limit = max(HOT, total[1] // 10_000)
-    hot = np.array([r.anchor for r in counts.filter(F.col("n") > limit).select("anchor").collect()], np.int64).view(np.uint64)
-    found = stored(stretches(texts.select(row, "doc_id", "text"), row, bloom(counts, total[0]), hot), "phrase-stretches")
-    marks = located(found, row, len(hot) > 0).groupBy(row).agg(F.collect_list(F.struct("begin", "stop")).alias("ranges"))
-    return rows, stored(marks, "phrase-marks")
+    counts = stored(anchor_counts(texts.select("doc_id", "text")), "phrase-anchors")
+    sizes = {r["parts"]: r["count"] for r in counts.groupBy("parts").count().collect()}
+    texts = texts.select(row, "doc_id", "text")
+    found = stretches(texts, row, counts, sizes) if BITS_EACH * sum(sizes.values()) <= FILTER_BITS else joined_stretches(texts, row, counts)
+    found = stored(found, "phrase-stretches")
+    marks = located(found, row, max(sizes, default=1) > 1).groupBy(row).agg(F.collect_list(F.struct("begin", "stop")).alias("ranges"))
+    marks = stored(marks, "phrase-marks")
+    discard(known, firsts, counts, found)
+    return rows, marks
 
 
 def _marked(docs: DataFrame, marks: DataFrame, row: str, ranges: str, how: str) -> DataFrame:
@@ -338,16 +381,20 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document, and a digest of those kept. Null and empty texts have no
+    words; a null doc_id counts as the largest; rows that repeat a doc_id are one document's and
+    remove nothing from each other; ties go to the smallest doc_id; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     rows, marks = repeats(docs)
 
     def digest(batches):
         for b in batches:
-            kept = [kept_words(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(k) for k in kept], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept], pa.string())],
-                names=["row", "n_kept", "kept"],
-            )
+            n, sha = [], []
+            for t, r in zip(b.column(1), b.column(2)):  # one text's words at a time
+                kept = kept_words(t.as_py(), r.as_py())
+                n.append(len(kept))
+                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["row", "n_kept", "kept"])
 
     cut = _marked(docs.select("text"), marks, "row", "ranges", "inner").select("row", "text", "ranges").mapInArrow(digest, "row long, n_kept long, kept string")
     return rows.join(cut, "row", "left").select(
