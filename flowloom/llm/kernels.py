@@ -71,8 +71,8 @@ _CLASS[65:91] = 2
 _CLASS[97:123] = 1
 _CLASS[128:] = 1
 _GROUP = np.array([0, 1, 1, 2, 3], np.uint8)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SHOUTED, _NUMBER = np.uint64(1), np.uint64(2)
 
 
@@ -89,7 +89,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     end = np.r_[start[1:], len(data)]
     full = group[start] > 0
     start, end = start[full], end[full]
-    hashes = _hash_spans(_LOWER[data], start, end)
+    hashes = _hash_spans(LOWER[data], start, end)
     if len(start):
         small = np.r_[0, np.cumsum(kind == 1)]
         shouted = (group[start] == 1) & (end - start > 1) & (small[end] == small[start])

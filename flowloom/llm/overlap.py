@@ -1,129 +1,221 @@
-"""Near copies by the overlap of word shingles, exactly.
+"""SimHash near copies at a stated overlap of word shingles.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of at
-least 0.8; chains of near copies form a class. Sets that similar share a shingle among the first
-few of each in any fixed order of shingles (prefix filter), so no pair is missed. The order puts
-rare shingles first; how often they occur is estimated from a sample, which decides the cost only.
-
-Documents that share a first shingle are compared with one of them first; what these links leave
-in different classes is then compared pair by pair.
+least 0.8; chains of near copies form a class. Fingerprints of 64 bits can't tell 0.8 from 0.6, so
+these have 256, and the comparison is that of ``simhash``: bit planes, carry-save counters, words
+given up once all their fingerprints are beyond the radius.
+
+1. Sets that similar share a shingle among the first few of each in any fixed order of shingles.
+   The order puts rare shingles first: every distinct shingle of every document is counted in a
+   fixed number of slots.
+2. Documents that share such a shingle form a bucket. Buckets are compared in bit-sliced form and
+   hand on stars, whose closure holds every pair within the radius: the candidate classes.
+3. A candidate class is checked on the sets themselves, first against its best connected member.
+   Where that leaves members apart, all that are apart are compared, in bounded pairs of chunks.
+
+The radius is far beyond what similarity 0.8 gives: at 0.8 fingerprints differ in 39 bits on average
+with a standard deviation of 6 (48 and 6 for the shortest sets), and 80 are let through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, fresh, scanned, stored, with_row
-from .simhash import BROADCAST_ROWS, components
+from .common import broadcast_if, discard, fresh, scanned, stored, with_row
+from .kernels import LOWER, blank_separated, grams, mix, slices
+from .simhash import BROADCAST_ROWS, SMALL, bit_planes, bucket_links, chunk_pairs, components, flips_of, set_bits, within
 
 WIDTH, SIMILARITY = 5, 0.8
-#: One document in so many is counted to order shingles, and at most so many shingles are ranked.
-SAMPLED, RANKED = 16, 1_000_000
+#: 64-bit words of a fingerprint, and how many of its bits may differ.
+WORDS, RADIUS = 4, 80
+#: Slots in which shingles are counted (2 MB, whatever the corpus).
+SLOT_BITS = 18
+#: Shingles in one chunk of a candidate class that is compared in full.
+CHUNK_ITEMS, CHUNK_ROWS = 500_000, 8192
 #: Keeps ratios of whole numbers that equal the similarity from failing by rounding.
 SLACK = 1e-9
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+PRINTS = [f"p{i}" for i in range(WORDS)]
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH):
+    """``(first, texts, of, items)`` of slices of texts: sorted distinct shingles of each, ``of``
+    telling the text. Fewer words than ``width`` are one shingle, none at all are one of their own."""
+    for first, data, offsets in slices(column):
+        text, words = blank_separated(LOWER[data] if len(data) else data, offsets)
+        texts = len(offsets) - 1
+        g = grams(words, width)
+        at = np.flatnonzero(text[: len(g)] == text[width - 1 :]) if len(g) else np.empty(0, np.int64)
+        of, items = [text[at]], [g[at]]
+        count = np.bincount(text, minlength=texts)
+        start = np.cumsum(count) - count
+        for n in range(width):
+            few = np.flatnonzero(count == n)
+            h = np.full(len(few), n, np.uint64)
+            for i in range(n):
+                h = mix(h * _SEEDS[0] + words[start[few] + i])
+            of.append(few)
+            items.append(h)
+        of, items = np.concatenate(of), np.concatenate(items)
+        order = np.lexsort((items, of))
+        of, items = of[order], items[order]
+        new = np.r_[True, (of[1:] != of[:-1]) | (items[1:] != items[:-1])]
+        yield first, texts, of[new], items[new]
+
+
+def prints_of(of: np.ndarray, items: np.ndarray, texts: int) -> np.ndarray:
+    """(texts, WORDS): a bit is 1 if set in over half the hashes of the shingles."""
+    start = np.searchsorted(of, np.arange(texts))
+    size = np.diff(np.r_[start, len(of)])[:, None]
+    out = np.empty((texts, WORDS), np.uint64)
+    for w in range(WORDS):
+        bits = np.unpackbits(mix(items * _SEEDS[w] + _SEEDS[w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+        out[:, w] = np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def _slot(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all documents fall in each slot."""
 
+    def run(batches):
+        seen = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            for *_, items in shingle_sets(b.column(0), width):
+                seen += np.bincount(_slot(items), minlength=1 << SLOT_BITS)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], names=["slot", "n"])
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; [0] for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(1, np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - width + 1)
-    starts = np.r_[0, ends[: n - 1] + 1]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[-n:].tolist())], np.uint64).view(np.int64))
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    sums = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    for b in sums.toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return out
 
 
-def shingle_sets(texts: DataFrame, row: str, width: int) -> DataFrame:
-    """``row, items`` of ``row, text``."""
+def prefixes(texts: DataFrame, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """``key, node`` of ``node, text``: the first shingles of each set, as many as the similarity
+    asks for."""
+    held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t.as_py(), width) for t in b.column(1)]
-            offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), items], names=[row, "items"])
+            node = b.column(0).to_numpy()
+            for first, n_texts, of, items in shingle_sets(b.column(1), width):
+                order = np.lexsort((items, held.value[_slot(items)], of))
+                start = np.searchsorted(of, np.arange(n_texts))
+                size = np.diff(np.r_[start, len(of)])
+                most = size - np.ceil(similarity * size - SLACK).astype(np.int64) + 1
+                keys = items[order[np.arange(len(of)) - start[of] < most[of]]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[first + np.repeat(np.arange(n_texts), most)])], names=["key", "node"])
 
-    return texts.select(row, "text").mapInArrow(run, f"`{row}` long, items array<long>")
+    return texts.select("node", "text").mapInArrow(run, "key long, node long")
 
 
-def prefixes(texts: DataFrame, row: str, width: int, similarity: float) -> DataFrame:
-    """``key, node, n, at``: the first shingles of each set, as many as the similarity asks for, with
-    the size of the set and the place in its order."""
-    sample = shingle_sets(texts.filter(F.pmod(F.xxhash64(row), F.lit(SAMPLED)) == 0), row, width).select(F.explode("items").alias("item"))
-    common = sample.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter("c > 2").orderBy(F.desc("c"), "item").limit(RANKED)
-    common = common.toPandas().sort_values("item")
-    held = texts.sparkSession.sparkContext.broadcast((common["item"].to_numpy(np.int64), common["c"].to_numpy(np.int64)))
+def described(texts: DataFrame, width: int) -> DataFrame:
+    """``node, p0, p1, ..., items``: fingerprint and shingles of each text."""
 
     def run(batches):
-        items, counts = held.value
         for b in batches:
-            out = [[], [], [], []]
-            for node, t in zip(b.column(0).to_pylist(), b.column(1)):
-                own = shingles(t.as_py(), width)
-                n = len(own)
-                if len(items):
-                    at = np.minimum(np.searchsorted(items, own), len(items) - 1)
-                    own = own[np.argsort(np.where(items[at] == own, counts[at], 0), kind="stable")]
-                most = n - int(np.ceil(similarity * n - SLACK)) + 1
-                for x, v in zip(out, (own[:most], np.full(most, node), np.full(most, n), np.arange(most))):
-                    x.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["key", "node", "n", "at"])
-
-    return texts.select(row, "text").mapInArrow(run, "key long, node long, n long, at long")
+            for first, n_texts, of, items in shingle_sets(b.column(1), width):
+                prints = prints_of(of, items, n_texts).view(np.int64)
+                offsets = pa.array(np.r_[np.searchsorted(of, np.arange(n_texts)), len(of)], pa.int32())
+                sets = pa.ListArray.from_arrays(offsets, pa.array(items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n_texts), *map(pa.array, prints.T.copy()), sets], names=["node", *PRINTS, "items"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"{p} long" for p in PRINTS) + ", items array<long>")
+
+
+def links_between(nodes, classes, prints, items, offsets, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of near copies that join the classes they are known to have, no more than it takes."""
+    _, codes = np.unique(items, return_inverse=True)
+    size = np.diff(offsets)
+    mark = np.zeros(codes.max(initial=-1) + 1, bool)
+    root, out = classes.copy(), []
+    planes = bit_planes(prints) if len(nodes) > SMALL else None
+    for i in range(len(nodes)):
+        apart = root != root[i]
+        apart[:i] = False
+        if planes is not None and apart.any():
+            alive = np.zeros(8 * planes.shape[1], np.uint8)
+            packed = np.packbits(apart, bitorder="little")
+            alive[: len(packed)] = packed
+            near = set_bits(within(planes, flips_of(prints[i]), alive.view(np.uint64), RADIUS))
+            apart[:] = False
+            apart[near] = True
+        if not apart.any():
+            continue
+        own = codes[offsets[i] : offsets[i + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[codes].astype(np.int32), offsets[:-1])
+        mark[own] = False
+        for j in np.flatnonzero(apart & (common >= similarity * (size + size[i] - common) - SLACK)).tolist():
+            if root[j] != root[i]:
+                out.append((int(nodes[i]), int(nodes[j])))
+                root[root == root[j]] = root[i]
+    return out
 
 
 def near_copies(docs: DataFrame, row: str = "row", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``row, first`` of those rows of ``docs`` that have near copies, ``first`` telling the one row
-    of each class that stays: the smallest doc_id, a null one last. Texts without words are copies
-    of each other."""
-    rows = with_row(docs.select("doc_id", "text"), row)
-    every = Window.partitionBy("key")
-    least = F.min(F.struct("node", "n", "at")).over(every)
-    keys = prefixes(rows, row, width, similarity).withColumn("lead", least).withColumn("last", F.max("node").over(every))
-    shared = stored(keys.filter("lead.node < last").drop("last"), "overlap-shared")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of ``a, n, i, b, m, j`` (nodes, sizes, places of a shared shingle) the near copies. Shared
-        shingles behind the last one listed are at most as many as follow it in either set."""
-        bound = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-        pairs = pairs.groupBy("a", "n", "b", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-        pairs = stored(pairs.filter(bound * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - SLACK).select("a", "b"), "overlap-pairs")
-        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias(row)).distinct(), "overlap-nodes")
-        sets = stored(shingle_sets(rows.join(broadcast_if(nodes, 2 * BROADCAST_ROWS), row, "left_semi"), row, width), "overlap-sets")
-        side = lambda name: sets.select(F.col(row).alias(name), F.col("items").alias(f"{name}_items"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        common, total = F.size(F.array_intersect("a_items", "b_items")), F.size("a_items") + F.size("b_items")
-        return stored(both.filter(common >= similarity * (total - common) - SLACK).select("a", "b"), "overlap-links")
-
-    # a pair may share more than these keys, so the bound may drop it here; the second round counts all
-    star = shared.filter("node <> lead.node")
-    stars = links(star.select(F.col("lead.node").alias("a"), F.col("lead.n").alias("n"), F.col("lead.at").alias("i"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("j")))
-    roots = stored(components(stars), "overlap-roots").withColumnRenamed("root", "of")
-    placed = stored(shared.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("of", "node").alias("of")), "overlap-placed")
-    classes = placed.select("key", "of").distinct()
-    met = classes.withColumnRenamed("of", "x").join(classes.withColumnRenamed("of", "y"), "key").filter("x < y")
-    left = placed.select("key", F.col("node").alias("a"), "n", F.col("at").alias("i"), F.col("of").alias("x"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("of").alias("y"))
-    fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - SLACK
-    rest = links(met.join(left, ["key", "x"]).join(right, ["key", "y"]).filter(fits).select("a", "n", "i", "b", "m", "j"))
-
-    roots = stored(components(stars.unionByName(rest)), "overlap-roots")
-    members = rows.select(F.col(row).alias("node"), "doc_id").join(broadcast_if(roots, 2 * BROADCAST_ROWS), "node")
-    best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best"))
+    of each class that stays: the smallest doc_id, a null one last. Texts without words, nulls among
+    them, are copies of each other; so are repeated rows."""
+    rows = with_row(docs.select("doc_id", "text"), row).withColumnRenamed(row, "node")
+    counts = slot_counts(rows, width)
+    recurring = stored(prefixes(rows, counts, width, similarity).groupBy("key").count().filter("count > 1").select("key"), "overlap-keys")
+    shared = stored(prefixes(rows, counts, width, similarity).join(broadcast_if(recurring, BROADCAST_ROWS), "key"), "overlap-shared")
+    nodes = stored(shared.select("node").distinct(), "overlap-nodes")
+    sets = stored(described(rows.join(broadcast_if(nodes, BROADCAST_ROWS), "node", "left_semi"), width), "overlap-sets")
+
+    prints = sets.select("node", *PRINTS)
+    buckets = shared.join(broadcast_if(prints, BROADCAST_ROWS // 4), "node")
+    parts = chunk_pairs(buckets, "node", CHUNK_ROWS).select("key", "part", "node", *PRINTS)
+    stars = parts.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(lambda b: bucket_links(b, WORDS, RADIUS), "a long, b long")
+    stars = stored(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "overlap-stars")
+    discard(recurring, shared, nodes)
+
+    # members of the candidate classes against the best connected of each
+    members = stored(components(stars), "overlap-candidates")
+    degree = stars.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
+    ranked = members.join(degree, "node", "left").select("root", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "node").alias("best"))
+    leads = stored(ranked.groupBy("root").agg(F.max("best").alias("best")).select("root", F.col("best.node").alias("lead")), "overlap-leads")
+    placed = members.join(broadcast_if(leads, BROADCAST_ROWS), "root")
+    lead_sets = stored(sets.join(leads, sets.node == leads.lead).select("lead", F.col("items").alias("lead_items")), "overlap-lead-sets")
+    common, total = F.size(F.array_intersect("items", "lead_items")), F.size("items") + F.size("lead_items")
+    both = placed.join(sets.select("node", "items"), "node").join(broadcast_if(lead_sets, BROADCAST_ROWS // 50), "lead")
+    placed = stored(both.select("root", "node", "lead", (common >= similarity * (total - common) - SLACK).alias("linked")), "overlap-placed")
+
+    # members of classes that this did not close, against all that are apart from them
+    still = placed.groupBy("root").agg(F.min("linked").alias("closed")).filter("NOT closed").select(F.col("root").alias("key"))
+    apart = placed.join(still, placed.root == still.key).select("key", "node", F.when(F.col("linked"), F.col("lead")).otherwise(F.col("node")).alias("class"))
+    apart = chunk_pairs(apart.join(sets, "node"), "node", CHUNK_ITEMS, F.sum(F.size("items") + 64))
+
+    def compare(t):
+        offsets = t.column("items").combine_chunks()
+        offsets, items = offsets.offsets.to_numpy(), offsets.values.to_numpy()
+        prints = np.stack([t.column(p).to_numpy() for p in PRINTS], axis=1).view(np.uint64)
+        found = links_between(t.column("node").to_numpy(), t.column("class").to_numpy(), prints, items[offsets[0] : offsets[-1]], offsets - offsets[0], similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    rest = apart.groupBy("key", "part").applyInArrow(compare, "a long, b long")
+    links = placed.filter("linked AND node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    roots = stored(components(links), "overlap-roots")
+    discard(sets, stars, members, leads, lead_sets, placed)
+    of_class = rows.select("node", "doc_id").join(broadcast_if(roots, BROADCAST_ROWS), "node")
+    best = of_class.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best"))
     return roots.join(best, "root").select(F.col("node").alias(row), (F.col("node") == F.col("best.node")).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with all its columns, one row (the smallest doc_id) of each class."""
+    """``docs`` with all its columns, one row (the smallest doc_id) of each class of near copies.
+    Null and empty texts are copies of each other; an empty table gives an empty one."""
     docs, row = scanned(docs), fresh(docs, "row")
     gone = stored(near_copies(docs, row, width, similarity).filter("NOT first").select(row), "overlap-dropped")
     return with_row(docs, row).join(broadcast_if(gone, 2 * BROADCAST_ROWS), row, "left_anti").drop(row)

@@ -14,10 +14,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, fresh, scanned, stored, table, with_row
+from .common import broadcast_if, discard, fresh, scanned, stored, table, with_row
 
 RADIUS = 2
 WIDTH = 3
@@ -60,58 +60,85 @@ def fingerprints(docs: DataFrame, row: str = "row") -> DataFrame:
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """(64, words): bit t of word w of plane j is bit j of ``values[64 * w + t]``."""
-    padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(bits, words): bit t of word w of plane j is bit j of ``values[64 * w + t]``. Fingerprints
+    are one 64-bit number each, or rows of several."""
+    width = 1 if values.ndim == 1 else values.shape[1]
+    padded = np.zeros((-(-len(values) // 64) * 64, width), np.uint64)
+    padded[: len(values)] = values.reshape(len(values), width)
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def _within(planes: np.ndarray, flips: np.ndarray | None, alive: np.ndarray) -> np.ndarray:
-    """Bits of the fingerprints at ``RADIUS`` or fewer set bits, as words like ``alive``.
+def flips_of(value: np.ndarray) -> np.ndarray:
+    """All ones or zero for each bit of one fingerprint."""
+    bits = np.unpackbits(np.ascontiguousarray(value).reshape(-1).view(np.uint8), bitorder="little")
+    return np.where(bits == 1, ~np.uint64(0), np.uint64(0))
 
-    ``flips``: per plane all ones or zero, a query to compare with. ``ones``, ``twos`` and ``over``
-    are the carry-save counters of 64 distances a word; two planes enter at each full adder.
+
+def first_bits(n: int, words: int) -> np.ndarray:
+    """Words whose first ``n`` bits are set."""
+    out = np.zeros(words, np.uint64)
+    out[: n // 64] = ~np.uint64(0)
+    if n % 64:
+        out[n // 64] = np.uint64((1 << (n % 64)) - 1)
+    return out
+
+
+def within(planes: np.ndarray, flips: np.ndarray | None, alive: np.ndarray, radius: int) -> np.ndarray:
+    """Bits of the fingerprints at ``radius`` or fewer set bits, as words like ``alive``.
+
+    ``flips``: per plane all ones or zero, a query to compare with. ``count`` and ``over`` are the
+    carry-save counters of 64 distances a word; two planes enter at each full adder, and words that
+    hold no distance within the radius any more are given up.
     """
     out = np.zeros_like(alive)
     live = np.flatnonzero(alive)
-    ones, twos, over = (np.zeros(len(live), np.uint64) for _ in range(3))
-    for j in range(0, 64, 2):
+    size = max(1, radius.bit_length())
+    count = [np.zeros(len(live), np.uint64) for _ in range(size)]
+    over = np.zeros(len(live), np.uint64)
+    near = alive[live]
+    for j in range(0, len(planes), 2):
         x, y = planes[j, live], planes[j + 1, live]
         if flips is not None:
             x, y = x ^ flips[j], y ^ flips[j + 1]
-        half = ones ^ x
-        carry = (ones & x) | (half & y)
-        ones = half ^ y
-        over |= twos & carry
-        twos ^= carry
+        half = count[0] ^ x
+        carry = (count[0] & x) | (half & y)
+        count[0] = half ^ y
+        for i in range(1, size):
+            carry, count[i] = count[i] & carry, count[i] ^ carry
+        over |= carry
         if j % 8 == 6:
-            near = ~(over | (ones & twos)) & alive[live]
+            equal, more = ~np.uint64(0), over
+            for i in reversed(range(size)):
+                if radius >> i & 1:
+                    equal = equal & count[i]
+                else:
+                    more = more | (equal & count[i])
+                    equal = equal & ~count[i]
+            near = ~more & alive[live]
             keep = near != 0
             if not keep.all():
-                live, ones, twos, over, near = live[keep], ones[keep], twos[keep], over[keep], near[keep]
+                live, over, near = live[keep], over[keep], near[keep]
+                count = [c[keep] for c in count]
                 if not len(live):
                     return out
     out[live] = near
     return out
 
 
-def _set_bits(words: np.ndarray) -> np.ndarray:
+def set_bits(words: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(words)
     bits = np.unpackbits(words[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     r, c = np.nonzero(bits)
     return at[r] * 64 + c
 
 
-def classes_of_bucket(values: np.ndarray) -> np.ndarray:
+def classes_of_bucket(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each of the distinct ``values`` the index of the first member of its class. Members
     that a class has taken are not compared again."""
     n = len(values)
     planes = bit_planes(values)
-    alive = np.zeros(planes.shape[1], np.uint64)
-    alive[: n // 64] = ~np.uint64(0)
-    if n % 64:
-        alive[n // 64] = np.uint64((1 << (n % 64)) - 1)
+    alive = first_bits(n, planes.shape[1])
     root = np.arange(n)
 
     def take(i: int) -> None:
@@ -123,9 +150,7 @@ def classes_of_bucket(values: np.ndarray) -> np.ndarray:
         take(i)
         todo = [i]
         while todo and alive.any():
-            q = int(values[todo.pop()])
-            flips = np.array([~np.uint64(0) if (q >> j) & 1 else np.uint64(0) for j in range(64)], np.uint64)
-            found = _set_bits(_within(planes, flips, alive))
+            found = set_bits(within(planes, flips_of(values[todo.pop()]), alive, radius))
             for k in found.tolist():
                 take(k)
             root[found] = i
@@ -133,58 +158,83 @@ def classes_of_bucket(values: np.ndarray) -> np.ndarray:
     return root
 
 
-def links_of_small(bucket: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius in many small buckets at once: the batch is compared with
-    itself shifted by 1, 2, ... and the differences counted in bit-sliced form."""
+def classes_of_small(bucket: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The same for many small buckets at once: the batch is compared with itself shifted by 1, 2,
+    ..., the differences are counted in bit-sliced form, and classes take their first index."""
     a, b = [], []
     for s in range(1, SMALL):
         at = np.flatnonzero(bucket[s:] == bucket[:-s]) if s < len(bucket) else np.empty(0, int)
         if not len(at):
             break
         planes = bit_planes(values[at] ^ values[at + s])
-        alive = np.full(planes.shape[1], ~np.uint64(0))
-        if len(at) % 64:
-            alive[-1] = np.uint64((1 << (len(at) % 64)) - 1)
-        near = at[_set_bits(_within(planes, None, alive))]
+        near = at[set_bits(within(planes, None, first_bits(len(at), planes.shape[1]), radius))]
         a.append(near)
         b.append(near + s)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int),) * 2
+    root = np.arange(len(bucket))
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        while True:
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            if (root == before).all():
+                break
+    return root
 
 
-def _bucket_links(batches):
-    """Stars of the classes in each bucket; rows come sorted by bucket, which may span batches."""
-    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+def bucket_links(batches, width: int = 1, radius: int = RADIUS):
+    """``a, b``: stars of the classes in each bucket. Rows are ``key, part, node`` and ``width``
+    columns of fingerprints, sorted by bucket; a bucket may span batches."""
+    held = None
 
-    def links(key, part, fp):
+    def links(key, part, node, *prints):
+        values = np.stack(prints, axis=1).view(np.uint64)
         change = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         size = np.diff(np.r_[change, len(key)])
         bucket = np.repeat(np.arange(len(change)), size)
-        fits = (size[bucket] > 1) & (size[bucket] <= SMALL)
-        values = fp[fits]
-        i, j = links_of_small(bucket[fits], values.view(np.uint64))
-        out = [(values[j], values[i])]
-        for s, m in zip(change[size > SMALL], size[size > SMALL]):
-            values = fp[s : s + m]
-            root = classes_of_bucket(values.view(np.uint64))
-            moved = root != np.arange(m)
-            out.append((values[moved], values[root[moved]]))
-        a, b = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        fits = np.flatnonzero((size[bucket] > 1) & (size[bucket] <= SMALL))
+        root = np.arange(len(key))
+        root[fits] = fits[classes_of_small(bucket[fits], values[fits], radius)]
+        for s, m in zip(change[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            root[s : s + m] = s + classes_of_bucket(values[s : s + m], radius)
+        moved = np.flatnonzero(root != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
 
     for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        key, part, fp = (np.concatenate(x) for x in zip(held, new))
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + width)]
+        rows = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        key, part = rows[:2]
         if not len(key):
             continue
         last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
-        held = (key[cut:], part[cut:], fp[cut:])
+        held = [x[cut:] for x in rows]
         if cut:
-            yield links(key[:cut], part[:cut], fp[:cut])
-    if len(held[0]):
+            yield links(*(x[:cut] for x in rows))
+    if held is not None and len(held[0]):
         yield links(*held)
 
 
+def chunk_pairs(buckets: DataFrame, node: str, most: int, weight: Column | None = None) -> DataFrame:
+    """``buckets`` (``key``, ``node`` and more) with ``part``: buckets of up to ``most`` rows (or of
+    another summed ``weight``) are one part, the rows of larger ones go to every pair of their
+    chunks, so all pairs still meet."""
+    hot = stored(buckets.groupBy("key").agg(F.ceil((F.count(F.lit(1)) if weight is None else weight) / most).cast("long").alias("chunks")).filter("chunks > 1"), "simhash-hot")
+    if hot.isEmpty():
+        return buckets.withColumn("part", F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64(node, F.lit("chunk")), F.col("chunks"))
+    met = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return (
+        buckets.join(broadcast_if(hot, BROADCAST_ROWS), "key", "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+        .withColumn("own", own)
+        .withColumn("other", met)
+        .withColumn("part", F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
+        .drop("chunks", "own", "other")
+    )
+
+
 def near_links(distinct: DataFrame) -> DataFrame:
     """``(a, b)`` edges whose closure links exactly the fingerprints of column ``fp`` (distinct
     longs) that a chain of steps within the radius connects."""
@@ -192,21 +242,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
     pairs = [(i, j) for i in range(4) for j in range(i)]
     keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for t, (i, j) in enumerate(pairs)]
     buckets = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CHUNK), "simhash-hot")
-    if hot.isEmpty():
-        chunked = buckets.select("key", F.lit(0).cast("long").alias("part"), "fp")
-    else:
-        chunks = F.ceil(F.col("m") / CHUNK).cast("long")
-        own = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("chunks"))
-        met = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        chunked = (
-            buckets.join(broadcast_if(hot, BROADCAST_ROWS), "key", "left")
-            .withColumn("chunks", F.coalesce(chunks, F.lit(1).cast("long")))
-            .withColumn("own", own)
-            .withColumn("other", met)
-            .select("key", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("part"), "fp")
-        )
-    return chunked.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_bucket_links, "a long, b long")
+    chunked = chunk_pairs(buckets, "fp", CHUNK).select("key", "part", F.col("fp").alias("node"), "fp")
+    return chunked.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(bucket_links, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,11 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
     flat = lambda df: df.filter(F.col("u") != F.col("v")).distinct()
     edges = stored(flat(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "components")
 
-    def signature(df):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-
-    before = signature(edges)
-    while before[0]:
+    size = edges.count()
+    while size:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -227,11 +261,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(flat(small), "components")
-        after = signature(edges)
-        if after == before:
+        before, edges = edges, stored(flat(small), "components")
+        # distinct rows on both sides: equal counts and none missing is equality
+        was, size = size, edges.count()
+        if size == was and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        before = after
+        discard(before, large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -270,6 +305,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document. Null and empty texts have fingerprint zero and link
+    like any other; repeated rows share a class; the smallest doc_id names it (null only where all
+    its ids are); an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "first")
 
 

@@ -1,6 +1,10 @@
 import random
 
-from flowloom.llm.overlap import drop_near_copies
+import pyarrow as pa
+import pytest
+
+from flowloom.llm import overlap
+from flowloom.llm.overlap import drop_near_copies, shingle_sets
 
 
 def slow_kept(rows):
@@ -26,7 +30,17 @@ def slow_kept(rows):
     return sorted((min((i for i in ids if i is not None), default=None) for ids in least.values()), key=str)
 
 
-def test_against_all_pairs(docs, odd_rows):
+def test_shingle_sets():
+    texts = ["a b c d e f", None, "A b", "a b c d e f x a b c d e", "  ", "b a", "q"]
+    sets = {first + t: set(items[of == t].tolist()) for first, n, of, items in shingle_sets(pa.array(texts), 5) for t in range(n)}
+    assert [len(sets[k]) for k in range(7)] == [2, 1, 1, 7, 1, 1, 1]
+    assert sets[0] < sets[3] and sets[1] == sets[4] and len(sets[1] | sets[2] | sets[5] | sets[6]) == 4
+
+
+@pytest.mark.parametrize("chunk", [500_000, 400])
+def test_against_all_pairs(docs, odd_rows, monkeypatch, chunk):
+    monkeypatch.setattr(overlap, "CHUNK_ITEMS", chunk)
+    monkeypatch.setattr(overlap, "CHUNK_ROWS", chunk // 50)
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(900)}"
     rows = list(odd_rows)
@@ -40,6 +54,13 @@ def test_against_all_pairs(docs, odd_rows):
             for _ in range(rng.choice([0, 1, 2, 4])):
                 new[rng.randrange(len(new))] = word()
             rows.append((len(rows) + 100, " ".join(new)))
+    middle = [word() for _ in range(200)]  # one class by way of its middle: copies are far from each other
+    for _ in range(90):
+        new = list(middle)
+        for k in rng.sample(range(200), 4):
+            new[k] = word()
+        rows.append((len(rows) + 100, " ".join(new)))
+    rows.append((5000, " ".join(middle)))
     table = docs(rows, 3)
     kept = drop_near_copies(table)
     assert kept.columns == table.columns
