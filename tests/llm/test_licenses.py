@@ -1,6 +1,8 @@
 import re
 
-from flowloom.llm.licenses import RULES, SENTENCES, WRAPPED, scan_licenses
+import pytest
+
+from flowloom.llm.licenses import NAMES, RULES, SENTENCES, TAG_RULES, TAGS, scan_licenses
 
 ENDS = re.compile(r"[.!?;][\x20\x09-\x0D]+|[.!?;]\Z|[\x0A-\x0D]+")
 
@@ -13,22 +15,30 @@ def parts(text):
     return [p for p in map(normal, ENDS.split(text or "")) if p]
 
 
+NAMED = re.compile(r"^(?:[a-z0-9.]+ ){1,12}(is free software|is distributed in the hope)(?= |$)")
+HOLDER = re.compile(r"^neither the names? of (?:[a-z0-9.]+ ){1,12}nor the names of (?:its|any) ")
+
+
+def form(norm):
+    return HOLDER.sub("neither the name of the copyright holder nor the names of its ", NAMED.sub(r"this program \1", norm))
+
+
 KNOWN = {}
-for k, group in SENTENCES.items():
+for k, group in [*SENTENCES.items(), *((f"tag-{n}", [t.format(n) for t in TAGS]) for n in NAMES)]:
     for s in group:
-        KNOWN.setdefault(" ".join(parts(s)), k)
+        KNOWN.setdefault(form(" ".join(parts(s))), k)
 
 
 def slow(text):
     p, ids, i = parts(text), [], 0
     while i < len(p):
-        best = max((n for n in range(1, WRAPPED + 1) if i + n <= len(p) and " ".join(p[i : i + n]) in KNOWN), default=0)
+        best = max((n for n in range(1, 120) if i + n <= len(p) and form(" ".join(p[i : i + n])) in KNOWN), default=0)
         if best:
-            ids.append(KNOWN[" ".join(p[i : i + best])])
+            ids.append(KNOWN[form(" ".join(p[i : i + best]))])
         i += best or 1
     names, rest, i = [], [], 0
     while i < len(ids):
-        hit = max(((len(r), n) for n, r in RULES if tuple(ids[i : i + len(r)]) == r), default=None)
+        hit = max(((len(r), n) for n, r in RULES + TAG_RULES if tuple(ids[i : i + len(r)]) == r), default=None)
         if hit:
             names.append(hit[1])
             i += hit[0]
@@ -69,7 +79,32 @@ def test_against_plain_python(docs, odd_rows):
     assert scan_licenses(docs([])).count() == 0
 
 
-def test_one_word_a_line(docs):
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 13, 20])
+def test_wrapped(docs, width):
     full = lambda *ids: ". ".join(SENTENCES[i][0] for i in ids) + "."
-    rows = [(1, wrap(full("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), 1)), (2, wrap(full("gpl-free-3", "gpl-hope", "gpl-see"), 2))]
+    rows = [(1, wrap(full("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), width)), (2, wrap(full("gpl-free-3", "gpl-hope", "gpl-see"), width))]
     assert {r.doc_id: r.licenses for r in scan_licenses(docs(rows)).collect()} == {1: ["MIT"], 2: ["GPL-3.0-or-later"]}
+
+
+def test_families(docs):
+    full = lambda *ids: ". ".join(SENTENCES[i][0] for i in ids) + "."
+    named = full("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse").replace("the copyright holder nor", "the University of Somewhere nor")
+    free = full("gpl-free-3", "gpl-hope", "gpl-see").replace("This program", "Foo Bar")
+    want = {
+        named: ["BSD-3-Clause"],
+        wrap(named, 9): ["BSD-3-Clause"],
+        free: ["GPL-3.0-or-later"],
+        full("isc-grant", "isc-warranty"): ["ISC"],
+        wrap(full("mpl-2-subject", "mpl-2-copy"), 10): ["MPL-2.0"],
+        wrap(full("lgpl-free-2.1", "gpl-hope", "lgpl-see"), 11): ["LGPL-2.1-or-later"],
+        full("agpl-free-3", "gpl-hope", "agpl-see"): ["AGPL-3.0-or-later"],
+        full("unlicense-free", "unlicense-anyone"): ["Unlicense"],
+        "// SPDX-License-Identifier: Apache-2.0\nint x;": ["Apache-2.0"],
+        "# SPDX-License-Identifier: MIT OR Apache-2.0\n": ["MIT OR Apache-2.0"],
+        'name = "x"\nlicense = "BSD-3-Clause"\n': ["BSD-3-Clause"],
+        "License: MIT": ["MIT"],
+        "The licence of the MIT building": [],
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.licenses for r in scan_licenses(docs(rows)).collect()}
+    assert got == {i: want[t] for i, t in rows} == {i: slow(t)[1] for i, t in rows}
