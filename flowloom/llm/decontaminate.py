@@ -17,8 +17,8 @@ from .common import ascii_lower, broadcast_if, fresh, scanned, stored, table, te
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
-#: Windows of a broadcast block (about 200 bytes each).
-BLOCK_WINDOWS = 100_000
+#: Bytes of the windows in a broadcast block, each taken as its words and so much beside.
+BLOCK_BYTES, WINDOW_BYTES = 32 << 20, 200
 #: Contaminated rows are broadcast up to this count (16 MB), else the join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: What separates words: everything of ASCII but digits and lower-case letters.
@@ -29,8 +29,9 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text_or_empty(text)), SEPARATORS), "")
 
 
-def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``gram, offset, anchor, items``: the distinct windows of a table ``item_id, text``.
+def item_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Of a table ``item_id, text`` its distinct windows, ``window, gram, offset, anchor``, and their
+    items, ``window, item_id``, which no broadcast holds.
 
     An item shorter than ``size`` words is one window; one without words has none. ``anchor`` is
     the longest word (the first of them) and ``offset`` its place in the window.
@@ -40,18 +41,23 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     grams = w.filter(F.size("w") > 0).select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, size))).alias("gram"))
     lengths = F.transform("gram", lambda x: F.length(x))
     offset = (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int")
-    return grams.groupBy("gram").agg(F.collect_set("item_id").alias("items")).select("gram", offset.alias("offset"), F.element_at("gram", offset + 1).alias("anchor"), "items")
+    pairs = stored(grams.distinct(), "benchmark-grams")
+    windows = pairs.select("gram").distinct().select(F.monotonically_increasing_id().alias("window"), "gram", offset.alias("offset"), F.element_at("gram", offset + 1).alias("anchor"))
+    windows = stored(windows, "benchmark-windows")
+    return windows, stored(pairs.filter("item_id IS NOT NULL").join(windows, "gram").select("window", "item_id"), "benchmark-items")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, row: str = "row", block: int = BLOCK_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, row: str = "row", block: int = BLOCK_BYTES) -> DataFrame:
     """Hits of every row of ``docs`` (a table scan with ``doc_id``, ``text``): ``row, doc_id, n_words,
-    hits`` with hits an array of ``(start, length, items)``, counted in words from 0.
+    hits, items`` with hits an array of ``(start, length)``, counted in words from 0, and the sorted
+    item_ids whose windows they are.
 
     Nulls have no words; benchmark rows with a null item_id have windows that count as hits of no
     item. Repeated items count once, repeated rows each get their own hits.
     """
-    grams = stored(item_windows(benchmark, size), "benchmark-windows")
-    blocks = max(1, -(-grams.count() // block))
+    grams, members = item_windows(benchmark, size)
+    bytes_ = grams.agg(F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + WINDOW_BYTES), F.lit(0))).first()[0]
+    blocks = max(1, -(-bytes_ // block))
     text = with_row(docs.select("doc_id", "text"), row).select(row, "doc_id", words("text").alias("w"))
     stream = text.select(row, "doc_id", "w", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
     start, n = F.col("pos") - F.col("offset"), F.size("gram")
@@ -59,18 +65,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, row: str = "
     found = None
     for b in range(blocks):
         part = grams if blocks == 1 else grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
-        hit = F.when(F.col("anchor").isNotNull(), F.struct(start.alias("start"), n.alias("length"), F.col("items")))
+        hit = F.when(F.col("anchor").isNotNull(), F.struct(start.alias("start"), n.alias("length"), F.col("window")))
         met = stream.join(F.broadcast(part), same, "left").filter(F.col("pos").isNull() | (F.col("pos") == 0) | F.col("anchor").isNotNull()).select(row, "doc_id", "n_words", hit.alias("hit"))
         found = met if found is None else found.unionAll(met)
-    return found.groupBy(row, "doc_id", "n_words").agg(F.collect_list("hit").alias("hits"))
+    found = stored(found.groupBy(row, "doc_id", "n_words").agg(F.collect_list("hit").alias("hits")), "benchmark-hits")
+    seen = found.filter(F.size("hits") > 0).select(row, F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window"))
+    items = seen.join(broadcast_if(members, BROADCAST_ROWS // 2), "window").groupBy(row).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = stored(items, "benchmark-found")
+    few = items.agg(F.coalesce(F.sum(F.size("items") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS // 2
+    hits = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length")))
+    out = found.select(row, "doc_id", "n_words", hits.alias("hits")).join(F.broadcast(items) if few else items.hint("merge"), row, "left")
+    return out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 
 def judged(hits: DataFrame) -> DataFrame:
-    """Adds ``n_hit`` (words inside any hit), ``items`` (sorted item_ids) and ``contaminated``."""
+    """Adds ``n_hit`` (words inside any hit) and ``contaminated``."""
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.start, h.start + h.length - 1))))
     return (
         hits.withColumn("n_hit", F.size(covered).cast("long"))
-        .withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
     )
 
@@ -96,6 +108,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document. Null and empty texts have no words and no hits; repeated
+    rows each have theirs; a null item_id counts hits but no item; with an empty benchmark nothing
+    is hit; an empty table gives no rows."""
     found = judged(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select(
         "doc_id",

@@ -3,9 +3,10 @@
 Fixed patterns find assignments, access keys and long hex strings. Beside them a battery of
 randomness tests judges every long token: which encoding it is written in, then three tests for
 that encoding's alphabet. Each test's null hypothesis is that the token is written, not drawn at
-random: character frequencies at least ``UNEVEN`` off uniform (chi-squared), runs above and below
-the alphabet's middle at least ``RUNS_OFF`` of the length off their expectation, serial correlation
-of at least ``SERIAL``. A token counts as random only if all three are refuted, so its p-value is
+random: character frequencies at least ``UNEVEN`` a character off uniform (chi-squared; names and
+paths of programs are about 2.6 off), runs above and below the alphabet's middle at least
+``RUNS_OFF`` of the length off their expectation (alternation is half of it off), serial correlation
+of at least ``SERIAL`` (ordered characters come near 1). A token counts as random only if all three are refuted, so its p-value is
 the largest of the three, and the false discovery rate is held by Benjamini and Hochberg within
 each encoding and length class: short tokens, which can't prove much, don't borrow from long ones.
 """
@@ -26,7 +27,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, LONG_LEAST = 8, 16, 32, 20
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings from the narrowest alphabet; a token has the first whose alphabet holds all of it.
-#: Plain numbers and words of one case are no encodings of secrets.
+#: Plain numbers and words of one case are no encodings of secrets and are not tested.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
@@ -34,8 +35,9 @@ ENCODINGS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-UNEVEN, RUNS_OFF, SERIAL = 1.0, 0.25, 0.5
+UNEVEN, RUNS_OFF, SERIAL = 2.25, 0.45, 0.95
 FALSE_DISCOVERIES = 0.05
 #: p-values are counted in steps of this factor's logarithm, up to exp(-BINS / STEPS).
 STEPS, BINS = 50, 3500
@@ -90,7 +92,7 @@ def _at_most(z: Column) -> Column:
 
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds ``encoding`` and ``p``, the largest p-value of the three tests, to ``token`` rows. Tokens
-    of no encoding are dropped."""
+    of one class of characters only are dropped, and so are those of no encoding."""
     token = F.col("token")
     encoding, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, letters in reversed(ENCODINGS):
@@ -171,6 +173,9 @@ def redact(docs: DataFrame, mask: str = "*") -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. A null text counts as empty; empty texts have no spans; repeated
+    rows each have theirs; of spans that start together the order is that of the kinds; an empty
+    table gives no rows."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     show = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["order"] == k)).cast("long")

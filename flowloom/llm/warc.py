@@ -31,11 +31,19 @@ RESPONSE_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nCo
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """``digest, keeper`` of each payload of ``REVISIT_BYTES`` or more that several pages share:
-    the largest page_id stores it (a null id only if no other is there)."""
-    body = text_or_empty("html")
-    large = pages.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("size")).filter(F.col("size") >= REVISIT_BYTES)
-    return large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "keeper")
+    """``digest, strong, keeper, keeper_id`` of each payload of ``REVISIT_BYTES`` or more that several
+    pages share: the largest page_id stores it (a null id only if no other is there).
+
+    Digests only route: what shares one is grouped by its bytes, and ``strong``, another digest,
+    tells the payloads of one ``digest`` apart.
+    """
+    rows = with_row(pages.select("page_id", text_or_empty("html").alias("html")), "row").filter(F.octet_length("html") >= REVISIT_BYTES)
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    shared = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "warc-digests")
+    same = rows.join(broadcast_if(shared, BROADCAST_GROUPS), "digest").groupBy("digest", "html")
+    kept = same.agg(F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keeper = kept.select("digest", F.sha2("html", 256).alias("strong"), F.col("kept.page_id").alias("page_id"), F.col("kept.row").alias("row"))
+    return keeper.select("digest", "strong", F.col("page_id").alias("keeper"), _urn("response", "row", "page_id").alias("keeper_id"))
 
 
 def _urn(role: str, *parts: str) -> Column:
@@ -44,7 +52,7 @@ def _urn(role: str, *parts: str) -> Column:
 
 
 def _record(kind: Column | str, record_id: Column, fields: list[tuple[str, Column]], block: Column) -> Column:
-    """A record without its last separator, which the writer puts."""
+    """A record without its last separator, which the writer puts. Null fields are left out."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     lines = [F.concat(F.lit(f"{VERSION}\r\nWARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {DATE}")]
     lines += [F.concat(F.lit(f"{name}: "), value) for name, value in fields]
@@ -56,15 +64,17 @@ def records(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     """``value``: three WARC records for each row of ``pages`` (``page_id, url, html``)."""
     rows = with_row(pages.select("page_id", F.regexp_replace(text_or_empty("url"), "[\\x00-\\x20]", "%20").alias("url"), text_or_empty("html").alias("html")), "row")
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    rows = rows.join(broadcast_if(repeated, BROADCAST_GROUPS), "digest", "left")
-    revisit = F.coalesce(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
+    rows = rows.withColumn("strong", F.when(F.col("size") >= REVISIT_BYTES, F.sha2("html", 256)))
+    rows = rows.join(broadcast_if(repeated, BROADCAST_GROUPS), ["digest", "strong"], "left")
+    revisit = F.coalesce(F.col("keeper_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
     rows = rows.withColumn("revisit", revisit).withColumn("id", _urn("response", "row", "page_id"))
     url, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"))
     page = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     head = F.concat(F.lit(RESPONSE_HEAD), F.col("size").cast("string"), F.lit(SEPARATOR))
     block = F.when(F.col("revisit"), head).otherwise(F.concat(head, "html"))
-    profile = ("WARC-Profile", F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")).otherwise(F.lit("")))
-    response = _record(F.when(F.col("revisit"), "revisit").otherwise(F.lit("response")), F.col("id"), [url, digest, profile, ("Content-Type", F.lit("application/http;msgtype=response"))], block)
+    profile = ("WARC-Profile", F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
+    refers = ("WARC-Refers-To", F.when(F.col("revisit"), F.col("keeper_id")))
+    response = _record(F.when(F.col("revisit"), "revisit").otherwise(F.lit("response")), F.col("id"), [url, digest, profile, refers, ("Content-Type", F.lit("application/http;msgtype=response"))], block)
     concurrent = ("WARC-Concurrent-To", F.col("id"))
     get = F.concat(F.lit("GET "), "url", F.lit(" HTTP/1.1" + SEPARATOR))
     request = _record("request", _urn("request", "row", "page_id"), [url, concurrent, ("Content-Type", F.lit("application/http;msgtype=request"))], get)
@@ -76,9 +86,9 @@ def records(pages: DataFrame, repeated: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, path: str) -> None:
     """Archive every row of ``pages`` below ``path``.
 
-    Equal payloads of at least ``REVISIT_BYTES`` are stored once, with the largest page_id; rows
-    that repeat that id with that payload are stored in full again. A null html is an empty payload;
-    null urls are empty.
+    Payloads of at least ``REVISIT_BYTES`` with equal bytes are stored once, with the largest page_id;
+    rows that repeat that id with that payload are stored in full again. A null html is an empty
+    payload; null urls are empty; a null page_id stores a payload only where no other id has it.
     """
     repeated = stored(decide(pages), "warc-repeated")
     records(pages, repeated).write.option("compression", "gzip").option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_RECORDS).text(path)
@@ -132,7 +142,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     Payloads of responses are checked against their digests (a mismatch raises) and, unless
     ``with_payload``, dropped where they are read.
     """
-    names = ["record_id", "type", "concurrent_to", "url", "date", "digest", "payload_bytes", "notes", "http_head", "payload"]
+    names = ["record_id", "type", "concurrent_to", "refers_to", "url", "date", "digest", "payload_bytes", "notes", "http_head", "payload"]
 
     def run(batches):
         def files():
@@ -157,7 +167,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=names)
 
-        kinds = [pa.string()] * 6 + [pa.int64()] + [pa.string()] * 2 + [pa.binary()]
+        kinds = [pa.string()] * 7 + [pa.int64()] + [pa.string()] * 2 + [pa.binary()]
         for pieces in files():
             for h, block, payload in parse(pieces):
                 kind, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -170,7 +180,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     length, payload = _http_length(h["http-head"]), None
                 notes = block.decode("utf-8") if kind == "metadata" else None
                 keep = payload if with_payload and kind == "response" else None
-                out.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), digest, length, notes, h.get("http-head"), keep))
+                out.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), digest, length, notes, h.get("http-head"), keep))
                 size += len(keep or b"")
                 if len(out) >= 2000 or size > 1 << 24:
                     yield batch()
@@ -180,7 +190,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     lines = spark.read.option("lineSep", SEPARATOR).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(run, "record_id string, type string, concurrent_to string, url string, date string, digest string, payload_bytes long, notes string, http_head string, payload binary")
+    return lines.mapInArrow(run, "record_id string, type string, concurrent_to string, refers_to string, url string, date string, digest string, payload_bytes long, notes string, http_head string, payload binary")
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -190,7 +200,7 @@ def assemble(records: DataFrame) -> DataFrame:
     without request or metadata has null there, and records that name no capture are left out.
     """
     response = records.filter(F.col("type").isin("response", "revisit")).select(
-        "record_id", F.struct("type", "url", "date", "digest", "payload_bytes", "http_head", "payload").alias("response")
+        "record_id", F.struct("type", "refers_to", "url", "date", "digest", "payload_bytes", "http_head", "payload").alias("response")
     )
     request = records.filter("type = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "url", "http_head").alias("request"))
     field = lambda name: F.nullif(F.regexp_extract("notes", f"(?m)^{name}: ([^\\r\\n]*)", 1), F.lit(""))
@@ -201,6 +211,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back. A null html is an empty payload; null page_ids
+    come back as null and store a payload only where no other id has it; rows that repeat an id each
+    make a capture; an empty table gives no rows."""
     pages = table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/flowloom/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)

@@ -37,7 +37,7 @@ def cases(odd_rows):
     return docs, items
 
 
-@pytest.mark.parametrize("block", [100_000, 5])
+@pytest.mark.parametrize("block", [32 << 20, 5000])
 def test_against_brute_force(spark, docs, cases, block):
     rows, items = cases
     bench = spark.createDataFrame(items, "item_id long, text string")

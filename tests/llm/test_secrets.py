@@ -1,11 +1,14 @@
 import base64
+import collections
 import hashlib
+import math
 import random
 import re
 import string
 
 from pyspark.sql import functions as F
 
+from flowloom.llm import secrets
 from flowloom.llm.secrets import battery, discoveries, find_secrets, redact
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -63,6 +66,80 @@ def test_prose_is_not_random(spark):
     assert sum(t in kept for (t,) in prose) < 15
 
 
+def slow_tested(token):
+    """(encoding, p) in plain Python; None where the battery has nothing to test."""
+    classes = [re.search(c, token) for c in ("[0-9]", "[a-z]", "[A-Z]")]
+    name = next((n for n, letters in secrets.ENCODINGS if set(token) <= set(letters)), None)
+    if name is None or sum(map(bool, classes)) < 2:
+        return None
+    letters = dict(secrets.ENCODINGS)[name]
+    x, n, k = [letters.index(c) for c in token], len(token), len(letters)
+    below = lambda z: 1 / (1 + math.exp(min(700, -(1.5976 * z + 0.07056 * z**3))))
+    chi = k / n * sum(v * v for v in collections.Counter(x).values()) - n
+    lam = n * secrets.UNEVEN
+    even = below((chi - (k - 1) - lam) / math.sqrt(2 * (k - 1) + 4 * lam))
+    high = [2 * v >= k for v in x]
+    runs, above = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    expected = 2 * above * (n - above) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    spread = max(math.sqrt(variance) if variance > 0 else 0, 0.5)
+    runs = below((abs(runs - expected) - secrets.RUNS_OFF * n) / spread)
+    mean = sum(x) / n
+    var = sum((v - mean) ** 2 for v in x)
+    r = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / var if var else 1.0
+    return name, max(even, runs, below((abs(r) - secrets.SERIAL) * math.sqrt(n)))
+
+
+def slow_discoveries(tokens):
+    """Benjamini and Hochberg over binned p-values, stratum by stratum."""
+    strata = collections.defaultdict(list)
+    for t in tokens:
+        if (tested := slow_tested(t)) is not None:
+            name, p = tested
+            strata[name, int(math.log2(len(t)))].append((min(math.floor(-math.log(p) * secrets.STEPS), secrets.BINS), t))
+    out = []
+    for rows in strata.values():
+        bins = [b for b, _ in rows]
+        passing = [b for b in bins if math.exp(-b / secrets.STEPS) <= secrets.FALSE_DISCOVERIES * sum(c >= b for c in bins) / len(bins)]
+        out += [t for b, t in rows if passing and b >= min(passing)]
+    return sorted(out)
+
+
+def written(rng, n):
+    words = "the quick Reader parser Buffer get Value index string Table user Service config Controller factory test Data item".split()
+    join = rng.choice(["/", "_", ""])
+    out = rng.choice(words)
+    while len(out) < n:
+        out += join + (rng.choice(words) if join else rng.choice(words).capitalize())
+    return out + str(rng.randrange(10))
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(12)
+    alphabets = [letters for _, letters in secrets.ENCODINGS]
+    tokens = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(20, 70))) for _ in range(150)]
+    tokens += ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 24, 32, 40, 64)] + [written(rng, rng.randrange(20, 60)) for _ in range(300)]
+    tokens += ["a1" * 12, "A" * 30, "1" * 25, "0123456789abcdef" * 2, "aB3" * 9, "a+b_" * 6 + "9"]
+    tested = battery(spark.createDataFrame([(t,) for t in tokens], "token string"))
+    got = {r.token: (r.encoding, r.p) for r in tested.collect()}
+    want = {t: v for t in tokens if (v := slow_tested(t)) is not None}
+    assert got.keys() == want.keys()
+    assert all(got[t][0] == want[t][0] and math.isclose(got[t][1], want[t][1], rel_tol=1e-9, abs_tol=1e-300) for t in want)
+    assert sorted(r.token for r in discoveries(tested).collect()) == slow_discoveries(tokens)
+
+
+def test_recall_by_length_beside_prose(spark):
+    """Of random tokens among four times as many written ones, by length."""
+    rng = random.Random(13)
+    letters = string.ascii_letters + string.digits
+    for n, least in ((20, 0.4), (24, 0.7), (32, 0.9), (40, 0.95)):
+        random_ = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(200)]
+        prose = [written(rng, n) for _ in range(800)]
+        found = set(slow_discoveries(random_ + prose))
+        assert sum(t in found for t in random_) >= least * 200
+        assert sum(t in found for t in prose) <= 0.1 * len(found)
+
+
 def test_redact(docs, odd_rows):
     rows = odd_rows + rows_with_secrets()[:4]
     table = docs(rows)

@@ -27,10 +27,22 @@ def test_round_trip(spark, pages, monkeypatch, tmp_path):
     stored = sorted((str(r.metadata.page_id), r.response.payload.decode()) for r in got if r.response.type == "response")
     big = rows[0][2]
     assert stored == sorted((str(i), h or "") for i, _, h in rows if h != big or i == 3)
+    stores = {r.record_id: r.metadata.page_id for r in got if r.response.type == "response"}
+    assert {stores[r.response.refers_to] for r in got if r.response.type == "revisit"} == {"3"}
+    assert all(r.response.refers_to is None for r in got if r.response.type == "response")
     assert all(r.request.http_head.startswith("GET ") and r.response.http_head.startswith("HTTP/1.1 200") for r in got)
     assert {r.request.url for r in got if r.metadata.page_id == "1"} == {"http://a/%20b%20%20"}
 
 
+def test_digests_only_route(spark, pages, monkeypatch, tmp_path):
+    """Payloads that share a digest are told apart by their bytes."""
+    monkeypatch.setattr(warc.F, "sha1", lambda c: warc.F.lit("d"))
+    rows = [(1, "u", "a" * 2000, "x", "y"), (2, "u", "a" * 2000, "x", "y"), (9, "u", "b" * 2000, "x", "y")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "p"))
+    got = warc.decide(spark.read.parquet(str(tmp_path / "p"))).collect()
+    assert [(r.digest, r.keeper) for r in got] == [("d", 2)]
+
+
 def test_query(spark, pages, monkeypatch):
     rows, table = pages
     monkeypatch.setattr(warc, "table", lambda *_: table)
