@@ -28,13 +28,17 @@ def multiset_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], by:
     return both.groupBy(*by).agg(F.sum(tp).alias("tp"), F.sum(F.col("p") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"), F.sum("g").alias("support"))
 
 
-def count_benchmark(gold: DataFrame, predicted: DataFrame, docs: DataFrame, types: list[str], compat: bool = False) -> DataFrame:
-    """Gateway counts by document and type: tp the smaller count, the rest missed or wrong. ``compat``
-    books what is missing as false positives too where there are no more predictions than gold."""
+def count_benchmark(gold: DataFrame, predicted: DataFrame, docs: DataFrame, types: list[str], compat: bool = False, same: DataFrame | None = None) -> DataFrame:
+    """Gateway counts by document and type: tp the smaller count, the rest missed or wrong. Gold counts
+    are less by the same-gateway relations (``same``: ``doc_id, label`` of their sources), since what
+    these relate is one gateway. ``compat`` books what is missing as false positives too where there are no more predictions than gold."""
     grid = empty_grid(docs, types)
     g = gold.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("g"))
     p = predicted.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("p"))
     rows = grid.join(g, ["doc_id", "label"], "left").join(p, ["doc_id", "label"], "left").fillna(0, ["g", "p"])
+    if same is not None:
+        s = same.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("same"))
+        rows = rows.join(s, ["doc_id", "label"], "left").withColumn("g", F.col("g") - F.coalesce("same", F.lit(0))).drop("same")
     more = F.greatest(F.col("p") - F.col("g"), F.lit(0))
     fp = F.when(F.col("p") <= F.col("g"), F.col("g") - F.col("p")).otherwise(more) if compat else more
     rows = rows.select("doc_id", "label", F.least("g", "p").alias("tp"), fp.alias("fp"), F.greatest(F.col("g") - F.col("p"), F.lit(0)).alias("fn"), F.col("g").alias("support"))

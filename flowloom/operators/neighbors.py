@@ -21,7 +21,8 @@ def neighbours(gateways: DataFrame, activities: DataFrame) -> DataFrame:
     rows = acts.unionByName(gates)
     # at one place the gateway comes first looking back and last looking ahead: neighbours are strict
     back = F.last("act", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("s", "t", F.desc("side")).rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first("act", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("s", "t", "side").rowsBetween(1, Window.unboundedFollowing))
+    # both frames run from the start of their order: each row adds to the last one's result
+    ahead = F.last("act", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy(F.desc("s"), F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("p", back).withColumn("f", ahead).filter("side = 1")
     return rows.select("doc_id", "s", "t", "g.*", F.col("p.a").alias("pa"), F.col("p.before").alias("ppa"), F.col("f.a").alias("fa"), F.col("f.next").alias("ffa"))
 

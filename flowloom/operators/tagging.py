@@ -46,8 +46,8 @@ def document_tokens(tokens_: DataFrame) -> DataFrame:
     ``I-`` tokens)."""
     w = Window.partitionBy("doc_id").orderBy("sentence_idx", "token_idx")
     rows = tokens_.withColumn("doc_token_idx", F.row_number().over(w) - 1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    stop = F.first(F.when(~F.startswith("ner_tag", F.lit("I-")), F.col("doc_token_idx")), ignorenulls=True).over(after)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("doc_token_idx")).rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.last(F.when(~F.startswith("ner_tag", F.lit("I-")), F.col("doc_token_idx")), ignorenulls=True).over(after)
     end = F.max("doc_token_idx").over(Window.partitionBy("doc_id")) + 1
     return rows.withColumn("n_following_i", F.coalesce(stop, end) - F.col("doc_token_idx") - 1)
 

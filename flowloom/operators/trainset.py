@@ -91,13 +91,15 @@ def mask_activities(tokens: DataFrame, mode: str, by: tuple = ("doc_id", "senten
         return tokens.withColumn("token", F.when(is_act, dummy).otherwise(F.col("token")))
     ranks = activity_ranks(tokens).select(F.col("token").alias("mask"), F.col("rank").cast("long").alias("place"))
     if mode == "single_mask":
-        rows = tokens.withColumn("place", F.when(is_act, F.lit(0).cast("long")))
-    elif mode == "multi_mask":
-        w = Window.partitionBy(*by).orderBy("sentence_idx", "token_idx")
-        rows = tokens.withColumn("place", F.when(is_act, F.sum(is_act.cast("long")).over(w) - 1))
-    else:
+        top = ranks.filter("place = 0").first()
+        return tokens if top is None else tokens.withColumn("token", F.when(is_act, F.lit(top["mask"])).otherwise(F.col("token")))
+    if mode != "multi_mask":
         raise ValueError("mode is 'dummy', 'single_mask' or 'multi_mask'")
-    return rows.join(ranks, "place", "left").withColumn("token", F.coalesce("mask", "token")).drop("mask", "place")
+    # other tokens take no part in the join: they have no place, and would all meet in one task
+    w = Window.partitionBy(*by).orderBy("sentence_idx", "token_idx")
+    acts = tokens.filter(is_act).withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+    masked = acts.join(ranks, "place", "left").withColumn("token", F.coalesce("mask", "token")).select(*tokens.columns)
+    return tokens.filter(~is_act | is_act.isNull()).unionByName(masked)
 
 
 def synonym_samples(samples: DataFrame, synonyms: DataFrame, first_id: int = 500) -> DataFrame:

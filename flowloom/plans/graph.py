@@ -175,26 +175,55 @@ def g14(spark, d):
     return ops.final_relations(mirrored).select("doc_id", idx("a1", "s"), idx("a2", "t"), "relation_type")
 
 
-@query("g16_activity_relations")
+#: The composed relations from the pieces' SQL: flows with the start edge, merge points, branches.
+BRANCH = MERGE.replace("\nedge AS MATERIALIZED", "\nedge0 AS MATERIALIZED").replace(
+    "\nsg AS MATERIALIZED",
+    "\nedge AS MATERIALIZED (SELECT * FROM edge0 UNION ALL SELECT doc_id, -1, -1, 'start', arg_min(s, flow_ord), arg_min(s_kind, flow_ord) FROM edge0 GROUP BY doc_id),\nsg AS MATERIALIZED",
+) + """,
+sgc AS (SELECT doc_id, s, t FROM sg UNION SELECT c.doc_id, c.s, x.t FROM sgc c JOIN sg x ON x.doc_id = c.doc_id AND x.s = c.t),
+starts AS MATERIALIZED (SELECT g.doc_id, g.g, g.kind, e.t, e.t_kind, 'g -> a' AS how FROM gate g JOIN edge e ON e.doc_id = g.doc_id AND e.s = g.g
+  UNION ALL SELECT g.doc_id, g.g, g.kind, e.t, e.t_kind, 'g -> sg -> a' FROM gate g JOIN sgc c ON c.doc_id = g.doc_id AND c.s = g.g JOIN edge e ON e.doc_id = c.doc_id AND e.s = c.t),
+heads AS MATERIALIZED (SELECT DISTINCT s.doc_id, s.g, s.kind, m.m, s.t AS st FROM starts s LEFT JOIN merge m ON m.doc_id = s.doc_id AND m.g = s.g WHERE NOT (how = 'g -> a' AND s.t IS NOT DISTINCT FROM m.m)),
+within AS (SELECT DISTINCT doc_id, st, m, st AS x FROM heads
+  UNION SELECT w.doc_id, w.st, w.m, unnest(list_prepend(e.t, coalesce((SELECT list(c.t) FROM sgc c WHERE c.doc_id = e.doc_id AND c.s = e.t), []))) FROM within w JOIN edge e ON e.doc_id = w.doc_id AND e.s = w.x AND (w.m IS NULL OR e.t < w.m)),
+act AS MATERIALIZED (SELECT doc_id, idx FROM node WHERE kind = 'Activity'),
+branch AS MATERIALIZED (SELECT DISTINCT h.doc_id, h.g, h.kind, h.st, w.x FROM heads h JOIN within w ON w.doc_id = h.doc_id AND w.st = h.st AND w.m IS NOT DISTINCT FROM h.m JOIN act a ON a.doc_id = w.doc_id AND a.idx = w.x)"""
+ALL_RELATIONS = BRANCH + """,
+back AS (SELECT doc_id, t AS x, s AS p, s_kind AS k FROM edge WHERE t_kind <> 'Activity' UNION SELECT b.doc_id, b.x, e.s, e.s_kind FROM back b JOIN edge e ON e.doc_id = b.doc_id AND e.t = b.p AND b.k <> 'Activity'),
+before AS (SELECT doc_id, t AS g, s AS a FROM edge WHERE t_kind LIKE '%Gateway' AND s_kind = 'Activity'
+  UNION ALL SELECT e.doc_id, e.t, b.p FROM edge e JOIN back b ON b.doc_id = e.doc_id AND b.x = e.s AND b.k = 'Activity' WHERE e.t_kind LIKE '%Gateway' AND e.s_kind LIKE '%Gateway'),
+known AS MATERIALIZED (SELECT doc_id, s, t, 'directly_following' AS relation_type, 'normal df' AS comment FROM edge WHERE s_kind = 'Activity' AND t_kind = 'Activity'
+  UNION ALL SELECT f.doc_id, f.a, s.t, 'directly_following', s.how FROM before f JOIN starts s ON s.doc_id = f.doc_id AND s.g = f.g AND s.t_kind = 'Activity'
+  UNION ALL SELECT DISTINCT l.doc_id, l.x, r.x, CASE l.kind WHEN 'XOR Gateway' THEN 'exclusive' ELSE 'concurrent' END, 'branch' FROM branch l JOIN branch r ON r.doc_id = l.doc_id AND r.g = l.g AND l.st < r.st AND l.x <> r.x),
+hop AS MATERIALIZED (SELECT doc_id, s, t FROM edge UNION SELECT doc_id, s, t FROM sgc),
+reach AS (SELECT doc_id, s, t FROM hop UNION SELECT r.doc_id, r.s, h.t FROM reach r JOIN hop h ON h.doc_id = r.doc_id AND h.s = r.t),
+touched AS MATERIALIZED (SELECT DISTINCT doc_id, least(s, t) AS x, greatest(s, t) AS y FROM known),
+rest AS (SELECT a.doc_id, a.idx AS s, b.idx AS t, CASE WHEN r.s IS NULL THEN 'exclusive' ELSE 'eventually_following' END AS relation_type, CASE WHEN r.s IS NULL THEN 'fallback' ELSE 'path' END AS comment
+  FROM act a JOIN act b ON b.doc_id = a.doc_id AND a.idx < b.idx LEFT JOIN reach r ON r.doc_id = a.doc_id AND r.s = a.idx AND r.t = b.idx
+  WHERE NOT EXISTS (SELECT 1 FROM touched k WHERE k.doc_id = a.doc_id AND k.x = a.idx AND k.y = b.idx)),
+final AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, least(s, t), greatest(s, t), relation_type, comment ORDER BY s, t) AS n FROM (SELECT * FROM known UNION ALL SELECT * FROM rest) WHERE s <> t) WHERE n = 1)"""
+
+
+@query("g16_activity_relations", sql(ALL_RELATIONS, "SELECT doc_id, s, t, relation_type, comment FROM final", True))
 def g16(spark, d):
     rel, _, _ = ops.activity_relations(*graph(spark, d))
     return rel.select("doc_id", idx("a1", "s"), idx("a2", "t"), "relation_type", "comment")
 
 
-@query("g11_directly_following")
+@query("g11_directly_following", sql(ALL_RELATIONS, "SELECT doc_id, s, t, relation_type, comment FROM final WHERE relation_type = 'directly_following'", True))
 def g11(spark, d):
     return g16(spark, d).filter("relation_type = 'directly_following'")
 
 
-@query("g12_branch_relations")
+@query("g12_branch_relations", sql(ALL_RELATIONS, "SELECT doc_id, s, t, relation_type, comment FROM final WHERE comment = 'branch'", True))
 def g12(spark, d):
     return g16(spark, d).filter("comment = 'branch'")
 
 
-@query("a3_branch_lengths")
+@query("a3_branch_lengths", sql(BRANCH, "SELECT count(*) AS n, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS std, min(b) AS min, quantile_cont(b, 0.25) AS p25, quantile_cont(b, 0.5) AS p50, quantile_cont(b, 0.75) AS p75, max(b) AS max FROM (SELECT count(DISTINCT x) AS b FROM branch GROUP BY doc_id, g, st)", True))
 def a3(spark, d):
     lengths = ops.branch_lengths(ops.activity_relations(*graph(spark, d))[2])
     p = lambda q: F.percentile("branch_length", q).alias(f"p{int(q * 100)}")
-    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("branch_length").alias("mean"), F.stddev_samp("branch_length").alias("std"), F.min("branch_length").alias("min"), p(0.25), p(0.5), p(0.75), F.max("branch_length").alias("max"))
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("branch_length"), 6).alias("mean"), F.round(F.stddev_samp("branch_length"), 6).alias("std"), F.min("branch_length").alias("min"), p(0.25), p(0.5), p(0.75), F.max("branch_length").alias("max"))
 
 

@@ -110,7 +110,10 @@ def t8(spark, d):
     return copies(spark, d).select("original_id", "sample_id", F.md5(joined("tokens")).alias("words"))
 
 
-@query("t9_training_with_copies")
+SYN_SQL = TAG + ",\nsyn(k, w, x) AS (VALUES ('XOR Gateway','or','otherwise'), ('XOR Gateway','or','else'), ('XOR Gateway','when','whenever'), ('AND Gateway','and','plus'), ('AND Gateway','with','alongside')),\nhit AS (SELECT DISTINCT doc_id, sentence_idx, k, w, x FROM tag JOIN syn ON low = w AND ner_tag LIKE '%' || k),\nlong AS (SELECT doc_id, sentence_idx, count(*) AS n FROM tag GROUP BY 1, 2),\ncopy AS (SELECT doc_id * 100000 + sentence_idx AS original_id, 500 + row_number() OVER (ORDER BY k = 'AND Gateway', doc_id * 100000 + sentence_idx, w, x) - 1 AS sample_id, n FROM hit JOIN long USING (doc_id, sentence_idx))"
+
+
+@query("t9_training_with_copies", sql(SYN_SQL, "SELECT doc_id * 100000 + sentence_idx AS sample_id, n FROM long WHERE (doc_id * 100000 + sentence_idx) % 5 <> 0 UNION ALL SELECT sample_id, n FROM copy WHERE original_id % 5 <> 0"))
 def t9(spark, d):
     train = samples(spark, d).filter("sample_id % 5 <> 0")
     return ops.with_copies(train, copies(spark, d)).select("sample_id", F.size("tokens").alias("n"))
