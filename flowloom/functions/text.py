@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sentences(text: Column) -> Column:
-    """Trimmed non-empty sentences between full stops, question or exclamation marks and line ends."""
-    return F.filter(F.transform(F.split(text, "[.!?\\n]+"), lambda s: F.btrim(s, F.lit(" \t\r"))), lambda s: s != "")
+#: Ends of sentences: by default also question and exclamation marks and line ends; the annotated
+#: corpus itself is split at full stops alone.
+ENDS, FULL_STOPS = "[.!?\\n]+", "[.]"
+
+
+def sentences(text: Column, ends: str = ENDS) -> Column:
+    """Trimmed non-empty sentences between the ends."""
+    return F.filter(F.transform(F.split(text, ends), lambda s: F.btrim(s, F.lit(" \t\r"))), lambda s: s != "")
 
 
 def tokens(sentence: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import appended, stored
 from ..schemas import CONCURRENT, DIRECTLY, EXCLUSIVE, RELATION_LABELS
 
 
@@ -21,8 +21,8 @@ def with_start(df_relations: DataFrame, start: Column) -> DataFrame:
     """Adds edges from the artificial ``start`` to every activity that nothing leads to."""
     firsts = df_relations.select("doc_id", "a1").distinct().join(df_relations.select("doc_id", F.col("a2").alias("a1")), ["doc_id", "a1"], "left_anti")
     kind = df_relations.schema["a1"].dataType
-    # after all others, in the order of the text: ord continues below zero so that starts come first
-    edges = firsts.select("doc_id", start.cast(kind).alias("a1"), F.col("a1").alias("a2"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("a1")) - 1_000_000).cast("long").alias("ord"))
+    # in the order of the text, before all others: ord ends at -1, however many starts there are
+    edges = firsts.select("doc_id", start.cast(kind).alias("a1"), F.col("a1").alias("a2"), (-F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("a1")))).cast("long").alias("ord"))
     return edges.unionByName(df_relations.select("doc_id", "a1", "a2", F.col("ord").cast("long").alias("ord")))
 
 
@@ -97,7 +97,7 @@ def full_branches(gateways: DataFrame, df_relations: DataFrame) -> DataFrame:
         step = front.select(*keys, F.col("a").alias("at")).join(hops, ["doc_id", "at"]).select(*keys, "a").distinct()
         step = step.join(stops, ["doc_id", "gateway_idx", "a"], "left_anti").join(found, [*keys, "a"], "left_anti")
         front = stored(step.select(*keys, "a", F.lit(n).alias("ord")), "branches")
-        found = stored(found.unionByName(front), "branches")
+        found = appended(found, front)
     return found
 
 

@@ -1,8 +1,8 @@
 """Flow graphs: degrees, links, closures, reachability, merge points, activity relations.
 
 Flows are ``doc_id, flow_ord, source, target`` with entities; graphs of all documents advance
-together, and closures double their reach each round, so rounds grow with the logarithm of the
-longest path.
+together. Closures double their reach each round, so rounds grow with the logarithm of the longest
+path; walks that stop at activities or merge points take a hop a round. A round appends what is new.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import appended, stored
 from ..schemas import ACTIVITY, CONDITION, DIRECTLY, DOC_START, EVENTUALLY, EXCLUSIVE, GATEWAYS, entity, position
 
 
@@ -33,7 +33,7 @@ def closure(edges: DataFrame) -> DataFrame:
         new = stored(step.join(pairs, ["doc_id", "a", "b"], "left_anti"), "closure")
         if new.isEmpty():
             return pairs
-        pairs = stored(pairs.unionByName(new), "closure")
+        pairs = appended(pairs, new)
 
 
 def same_gateway_closure(relations: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def last_activities(flows: DataFrame) -> DataFrame:
         front = stored(step.join(found, ["doc_id", "entity", "previous"], "left_anti"), "last")
         if front.isEmpty():
             break
-        found = stored(found.unionByName(front), "last")
+        found = appended(found, front)
     return found.filter(F.col("previous.entity_type") == ACTIVITY).select("doc_id", "entity", F.col("previous").alias("activity"))
 
 
@@ -152,7 +152,7 @@ def until_merge(starts: DataFrame, flows: DataFrame, same: DataFrame) -> DataFra
         front = stored(step.join(old, same_row, "left_anti"), "branch")
         if front.isEmpty():
             return found
-        found = stored(found.unionByName(front), "branch")
+        found = appended(found, front)
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], kind: str, comment: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import add_spans, sentences, span_tags, tokens
+from ..functions.text import ENDS, add_spans, sentences, span_tags, tokens
 from ..schemas import AND, XOR, entity
 
 
-def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
+def split_sentences(docs: DataFrame, text: str = "text", ends: str = ENDS) -> DataFrame:
     """``doc_id, sentence_idx, tokens`` of a table ``doc_id, text``; null texts have no sentences."""
-    rows = docs.select("doc_id", F.posexplode(sentences(F.col(text))).alias("sentence_idx", "sentence"))
+    rows = docs.select("doc_id", F.posexplode(sentences(F.col(text), ends)).alias("sentence_idx", "sentence"))
     return rows.select("doc_id", "sentence_idx", tokens(F.col("sentence")).alias("tokens"))
 
 

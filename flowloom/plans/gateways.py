@@ -81,38 +81,67 @@ def pairs(spark, d):
     return stored(ops.pair_points(ops.merge_candidates(ops.split_points(df), "receiving"), ops.merge_candidates(ops.merge_points(df), "pointing")), "pairs")
 
 
-@query("x5_paired_points")
+#: Gateways in SQL: points, their pairing as a fold, branches, votes.
+POINTS = REL + """,
+s0 AS (SELECT doc_id, a1, min(ord) AS o, list(a2 ORDER BY ord) AS rec FROM dfr GROUP BY 1, 2 HAVING count(*) > 1),
+s1 AS (SELECT doc_id, rec, min(o) AS o, list(a1 ORDER BY o) AS poi FROM s0 GROUP BY 1, 2),
+m0 AS (SELECT doc_id, a2, min(ord) AS o, list(a1 ORDER BY ord) AS poi FROM dfr GROUP BY 1, 2 HAVING count(*) > 1),
+m1 AS (SELECT doc_id, poi, min(o) AS o, list(a2 ORDER BY o) AS rec FROM m0 GROUP BY 1, 2),
+pts AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_min(poi), k, o, poi, rec) AS i, k, poi, rec FROM (SELECT doc_id, 0 AS k, o, poi, rec FROM s1 UNION ALL SELECT doc_id, 1, o, poi, rec FROM m1)),
+fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, []::BIGINT[] AS open, NULL::BIGINT AS split, NULL::BIGINT AS merge FROM pts
+  UNION ALL SELECT f.doc_id, p.i, CASE WHEN p.k = 0 THEN list_append(f.open, p.i) ELSE f.open[:greatest(len(f.open) - 1, 0)] END, CASE WHEN p.k = 1 THEN f.open[-1] END, CASE WHEN p.k = 1 AND len(f.open) > 0 THEN p.i END
+  FROM fold f JOIN pts p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+gwy AS MATERIALIZED (SELECT s.doc_id, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY s.i) - 1 AS INTEGER) AS gateway_idx, s.poi, s.rec, m.rec AS mrec
+  FROM pts s LEFT JOIN fold f ON f.doc_id = s.doc_id AND f.split = s.i LEFT JOIN pts m ON m.doc_id = f.doc_id AND m.i = f.merge WHERE s.k = 0),
+heads AS MATERIALIZED (SELECT doc_id, gateway_idx, mrec, CAST(j - 1 AS INTEGER) AS branch, kept[j] AS a FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS j FROM (SELECT *, list_filter(rec, lambda x: NOT list_contains(coalesce(mrec, []), x)) AS kept FROM gwy)))"""
+FULL = POINTS + """,
+walk AS (SELECT doc_id, gateway_idx, mrec, branch, a, 0 AS n FROM heads UNION SELECT w.doc_id, w.gateway_idx, w.mrec, w.branch, e.a2, w.n + 1 FROM walk w JOIN dfr e ON e.doc_id = w.doc_id AND e.a1 = w.a AND NOT list_contains(coalesce(w.mrec, []), e.a2)),
+members AS MATERIALIZED (SELECT doc_id, gateway_idx, branch, a, min(n) AS ord FROM walk GROUP BY 1, 2, 3, 4)"""
+STARTS = POINTS + ",\nmembers AS MATERIALIZED (SELECT doc_id, gateway_idx, branch, a, 0 AS ord FROM heads)"
+VOTES = """,
+met AS (SELECT l.doc_id, l.gateway_idx, r.relation_type AS k, {'b1': l.branch, 'b2': q.branch, 'o1': l.ord, 'a1': l.a, 'o2': q.ord, 'a2': q.a} AS o
+  FROM members l JOIN members q ON q.doc_id = l.doc_id AND q.gateway_idx = l.gateway_idx AND l.branch < q.branch AND l.a <> q.a LEFT JOIN rel r ON r.doc_id = l.doc_id AND r.a1 = least(l.a, q.a) AND r.a2 = greatest(l.a, q.a)),
+cnt AS (SELECT doc_id, gateway_idx, count(*) AS n, count(*) FILTER (k = 'exclusive') AS x, count(*) FILTER (k = 'concurrent') AS c, min(o) FILTER (k = 'exclusive') AS fx, min(o) FILTER (k = 'concurrent') AS fc FROM met GROUP BY 1, 2),
+sz AS (SELECT doc_id, gateway_idx, CAST(count(*) AS INTEGER) AS size FROM members GROUP BY 1, 2),
+vote AS (SELECT g.doc_id, g.gateway_idx, array_to_string(g.poi, ',') AS split, array_to_string(g.mrec, ',') AS merge, coalesce(size, 0) AS size,
+  CASE WHEN n IS NULL THEN 'XOR Gateway optional' WHEN greatest(x, c) = 0 THEN 'no_gateway_relations' WHEN x > c OR (x = c AND fx < fc) THEN 'XOR Gateway' ELSE 'AND Gateway' END AS type,
+  CASE WHEN n IS NULL THEN 1.0::DOUBLE WHEN greatest(x, c) = 0 THEN -1.0::DOUBLE ELSE round(greatest(x, c) / n, 4) END AS confidence
+  FROM gwy g LEFT JOIN cnt USING (doc_id, gateway_idx) LEFT JOIN sz USING (doc_id, gateway_idx)),
+final AS (SELECT *, CASE type WHEN 'XOR Gateway optional' THEN 'XOR Gateway' ELSE type END AS eval_type FROM vote)"""
+
+
+@query("x5_paired_points", sql(POINTS, "SELECT doc_id, gateway_idx, array_to_string(poi, ',') AS split, array_to_string(mrec, ',') AS merge FROM gwy", True))
 def x5(spark, d):
     return pairs(spark, d).select("doc_id", "gateway_idx", show("split.pointing").alias("split"), show("merge.receiving").alias("merge"))
 
 
-@query("x6_branch_starts")
+@query("x6_branch_starts", sql(POINTS, "SELECT doc_id, gateway_idx, branch, a AS start FROM heads", True))
 def x6(spark, d):
     return ops.branch_starts(pairs(spark, d))
 
 
-@query("x7_full_branches")
+@query("x7_full_branches", sql(FULL, "SELECT doc_id, gateway_idx, branch, a FROM members", True))
 def x7(spark, d):
     return ops.full_branches(pairs(spark, d), directly(spark, d)).select("doc_id", "gateway_idx", "branch", "a")
 
 
-@query("x9_start_votes")
+@query("x9_start_votes", sql(STARTS + VOTES, "SELECT doc_id, gateway_idx, type, confidence, size FROM vote", True))
 def x9(spark, d):
     return extracted(spark, d, full=False).select("doc_id", "gateway_idx", "type", "confidence", "size")
 
 
-@query("x11_gateways")
+@query("x11_gateways", sql(FULL + VOTES, "SELECT doc_id, gateway_idx, split, merge, type, eval_type, confidence, size FROM final", True))
 def x11(spark, d):
     g = extracted(spark, d)
     return g.select("doc_id", "gateway_idx", show("split.pointing").alias("split"), show("merge.receiving").alias("merge"), "type", "eval_type", "confidence", "size")
 
 
-@query("a4_confidence_by_size")
+@query("a4_confidence_by_size", sql(FULL + VOTES, "SELECT eval_type, size, round(avg(confidence), 6) AS confidence, count(*) AS n FROM final GROUP BY 1, 2", True))
 def a4(spark, d):
     return extracted(spark, d).groupBy("eval_type", "size").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 
-@query("a5_confidence_by_type")
+@query("a5_confidence_by_type", sql(FULL + VOTES, "SELECT eval_type, round(avg(confidence), 6) AS confidence FROM final WHERE eval_type IN ('XOR Gateway', 'AND Gateway') GROUP BY 1", True))
 def a5(spark, d):
     return extracted(spark, d).filter(F.col("eval_type").isin("XOR Gateway", "AND Gateway")).groupBy("eval_type").agg(F.round(F.avg("confidence"), 6).alias("confidence"))
 

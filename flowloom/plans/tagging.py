@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import joined
+from ..functions.text import FULL_STOPS, joined
 from ..operators import neighbors, tagging
 from ..schemas import ACTIVITY, AND, XOR
 from ..sources import corpus as corpus_io
@@ -84,6 +84,14 @@ def p1(spark, d):
     return rows.select("doc_id", "sentence_idx", F.size("tokens").cast("long").alias("n_tokens"), F.md5(joined("tokens")).alias("words"))
 
 
+@query("p1_full_stop_sentences", r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, E' \t\r')), lambda x: x <> '') AS ss FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_idx, CAST(len(string_split_regex(ss[i], '[ \t\r]+')) AS BIGINT) AS n_tokens FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s)""")
+def p1_full_stops(spark, d):
+    rows = tagging.split_sentences(fx.read(spark, d, "documents"), ends=FULL_STOPS)
+    return rows.select("doc_id", "sentence_idx", F.size("tokens").cast("long").alias("n_tokens"))
+
+
 @query("p1_conversation_tokens", "SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_sentences FROM (SELECT conv_id, turn, len(string_split_regex(s, '[ \\t\\r]+')) AS n FROM (SELECT conv_id, turn, unnest(list_filter(list_transform(string_split_regex(text, '[.!?\\n]+'), lambda x: trim(x, E' \\t\\r')), lambda x: x <> '')) AS s FROM conversations)) GROUP BY ALL")
 def p1_conversations(spark, d):
     turns = fx.read(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
