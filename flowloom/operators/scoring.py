@@ -29,6 +29,14 @@ def fit_tokens(tokens: DataFrame, width: int = 2, **options):
     return text_pipeline(weight="weight", **options).fit(token_features(tokens, width))
 
 
+def full_training(tokens: DataFrame, path: str, width: int = 2, **options):
+    """The token-class scorer fitted on all rows, none held back, stored at ``path`` and read again."""
+    from pyspark.ml import PipelineModel
+
+    fit_tokens(tokens, width, **options).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def fit_texts(rows: DataFrame, **options):
     """Pair or relation scorer of rows with ``text`` and ``label``."""
     return text_pipeline(**options).fit(text_words(rows))

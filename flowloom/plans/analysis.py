@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import shared_dir, stored
 from ..functions.text import joined
 from ..operators import scoring as ops
 from ..operators import trainset
 from ..operators.neighbors import adjacent
-from ..schemas import XOR
+from ..schemas import ACTIVITY, AND, CONCURRENT, DIRECTLY, EXCLUSIVE, XOR
 from . import fixtures as fx
 from .fixtures import ENT, TAG, sql
 from .gateways import REL, relations
@@ -30,12 +33,12 @@ def query(name: str, oracle: str | None = None):
 
 
 def class_scores(spark, d):
-    """Embedding components as class scores: ``vec_id, seed, class, score``, four seeds of eight classes."""
-    v = fx.read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).filter("i < 32")
+    """Embedding components as class scores: ``vec_id, seed, class, score``, one seed for each eight components."""
+    v = fx.read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     return v.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("seed"), (F.col("i") % 8).alias("class"), F.col("x").cast("double").alias("score"))
 
 
-EMB = "sc AS MATERIALIZED (SELECT vec_id, i // 8 AS seed, i % 8 AS class, CAST(embedding[i + 1] AS DOUBLE) AS score FROM (SELECT vec_id, embedding, unnest(range(32)) AS i FROM embeddings))"
+EMB = "sc AS MATERIALIZED (SELECT vec_id, i // 8 AS seed, i % 8 AS class, CAST(embedding[i + 1] AS DOUBLE) AS score FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings))"
 
 
 @query("m4_ensemble", sql(EMB, "SELECT vec_id, class, round(score, 6) AS score FROM (SELECT vec_id, class, avg(score) AS score FROM sc GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) = 1"))
@@ -101,15 +104,42 @@ def m1(spark, d):
 @query("m2_pair_scores")
 def m2(spark, d):
     near = adjacent(stored(gateways(spark, d).filter(F.col("kind") == XOR), "gateways"))
-    rows = near.select("doc_id", "s", "t", F.concat_ws(" ", joined("low"), joined("n_low")).alias("text"), ((F.col("s") + F.col("t")) % 2).alias("label"))
+    # gold: both are of the gold lexicon and stand in one sentence
+    same = joined("low").isin(fx.GOLD_XOR) & joined("n_low").isin(fx.GOLD_XOR) & (F.col("s") == F.col("n_s"))
+    rows = near.select("doc_id", "s", "t", F.concat_ws(" ", joined("low"), joined("n_low")).alias("text"), same.cast("int").alias("label"))
     rows = stored(rows, "pairs")
     return ops.scores(ops.fit_texts(rows, iterations=5), ops.text_words(rows), ["doc_id", "s", "t"]).filter("class = 1").select("doc_id", "s", "t", F.round("score", 4).alias("score"))
 
 
+def relation_texts(spark, d):
+    """``doc_id, label, text``: each activity with the next one of its document. The text is that of the
+    sentences from one to the other with both activities' words; the label is exclusive or concurrent
+    where the first gateway between them is an XOR or AND gateway, else directly following."""
+    tags = stored(fx.tagged_tokens(spark, d), "tags")
+    place = Window.partitionBy("doc_id").orderBy("sentence_idx", "token_idx")
+    marks = tags.filter(F.startswith("ner_tag", F.lit("B-"))).select("doc_id", "sentence_idx", "token_idx", "token", F.substring("ner_tag", 3, 50).alias("kind"))
+    marks = marks.withColumn("after", F.lead("kind").over(place))
+    acts = marks.filter(F.col("kind") == ACTIVITY)
+    after = lambda c: F.lead(c).over(place)
+    pairs = acts.select("doc_id", F.struct("sentence_idx", "token_idx").alias("pair_id"), F.col("sentence_idx").alias("s1"), after("sentence_idx").alias("s2"), F.col("token").alias("w1"), after("token").alias("w2"), "after").filter("s2 IS NOT NULL")
+    kind = F.when(F.col("after") == XOR, EXCLUSIVE).when(F.col("after") == AND, CONCURRENT).otherwise(DIRECTLY)
+    pairs = stored(pairs.withColumn("relation_type", kind), "pairs")
+    texts = trainset.contexts(pairs, fx.corpus(spark, d), 0)
+    rows = trainset.relation_rows(pairs.join(texts, ["doc_id", "pair_id"]))
+    return rows.select("doc_id", "label", F.concat_ws(" ", "w1", "w2", "context").alias("text"))
+
+
+@query("m7_full_training")
+def m7(spark, d):
+    rows = stored(trainset.encode_tokens(fx.tagged_tokens(spark, d), "filtered"), "train")
+    model = ops.full_training(rows, f"{shared_dir(spark)}/flowloom/model-{uuid.uuid4().hex}", iterations=5)
+    out = model.transform(ops.token_features(rows))
+    return out.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("m3_relation_scores")
 def m3(spark, d):
-    rows = trainset.relation_rows(relations(spark, d)).withColumn("text", F.concat_ws(" ", F.concat(F.lit("d"), F.col("a2") - F.col("a1")), F.concat(F.lit("m"), (F.col("a1") * 7 + F.col("a2") * 3) % 3)))
-    rows = stored(rows.select("doc_id", "label", "text"), "relations")
+    rows = stored(relation_texts(spark, d), "relations")
     return ops.fit_texts(rows, iterations=5).transform(ops.text_words(rows)).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
