@@ -1,7 +1,9 @@
 """The training-data pipeline: five stages over ``documents``, each on what the one before kept.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
-read back as the next stage's ``docs``. All but the last return the columns of ``docs``.
+read back as the next stage's ``docs``. All but the last return the columns of ``docs``. Null texts
+count as empty; of equal or near texts a row with a null doc_id stays only where no other is; rows
+that repeat an id are rows of their own; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id
+    stays: 256-bit SimHash fingerprints compared in bit-sliced form, then the sets themselves."""
     return drop_near_copies(docs)
 
 

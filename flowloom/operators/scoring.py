@@ -43,9 +43,10 @@ def fit_texts(rows: DataFrame, **options):
 
 
 def text_words(rows: DataFrame) -> DataFrame:
-    words = F.split(F.lower("text"), " ")
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))
-    return rows.withColumn("words", F.concat(words, two))
+    """``words``: the words of ``text`` and its pairs of neighbours."""
+    rows = rows.withColumn("words", F.split(F.lower("text"), " "))  # a column: the lambda reads it for every pair
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 2), " "))
+    return rows.withColumn("words", F.concat("words", two))
 
 
 def scores(model, rows: DataFrame, keys: list[str]) -> DataFrame:
