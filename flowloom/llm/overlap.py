@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, discard, fresh, scanned, stored, with_row
 from .kernels import LOWER, blank_separated, grams, mix, slices
 from .simhash import BROADCAST_ROWS, SMALL, bit_planes, bucket_links, chunk_pairs, components, flips_of, set_bits, within
+from .substrings import bloom, maybe_in
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 64-bit words of a fingerprint, and how many of its bits may differ.
@@ -34,7 +35,7 @@ WORDS, RADIUS = 4, 80
 #: Slots in which shingles are counted (2 MB, whatever the corpus).
 SLOT_BITS = 18
 #: Shingles in one chunk of a candidate class that is compared in full.
-CHUNK_ITEMS, CHUNK_ROWS = 500_000, 8192
+CHUNK_ITEMS, CHUNK_ROWS = 200_000, 8192
 #: Keeps ratios of whole numbers that equal the similarity from failing by rounding.
 SLACK = 1e-9
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -100,37 +101,52 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def prefixes(texts: DataFrame, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
+def prefixes(texts: DataFrame, counts: np.ndarray, width: int, similarity: float, bitmap: np.ndarray | None = None) -> DataFrame:
     """``key, node`` of ``node, text``: the first shingles of each set, as many as the similarity
-    asks for."""
-    held = texts.sparkSession.sparkContext.broadcast(counts)
+    asks for; with a filter only those that it lets through."""
+    held = texts.sparkSession.sparkContext.broadcast((counts, bitmap))
 
     def run(batches):
         for b in batches:
-            node = b.column(0).to_numpy()
+            node, (counts, bitmap) = b.column(0).to_numpy(), held.value
             for first, n_texts, of, items in shingle_sets(b.column(1), width):
-                order = np.lexsort((items, held.value[_slot(items)], of))
+                order = np.lexsort((items, counts[_slot(items)], of))
                 start = np.searchsorted(of, np.arange(n_texts))
                 size = np.diff(np.r_[start, len(of)])
                 most = size - np.ceil(similarity * size - SLACK).astype(np.int64) + 1
                 keys = items[order[np.arange(len(of)) - start[of] < most[of]]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[first + np.repeat(np.arange(n_texts), most)])], names=["key", "node"])
+                nodes = node[first + np.repeat(np.arange(n_texts), most)]
+                if bitmap is not None:
+                    maybe = maybe_in(bitmap, keys)
+                    keys, nodes = keys[maybe], nodes[maybe]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
     return texts.select("node", "text").mapInArrow(run, "key long, node long")
 
 
-def described(texts: DataFrame, width: int) -> DataFrame:
-    """``node, p0, p1, ..., items``: fingerprint and shingles of each text."""
+def fingerprints(texts: DataFrame, width: int) -> DataFrame:
+    """``node, p0, p1, ...`` of each text."""
 
     def run(batches):
         for b in batches:
             for first, n_texts, of, items in shingle_sets(b.column(1), width):
                 prints = prints_of(of, items, n_texts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n_texts), *map(pa.array, prints.T.copy())], names=["node", *PRINTS])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"{p} long" for p in PRINTS))
+
+
+def listed(texts: DataFrame, width: int) -> DataFrame:
+    """``node, items``: the shingles of each text."""
+
+    def run(batches):
+        for b in batches:
+            for first, n_texts, of, items in shingle_sets(b.column(1), width):
                 offsets = pa.array(np.r_[np.searchsorted(of, np.arange(n_texts)), len(of)], pa.int32())
                 sets = pa.ListArray.from_arrays(offsets, pa.array(items.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n_texts), *map(pa.array, prints.T.copy()), sets], names=["node", *PRINTS, "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n_texts), sets], names=["node", "items"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"{p} long" for p in PRINTS) + ", items array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, items array<long>")
 
 
 def links_between(nodes, classes, prints, items, offsets, similarity: float) -> list[tuple[int, int]]:
@@ -170,19 +186,21 @@ def near_copies(docs: DataFrame, row: str = "row", width: int = WIDTH, similarit
     rows = with_row(docs.select("doc_id", "text"), row).withColumnRenamed(row, "node")
     counts = slot_counts(rows, width)
     recurring = stored(prefixes(rows, counts, width, similarity).groupBy("key").count().filter("count > 1").select("key"), "overlap-keys")
-    shared = stored(prefixes(rows, counts, width, similarity).join(broadcast_if(recurring, BROADCAST_ROWS), "key"), "overlap-shared")
+    # a bounded filter keeps most other keys from the join, which is exact
+    bitmap = bloom(recurring.select(F.col("key").alias("anchor")), recurring.count())
+    shared = stored(prefixes(rows, counts, width, similarity, bitmap).join(broadcast_if(recurring, BROADCAST_ROWS // 10), "key"), "overlap-shared")
     nodes = stored(shared.select("node").distinct(), "overlap-nodes")
-    sets = stored(described(rows.join(broadcast_if(nodes, BROADCAST_ROWS), "node", "left_semi"), width), "overlap-sets")
+    prints = stored(fingerprints(rows.join(broadcast_if(nodes, BROADCAST_ROWS), "node", "left_semi"), width), "overlap-prints")
 
-    prints = sets.select("node", *PRINTS)
-    buckets = shared.join(broadcast_if(prints, BROADCAST_ROWS // 4), "node")
+    buckets = shared.join(broadcast_if(prints, BROADCAST_ROWS // 10), "node")
     parts = chunk_pairs(buckets, "node", CHUNK_ROWS).select("key", "part", "node", *PRINTS)
     stars = parts.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(lambda b: bucket_links(b, WORDS, RADIUS), "a long, b long")
     stars = stored(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "overlap-stars")
     discard(recurring, shared, nodes)
 
-    # members of the candidate classes against the best connected of each
+    # members of the candidate classes against the best connected of each; only their sets are listed
     members = stored(components(stars), "overlap-candidates")
+    sets = stored(listed(rows.join(broadcast_if(members.select("node"), BROADCAST_ROWS), "node", "left_semi"), width), "overlap-sets")
     degree = stars.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
     ranked = members.join(degree, "node", "left").select("root", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "node").alias("best"))
     leads = stored(ranked.groupBy("root").agg(F.max("best").alias("best")).select("root", F.col("best.node").alias("lead")), "overlap-leads")
@@ -195,7 +213,7 @@ def near_copies(docs: DataFrame, row: str = "row", width: int = WIDTH, similarit
     # members of classes that this did not close, against all that are apart from them
     still = placed.groupBy("root").agg(F.min("linked").alias("closed")).filter("NOT closed").select(F.col("root").alias("key"))
     apart = placed.join(still, placed.root == still.key).select("key", "node", F.when(F.col("linked"), F.col("lead")).otherwise(F.col("node")).alias("class"))
-    apart = chunk_pairs(apart.join(sets, "node"), "node", CHUNK_ITEMS, F.sum(F.size("items") + 64))
+    apart = chunk_pairs(apart.join(sets, "node").join(prints, "node"), "node", CHUNK_ITEMS, F.sum(F.size("items") + 64))
 
     def compare(t):
         offsets = t.column("items").combine_chunks()
@@ -207,7 +225,7 @@ def near_copies(docs: DataFrame, row: str = "row", width: int = WIDTH, similarit
     rest = apart.groupBy("key", "part").applyInArrow(compare, "a long, b long")
     links = placed.filter("linked AND node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(rest)
     roots = stored(components(links), "overlap-roots")
-    discard(sets, stars, members, leads, lead_sets, placed)
+    discard(sets, prints, stars, members, leads, lead_sets, placed)
     of_class = rows.select("node", "doc_id").join(broadcast_if(roots, BROADCAST_ROWS), "node")
     best = of_class.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best"))
     return roots.join(best, "root").select(F.col("node").alias(row), (F.col("node") == F.col("best.node")).alias("first"))

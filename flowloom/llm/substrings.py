@@ -113,7 +113,7 @@ def _runs(data, offsets, bitmap=None):
     ``STRETCH``; with a bitmap only of those whose anchor may be in it. Words count within a text."""
     text, at, anchor = _windows(data, offsets)
     if bitmap is not None:
-        maybe = _in(bitmap, anchor)
+        maybe = maybe_in(bitmap, anchor)
         at, anchor = at[maybe], anchor[maybe]
     if not len(at):
         return anchor, at, at, at
@@ -137,7 +137,8 @@ def _bodies(data, offsets, of, word, size) -> list[bytes]:
     return out
 
 
-def _in(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+def maybe_in(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which anchors the filter lets through."""
     bit = (anchor & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
     return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
@@ -157,7 +158,7 @@ def stretches(rows: DataFrame, row: str, anchors: DataFrame, sizes: dict[int, in
                 anchor, of, word, size = _runs(data, offsets, held.value[0])
                 parts = np.ones(len(of), np.int64)
                 for n, bitmap in held.value[1]:
-                    parts[_in(bitmap, anchor)] = n
+                    parts[maybe_in(bitmap, anchor)] = n
                 if len(of):
                     columns = [anchor.view(np.int64), parts, numbers[first + of], ids[first + of], word]
                     body = pa.array(_bodies(data, offsets, of, word, size), pa.binary())
