@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
