@@ -22,11 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .kernels import portions, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces up to this length are remembered with their ids, up to this many of them.
 CACHED_LENGTH, CACHED_PIECES = 48, 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 1 << 18
 
 
 class Codec:
@@ -144,7 +145,7 @@ def bpe_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole, len(keep))):
             ids = [c.encode(t.as_py() or "") for t in b.column(len(keep))]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             columns = [b.column(i) for i in range(len(keep))] + [pa.array(sizes)]
@@ -155,7 +156,7 @@ def bpe_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
             columns.append(pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(tidy(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

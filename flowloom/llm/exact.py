@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, fresh, scanned, stored, table, text_or_empty, with_row
+from .kernels import tidy
 
 #: A quotient range holds about so many rows.
 ROWS_PER_RANGE = 500_000
@@ -104,7 +105,7 @@ def partition_filters(fingerprints: DataFrame, prefix_bits: int) -> DataFrame:
             block = encode_filter(values[a:b], counts[a:b], prefix_bits)
             yield pa.RecordBatch.from_pydict({"prefix": pa.array([int(prefix[a])], pa.int64()), "filter": pa.array([block], pa.binary())})
 
-    return fingerprints.mapInArrow(build, "prefix long, filter binary")
+    return fingerprints.mapInArrow(tidy(build), "prefix long, filter binary")
 
 
 def recurring(fingerprints: DataFrame, rows: int) -> DataFrame:

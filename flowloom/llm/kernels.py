@@ -6,7 +6,8 @@ slice stay small whatever an Arrow batch holds; one longer text is a slice of it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,33 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, np.ndarra
         first = last
 
 
+def portions(batch: pa.RecordBatch, texts: int, most: int = 4 * SLICE) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` with about ``most`` bytes of texts (column ``texts``) each."""
+    for first, _, offsets in slices(batch.column(texts), most):
+        yield batch.slice(first, len(offsets) - 1)
+
+
+def release() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, releasing memory when its task ends: Python workers live on, and
+    what their allocators keep would add to each executor's memory."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))

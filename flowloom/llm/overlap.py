@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, discard, fresh, scanned, stored, with_row
-from .kernels import LOWER, blank_separated, grams, mix, slices
+from .kernels import LOWER, blank_separated, grams, mix, slices, tidy
 from .simhash import BROADCAST_ROWS, SMALL, bit_planes, bucket_links, chunk_pairs, components, flips_of, set_bits, within
 from .substrings import bloom, maybe_in
 
@@ -95,7 +95,7 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], names=["slot", "n"])
 
     out = np.zeros(1 << SLOT_BITS, np.int64)
-    sums = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    sums = texts.select("text").mapInArrow(tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     for b in sums.toArrow().to_batches():
         out[b.column(0).to_numpy()] = b.column(1).to_numpy()
     return out
@@ -121,7 +121,7 @@ def prefixes(texts: DataFrame, counts: np.ndarray, width: int, similarity: float
                     keys, nodes = keys[maybe], nodes[maybe]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
-    return texts.select("node", "text").mapInArrow(run, "key long, node long")
+    return texts.select("node", "text").mapInArrow(tidy(run), "key long, node long")
 
 
 def fingerprints(texts: DataFrame, width: int) -> DataFrame:
@@ -133,7 +133,7 @@ def fingerprints(texts: DataFrame, width: int) -> DataFrame:
                 prints = prints_of(of, items, n_texts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n_texts), *map(pa.array, prints.T.copy())], names=["node", *PRINTS])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"{p} long" for p in PRINTS))
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, " + ", ".join(f"{p} long" for p in PRINTS))
 
 
 def listed(texts: DataFrame, width: int) -> DataFrame:
@@ -146,7 +146,7 @@ def listed(texts: DataFrame, width: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(offsets, pa.array(items.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n_texts), sets], names=["node", "items"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, items array<long>")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, items array<long>")
 
 
 def links_between(nodes, classes, prints, items, offsets, similarity: float) -> list[tuple[int, int]]:
@@ -194,7 +194,7 @@ def near_copies(docs: DataFrame, row: str = "row", width: int = WIDTH, similarit
 
     buckets = shared.join(broadcast_if(prints, BROADCAST_ROWS // 10), "node")
     parts = chunk_pairs(buckets, "node", CHUNK_ROWS).select("key", "part", "node", *PRINTS)
-    stars = parts.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(lambda b: bucket_links(b, WORDS, RADIUS), "a long, b long")
+    stars = parts.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(tidy(lambda b: bucket_links(b, WORDS, RADIUS)), "a long, b long")
     stars = stored(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "overlap-stars")
     discard(recurring, shared, nodes)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, fresh, scanned, stored, table, with_row
-from .kernels import slices, tokens
+from .kernels import slices, tidy, tokens
 
 SLOTS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 #: At most so many labelled documents are fitted (those with the smallest hashes of their ids).
@@ -58,7 +58,7 @@ def context_sums(docs: DataFrame) -> DataFrame:
         columns = [pa.array(used), pa.array(seen[used]), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * DIM, pa.int32()), flat)]
         yield pa.RecordBatch.from_arrays(columns, names=["slot", "n", "v"])
 
-    parts = docs.select("text").mapInArrow(run, "slot long, n long, v array<int>")
+    parts = docs.select("text").mapInArrow(tidy(run), "slot long, n long, v array<int>")
     return parts.groupBy("slot").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)))
 
 
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = labelled.mapInArrow(pooled, f"doc_id {kind}, quality int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = labelled.mapInArrow(tidy(pooled), f"doc_id {kind}, quality int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     y = rows["quality"].to_numpy(float) if len(rows) else np.empty(0)
     if len(set(y)) < 2:
         return vectors, float((y.sum() + 1) / (len(y) + 2))
@@ -186,7 +186,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network | float], ke
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{c}` {docs.select(c).schema[0].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*keep, "text").mapInArrow(tidy(run), f"{schema}, score double, predicted int")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

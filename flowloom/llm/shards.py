@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, stored, table, text_or_empty
+from .kernels import tidy
 
 SHARDS = 16
 #: Offsets (a row for each partition and shard) are broadcast up to this count.
@@ -66,7 +67,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             columns = [*(b.column(i) for i in range(3)), *map(pa.array, (np.full(len(shard), part), shard, at, grown))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    placed = stored(rows.mapInArrow(number, f"doc_id {kind}, size long, text_crc32 long, part long, shard long, at long, grown_shard long"), "shards")
+    placed = stored(rows.mapInArrow(tidy(number), f"doc_id {kind}, size long, text_crc32 long, part long, shard long, at long, grown_shard long"), "shards")
     counts = placed.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(counts.select("part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "shard-offsets")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, discard, fresh, scanned, stored, table, with_row
+from .kernels import tidy
 
 RADIUS = 2
 WIDTH = 3
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, row: str = "row") -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=[row, "doc_id", "fp"])
 
-    return with_row(docs.select("doc_id", "text"), row).select(row, "doc_id", "text").mapInArrow(run, f"`{row}` long, doc_id {schema}, fp long")
+    return with_row(docs.select("doc_id", "text"), row).select(row, "doc_id", "text").mapInArrow(tidy(run), f"`{row}` long, doc_id {schema}, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -243,7 +244,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
     keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for t, (i, j) in enumerate(pairs)]
     buckets = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     chunked = chunk_pairs(buckets, "fp", CHUNK).select("key", "part", F.col("fp").alias("node"), "fp")
-    return chunked.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(bucket_links, "a long, b long")
+    return chunked.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(tidy(bucket_links), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, discard, fresh, scanned, stored, table, text_or_empty, with_row
-from .kernels import blank_separated, grams, slices, sliding_min
+from .kernels import blank_separated, grams, slices, sliding_min, tidy
 
 WINDOW, ANCHOR = 13, 6
 #: Most windows in one stretch; longer runs continue in the next.
@@ -85,7 +85,7 @@ def anchor_counts(rows: DataFrame) -> DataFrame:
             texts = np.add.reduceat(np.r_[True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])].astype(np.int64), start) if len(anchor) else anchor
             yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor[start], texts, np.diff(np.r_[start, len(anchor)])))], names=["anchor", "texts", "runs"])
 
-    counts = rows.mapInArrow(run, "anchor long, texts long, runs long").groupBy("anchor").agg(F.sum("texts").alias("texts"), F.sum("runs").alias("runs"))
+    counts = rows.mapInArrow(tidy(run), "anchor long, texts long, runs long").groupBy("anchor").agg(F.sum("texts").alias("texts"), F.sum("runs").alias("runs"))
     tier = F.ceil(F.log(F.col("runs") / HOT) / float(np.log(8)) - 1e-9)
     return counts.filter("texts > 1").select("anchor", F.when(F.col("runs") > HOT, F.pow(F.lit(8.0), tier)).otherwise(1).cast("long").alias("parts"))
 
@@ -164,7 +164,7 @@ def stretches(rows: DataFrame, row: str, anchors: DataFrame, sizes: dict[int, in
                     body = pa.array(_bodies(data, offsets, of, word, size), pa.binary())
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), body], names=["anchor", "parts", row, "doc_id", "at", "body"])
 
-    return rows.mapInArrow(run, f"anchor long, parts long, `{row}` long, doc_id long, at long, body binary")
+    return rows.mapInArrow(tidy(run), f"anchor long, parts long, `{row}` long, doc_id long, at long, body binary")
 
 
 def joined_stretches(rows: DataFrame, row: str, anchors: DataFrame) -> DataFrame:
@@ -194,10 +194,10 @@ def joined_stretches(rows: DataFrame, row: str, anchors: DataFrame) -> DataFrame
                     body = pa.array(_bodies(data, offsets, o - first, at[mine], n[mine]), pa.binary())
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), body], names=["anchor", "parts", row, "doc_id", "at", "body"])
 
-    runs = rows.select(row, "text").mapInArrow(places, f"anchor long, `{row}` long, at long, n long")
+    runs = rows.select(row, "text").mapInArrow(tidy(places), f"anchor long, `{row}` long, at long, n long")
     kept = runs.join(anchors.hint("merge"), "anchor")
     of_row = kept.groupBy(row).agg(F.collect_list(F.struct("anchor", "parts", "at", "n")).alias("runs"))
-    return rows.join(of_row.hint("merge"), row).select(row, "doc_id", "text", "runs").mapInArrow(cut, f"anchor long, parts long, `{row}` long, doc_id long, at long, body binary")
+    return rows.join(of_row.hint("merge"), row).select(row, "doc_id", "text", "runs").mapInArrow(tidy(cut), f"anchor long, parts long, `{row}` long, doc_id long, at long, body binary")
 
 
 class _Alphabet(dict):
@@ -285,7 +285,7 @@ def located(found: DataFrame, row: str, split: bool) -> DataFrame:
             yield _locate(_recurring(strings, ids), strings, ids, t.column(row).to_pylist(), t.column("at").to_pylist(), row)
 
     schema = f"`{row}` long, begin long, stop long"
-    cold = found.filter("parts = 1").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, schema)
+    cold = found.filter("parts = 1").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(shard), schema)
     if not split:
         return cold
 
@@ -305,7 +305,7 @@ def located(found: DataFrame, row: str, split: bool) -> DataFrame:
             columns = [pa.array(list(x), kind) for x, kind in zip(zip(*low), (pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(low.values()), pa.int64()), pa.array([high[w] for w in low], pa.int64())], names=["anchor", "part", "phrase", "low", "high"])
 
-    reports = hot.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(report, "anchor long, part long, phrase binary, low long, high long")
+    reports = hot.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(tidy(report), "anchor long, part long, phrase binary, low long, high long")
     reports = stored(reports, "phrase-reports")
     confirmed = reports.groupBy("anchor", "phrase").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").drop("most")
     confirmed = reports.join(confirmed, ["anchor", "phrase"]).filter("least < high").select("anchor", "part", "phrase", "least")
@@ -397,7 +397,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["row", "n_kept", "kept"])
 
-    cut = _marked(docs.select("text"), marks, "row", "ranges", "inner").select("row", "text", "ranges").mapInArrow(digest, "row long, n_kept long, kept string")
+    cut = _marked(docs.select("text"), marks, "row", "ranges", "inner").select("row", "text", "ranges").mapInArrow(tidy(digest), "row long, n_kept long, kept string")
     return rows.join(cut, "row", "left").select(
         "doc_id",
         "n_words",

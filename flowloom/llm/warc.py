@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, shared_dir, stored, table, text_or_empty, with_row
+from .kernels import tidy
 
 #: Smaller payloads are always stored in full.
 REVISIT_BYTES = 1000
@@ -190,7 +191,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     lines = spark.read.option("lineSep", SEPARATOR).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(run, "record_id string, type string, concurrent_to string, refers_to string, url string, date string, digest string, payload_bytes long, notes string, http_head string, payload binary")
+    return lines.mapInArrow(tidy(run), "record_id string, type string, concurrent_to string, refers_to string, url string, date string, digest string, payload_bytes long, notes string, http_head string, payload binary")
 
 
 def assemble(records: DataFrame) -> DataFrame:
