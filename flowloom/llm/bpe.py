@@ -160,6 +160,8 @@ def bpe_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document. Null and empty texts have no tokens; repeated rows
+    and null doc_ids map one to one; an empty table gives no rows."""
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
 
 

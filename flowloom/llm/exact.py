@@ -162,6 +162,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and survivor of every document. Null and empty texts are equal; a null doc_id stays only
+    where its class has no other; of rows that repeat text and doc_id one stays; an empty table gives
+    no rows."""
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 

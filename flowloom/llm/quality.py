@@ -198,6 +198,8 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document. Null and empty texts are scored like others; a null doc_id is held
+    out; repeated rows get equal scores; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     scores = score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")

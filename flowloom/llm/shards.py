@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, stored, table, text_or_empty
+from .common import broadcast_if, fresh, stored, table, text_or_empty
 from .kernels import tidy
 
 SHARDS = 16
@@ -83,9 +83,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write all columns of ``docs`` below ``path``, a folder for each shard (column ``shard``).
+    """Write all columns of ``docs`` below ``path``, a folder for each shard.
 
-    ``docs`` must have no column of that name. Rows stay in their partitions, so no shard gathers
+    The folders' column is ``shard``, or ``shard_`` and so on where ``docs`` has that already. Rows stay in their partitions, so no shard gathers
     in one task; a shard is as many files as partitions that hold rows of it.
     """
 
@@ -93,10 +93,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     def shard_of(ids):
         return pd.Series(jump_hash(np.array([stable_key(None if x != x else x) for x in ids], np.uint64), shards))
 
-    docs.withColumn("shard", shard_of(F.col("doc_id").cast("string"))).write.partitionBy("shard").parquet(path)
+    name = fresh(docs, "shard")
+    docs.withColumn(name, shard_of(F.col("doc_id").cast("string"))).write.partitionBy(name).parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. A null text has size 1; null doc_ids share a shard, as rows
+    that repeat an id do, each in a slot of its own; an empty table gives no rows."""
     return assign_shards(table(spark, sf_dir, "documents"))
 
 

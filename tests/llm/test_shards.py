@@ -44,3 +44,11 @@ def test_write(spark, docs, odd_rows, tmp_path):
     assert back.count() == len(odd_rows)
     want = {r.doc_id: r.shard for r in assign_shards(docs(odd_rows)).collect()}
     assert all(want[r.doc_id] == r.shard for r in back.collect())
+
+
+def test_write_with_a_shard_column(spark, docs, odd_rows, tmp_path):
+    write_shards(docs(odd_rows).selectExpr("*", "'mine' AS Shard"), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = {r.doc_id: r.shard for r in assign_shards(docs(odd_rows)).collect()}
+    assert len(back) == len(odd_rows)
+    assert all(r.Shard == "mine" and r.shard_ == want[r.doc_id] for r in back)
