@@ -19,6 +19,7 @@ _MODULES = (
     "bpe",
     "exact",
     "simhash",
+    "records",
 )
 
 QUERIES: dict = {}

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.shared import discard, shared_dir, stored
 
-__all__ = ["ascii_lower", "broadcast_if", "discard", "fresh", "scanned", "shared_dir", "stored", "table", "text_or_empty", "with_row"]
+__all__ = ["ascii_lower", "broadcast_if", "discard", "fresh", "running_total", "scanned", "shared_dir", "stored", "table", "text_or_empty", "with_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,18 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
     return at.withColumn(name, F.shiftleft(F.col(number).cast("long"), 40).bitwiseOR(F.col(name))).drop(path, number)
 
 
+def running_total(rows: DataFrame, part: str, number: str, value: str, name: str, block: int = 1000) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before each, in the order of the whole numbers
+    ``part`` and ``number``. Blocks of ``block`` parts are summed on their own, then the blocks' totals."""
+    group, total = fresh(rows, "block"), fresh(rows, "total")
+    blocks = rows.withColumn(group, F.floor(F.col(part) / block))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy(group).agg(F.sum(value).alias(total))
+    totals = totals.select(group, F.coalesce(F.sum(total).over(earlier(Window.orderBy(group))), F.lit(0)).alias(total))
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(group).orderBy(part, number))), F.lit(0))
+    return blocks.withColumn(name, inside).join(totals, group).withColumn(name, F.col(name) + F.col(total)).drop(group, total)
+
+
 def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
     """Hint a broadcast of a stored table only where its counted rows stay within ``most_rows``;
     beyond that the join shuffles, and adaptive execution splits its skewed partitions."""
