@@ -20,6 +20,7 @@ _MODULES = (
     "exact",
     "simhash",
     "records",
+    "merkle",
 )
 
 QUERIES: dict = {}
