@@ -21,6 +21,7 @@ _MODULES = (
     "simhash",
     "records",
     "merkle",
+    "whitening",
 )
 
 QUERIES: dict = {}
