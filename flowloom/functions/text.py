@@ -22,15 +22,34 @@ def tokens(sentence: Column) -> Column:
     return F.split(sentence, "[ \\t\\r]+")
 
 
-def ordered(phrases: list[str]) -> list[list[str]]:
-    """Phrases as lower-case words, the longest first, then in alphabetical order."""
-    unique = sorted({p.lower() for p in phrases}, key=lambda p: (-len(p.split(" ")), p))
-    return [p.split(" ") for p in unique]
+def lexicon(phrases: list[str]) -> dict[int, list[str]]:
+    """Distinct lower-case phrases by their number of words, longest first."""
+    by_length: dict[int, set[str]] = {}
+    for p in phrases:
+        by_length.setdefault(len(p.split(" ")), set()).add(p.lower())
+    return {n: sorted(by_length[n]) for n in sorted(by_length, reverse=True)}
 
 
-def _places(low: Column, key: Column, n: int) -> Column:
-    places = F.filter(F.sequence(F.lit(0), F.size(low) - n), lambda i: F.slice(low, i + 1, n) == key)
-    return F.transform(places, lambda i: F.struct(i.cast("int").alias("start"), F.lit(n).alias("n")))
+SPANS = "array<struct<start:int,n:int>>"
+
+
+def accepted(candidates: Column, size: Column, kind: str = SPANS) -> Column:
+    """Of spans (``start``, ``n`` and more, an array of type ``kind``) in falling priority those that
+    overlap none accepted before, in the order of ``kind``'s fields.
+
+    A byte for each of the ``size`` tokens says whether it is taken, so a span costs one look at its own
+    tokens, however many spans there are.
+    """
+    start = F.struct(F.repeat(F.lit("\x00"), size).cast("binary").alias("taken"), F.array().cast(kind).alias("kept"))
+
+    def step(state: Column, c: Column) -> Column:
+        at, n = c["start"] + 1, c["n"]
+        zeros = F.repeat(F.lit("\x00"), n).cast("binary")
+        ones = F.repeat(F.lit("\x01"), n).cast("binary")
+        taken = F.struct(F.overlay(state["taken"], ones, at, n).alias("taken"), F.concat(state["kept"], F.array(c)).alias("kept"))
+        return F.when(F.substring(state["taken"], at, n) == zeros, taken).otherwise(state)
+
+    return F.array_sort(F.aggregate(candidates, start, step, lambda state: state["kept"]))
 
 
 def phrase_spans(low: Column, phrases: list[str]) -> Column:
@@ -39,18 +58,22 @@ def phrase_spans(low: Column, phrases: list[str]) -> Column:
     ``low`` must be a column of its own, not an expression: lambdas would evaluate that once a token.
 
     Case does not matter, tokens match whole, longer phrases go first, then alphabetical order, then
-    place; a token belongs to at most one span.
+    place; a token belongs to at most one span. For each length of phrases every token is looked up in
+    the set of first words and, where that holds it, its words in the set of phrases: the work follows
+    the tokens and the lengths, not the number of phrases.
     """
-    span = "array<struct<start:int,n:int>>"
     found = []
-    for p in ordered(phrases):
-        n, key = len(p), F.array(*map(F.lit, p))
-        found.append(F.when((F.size(low) >= n) & F.array_contains(low, p[0]), _places(low, key, n)).otherwise(F.array().cast(span)))
-    if not found:
-        return F.array().cast(span)
-    free = lambda kept, c: ~F.exists(kept, lambda k: (k["start"] < c["start"] + c["n"]) & (c["start"] < k["start"] + k["n"]))
-    fold = F.aggregate(F.concat(*found), F.array().cast(span), lambda kept, c: F.when(free(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
-    return F.array_sort(fold)
+    for n, of_length in lexicon(phrases).items():
+        heads = sorted({p.split(" ")[0] for p in of_length})
+        gram = (lambda i: F.get(low, i)) if n == 1 else (lambda i, n=n: F.array_join(F.slice(low, i + 1, n), " "))
+        # each test is a lambda's own, so phrases are built where the first word fits alone
+        places = F.filter(F.sequence(F.lit(0), F.size(low) - n), lambda i: F.get(low, i).isin(heads))
+        if n > 1:
+            places = F.filter(places, lambda i: gram(i).isin(of_length))
+        spans = F.transform(places, lambda i: F.struct(gram(i).alias("phrase"), i.cast("int").alias("start")))
+        spans = F.transform(F.array_sort(spans), lambda p: F.struct(p["start"].alias("start"), F.lit(n).alias("n")))
+        found.append(F.when(F.size(low) >= n, spans).otherwise(F.array().cast(SPANS)))
+    return accepted(F.concat(*found), F.size(low)) if found else F.array().cast(SPANS)
 
 
 def add_spans(df: DataFrame, phrases: dict[str, list[str]], words: str = "tokens") -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENDS, add_spans, sentences, span_tags, tokens
+from ..functions.shared import broadcast_if, stored
+from ..functions.text import ENDS, accepted, add_spans, sentences, span_tags, tokens
 from ..schemas import AND, XOR, entity
 
+#: Lexicons of up to this many phrases are broadcast; longer ones meet the tokens in a shuffle.
+BROADCAST_PHRASES = 500_000
+
 
 def split_sentences(docs: DataFrame, text: str = "text", ends: str = ENDS) -> DataFrame:
     """``doc_id, sentence_idx, tokens`` of a table ``doc_id, text``; null texts have no sentences."""
@@ -24,6 +28,34 @@ def tag_phrases(sents: DataFrame, xor: list[str], and_: list[str]) -> DataFrame:
     return rows.select("doc_id", "sentence_idx", "gateway_type", F.col("s.start").alias("start"), F.col("s.n").alias("n_words"), F.slice("tokens", F.col("s.start") + 1, F.col("s.n")).alias("tokens"))
 
 
+def tag_lexicon(sents: DataFrame, lexicon: DataFrame, most_phrases: int = BROADCAST_PHRASES) -> DataFrame:
+    """``doc_id, sentence_idx, gateway_type, start, n_words, phrase``: the accepted phrases of a lexicon
+    of any size (``gateway_type, phrase``), by the rules of :func:`tag_phrases`, each type for itself.
+
+    The lexicon is two hash tables: from first words to the lengths of their phrases, and from phrases to
+    types. A token meets the first, and only what it starts meets the second, so the work follows the
+    tokens and the lengths of phrases. Both tables are broadcast up to ``most_phrases`` counted phrases.
+    Matches alone are shuffled, and resolved by priority within their sentence. Null phrases, null
+    sentences and blank words match nothing; phrases that differ in case are one.
+    """
+    words = F.split("phrase", " ")
+    phrases = lexicon.select("gateway_type", F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
+    phrases = stored(phrases.select("*", F.get(words, F.lit(0)).alias("head"), F.size(words).alias("n")), "lexicon")
+    longest = phrases.agg(F.max("n")).first()[0] or 1
+    heads = stored(phrases.groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("lengths")), "heads")
+    low = sents.select("doc_id", "sentence_idx", F.transform("tokens", lambda w: F.lower(w)).alias("low"))
+    grams = low.select("doc_id", "sentence_idx", F.size("low").alias("size"), F.posexplode(F.transform("low", lambda w, i: F.slice("low", i + 1, longest))).alias("start", "gram"))
+    met = grams.withColumn("head", F.get("gram", F.lit(0))).join(broadcast_if(heads, most_phrases), "head")
+    met = met.select("doc_id", "sentence_idx", "size", "start", "gram", F.explode(F.filter("lengths", lambda n: n <= F.size("gram"))).alias("n"))
+    met = met.select("doc_id", "sentence_idx", "size", "start", "n", F.array_join(F.slice("gram", F.lit(1), F.col("n")), " ").alias("phrase"))
+    found = met.join(broadcast_if(phrases.select("phrase", "gateway_type"), most_phrases), "phrase")
+    by_priority = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "phrase", "start")))
+    rows = found.groupBy("doc_id", "sentence_idx", "gateway_type").agg(F.first("size").alias("size"), by_priority.alias("all"))
+    spans = F.transform("all", lambda c: F.struct(c["start"].alias("start"), (-c["rank"]).alias("n"), c["phrase"].alias("phrase")))
+    rows = rows.select("doc_id", "sentence_idx", "gateway_type", F.explode(accepted(spans, F.col("size"), "array<struct<start:int,n:int,phrase:string>>")).alias("s"))
+    return rows.select("doc_id", "sentence_idx", "gateway_type", F.col("s.start").alias("start"), F.col("s.n").alias("n_words"), F.col("s.phrase").alias("phrase"))
+
+
 def phrase_tags(sents: DataFrame, phrases: list[str], label: str) -> DataFrame:
     """``sents`` with ``ner_tags`` of one gateway type."""
     found = add_spans(sents, {"spans_": phrases})

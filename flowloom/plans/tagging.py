@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..functions.text import FULL_STOPS, joined
 from ..operators import neighbors, tagging
 from ..schemas import ACTIVITY, AND, XOR
@@ -154,6 +155,28 @@ def k1_counts(spark, d):
     return k1(spark, d).groupBy("gateway_type", "phrase").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+#: Phrases of two to four words that this many documents share; those of three words are of the other type.
+MINED_SIZES, MINED_DOCS = (2, 3, 4), 5
+
+MINED = SENT + f""",
+low AS MATERIALIZED (SELECT doc_id, sentence_idx, list_transform(tokens, lambda t: lower(t)) AS low FROM sentences),
+gram AS MATERIALIZED (SELECT doc_id, sentence_idx, start, n, array_to_string(low[start + 1:start + n], ' ') AS phrase FROM (
+  SELECT *, unnest({list(MINED_SIZES)}) AS n FROM (SELECT *, unnest(range(len(low))) AS start FROM low)) WHERE start + n <= len(low)),
+lex AS MATERIALIZED (SELECT phrase, CASE n WHEN 3 THEN '{AND}' ELSE '{XOR}' END AS gateway_type FROM gram GROUP BY phrase, n HAVING count(DISTINCT doc_id) >= {MINED_DOCS}),
+cand AS MATERIALIZED (SELECT g.*, l.gateway_type, row_number() OVER (PARTITION BY doc_id, sentence_idx, l.gateway_type ORDER BY n DESC, phrase, start) AS o FROM gram g JOIN lex l USING (phrase)),
+fold AS (SELECT doc_id, sentence_idx, gateway_type, 0::BIGINT AS o, []::INTEGER[] AS taken, NULL::BIGINT AS start, NULL::INTEGER AS n, NULL::VARCHAR AS phrase FROM (SELECT DISTINCT doc_id, sentence_idx, gateway_type FROM cand)
+  UNION ALL SELECT f.doc_id, f.sentence_idx, f.gateway_type, c.o, CASE WHEN clash THEN f.taken ELSE list_concat(f.taken, range(c.start, c.start + c.n)::INTEGER[]) END, CASE WHEN NOT clash THEN c.start END, c.n, c.phrase
+    FROM fold f JOIN cand c ON c.doc_id = f.doc_id AND c.sentence_idx = f.sentence_idx AND c.gateway_type = f.gateway_type AND c.o = f.o + 1, LATERAL (SELECT list_has_any(f.taken, range(c.start, c.start + c.n)::INTEGER[]) AS clash))"""
+
+
+@query("k1_mined_lexicon", sql(MINED, "SELECT doc_id, sentence_idx, gateway_type, CAST(start AS INTEGER) AS start, n AS n_words, phrase FROM fold WHERE start IS NOT NULL", True))
+def k1_mined(spark, d):
+    """A lexicon of thousands of phrases, mined from the documents, over all of them."""
+    sents = stored(fx.corpus(spark, d), "sentences")
+    kind = F.when(F.col("n") == 3, AND).otherwise(XOR)
+    return tagging.tag_lexicon(sents, lexicons.mine_n_grams(sents, MINED_SIZES, MINED_DOCS).select(kind.alias("gateway_type"), "phrase"))
+
+
 @query("k2_gateway_entities", sql(ENT, "SELECT doc_id, s, t, kind, phrase FROM gw"))
 def k2(spark, d):
     toks = tagging.keep_tags(fx.tagged_tokens(spark, d), "Gateway")

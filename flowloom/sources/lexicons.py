@@ -46,6 +46,17 @@ def mine_phrases(spans: DataFrame) -> DataFrame:
     return spans.select("gateway_type", F.lower(F.array_join("tokens", " ")).alias("phrase")).distinct().orderBy("gateway_type", "phrase")
 
 
+def mine_n_grams(sents: DataFrame, sizes: tuple[int, ...], least_docs: int) -> DataFrame:
+    """``phrase, n, n_docs``: the lower-case word sequences of the given lengths within sentences
+    (``doc_id, tokens``) that occur in ``least_docs`` documents or more."""
+    low = sents.select("doc_id", F.transform("tokens", lambda w: F.lower(w)).alias("low"))
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.size("low") - n + 1), lambda i: F.struct(F.array_join(F.slice("low", i, n), " ").alias("phrase"), F.lit(n).alias("n")))
+    kind = "array<struct<phrase:string,n:int>>"
+    grams = F.concat(*(F.when(F.size("low") >= n, every(n)).otherwise(F.array().cast(kind)) for n in sizes))
+    once = low.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*").distinct()
+    return once.groupBy("phrase", "n").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+
+
 def mine_pairs(same_gateway: DataFrame) -> DataFrame:
     """``p1, p2``: the distinct lower-case phrase pairs of same-gateway relations (``source``,
     ``target`` entities)."""
