@@ -1,8 +1,9 @@
 """Flow graphs: degrees, links, closures, reachability, merge points, activity relations.
 
-Flows are ``doc_id, flow_ord, source, target`` with entities; graphs of all documents advance
-together. Closures double their reach each round, so rounds grow with the logarithm of the longest
-path; walks that stop at activities or merge points take a hop a round. A round appends what is new.
+Flows are ``doc_id, flow_ord, source, target`` with entities. Closures, reachability labels and merge
+points come from one ordered scan by document (``functions.paths``), whose rows are those of the flows.
+Walks that stop at activities or merge points advance over all documents together, a hop a round; a
+round appends what is new.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
+from ..functions import paths
+from ..functions.documents import by_document
 from ..functions.shared import appended, stored
 from ..schemas import ACTIVITY, CONDITION, DIRECTLY, DOC_START, EVENTUALLY, EXCLUSIVE, GATEWAYS, entity, position
 
@@ -22,18 +27,21 @@ def out_degree(flows: DataFrame) -> DataFrame:
     return flows.groupBy("doc_id", F.col("source").alias("entity")).agg(F.count(F.lit(1)).alias("n_out"))
 
 
+def _keyed(c: str) -> Column:
+    """A value of any type as text that is equal where the value is."""
+    return F.to_json(F.struct(F.col(c).alias("v")))
+
+
+def _value(c: str, like: DataFrame, column: str) -> Column:
+    return F.from_json(c, StructType().add("v", like.schema[column].dataType))["v"].alias(column)
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """The transitive closure of ``doc_id, a, b`` (any comparable type); cycles are no trouble. Each
-    round joins the pairs found last with all pairs and keeps the new ones, until there are none."""
-    pairs = new = stored(edges.select("doc_id", "a", "b").distinct(), "closure")
-    while True:
-        left = new.select("doc_id", "a", F.col("b").alias("via")).join(pairs.select("doc_id", F.col("a").alias("via"), "b"), ["doc_id", "via"])
-        right = pairs.select("doc_id", "a", F.col("b").alias("via")).join(new.select("doc_id", F.col("a").alias("via"), "b"), ["doc_id", "via"])
-        step = left.unionByName(right).select("doc_id", "a", "b").distinct()
-        new = stored(step.join(pairs, ["doc_id", "a", "b"], "left_anti"), "closure")
-        if new.isEmpty():
-            return pairs
-        pairs = appended(pairs, new)
+    """The transitive closure of ``doc_id, a, b`` (any comparable type); cycles are no trouble. Edges with a
+    null end lead nowhere. A document's components are found in one scan, its pairs leave in batches."""
+    rows = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("doc_id", _keyed("a").alias("ka"), _keyed("b").alias("kb"))
+    pairs = by_document(rows, paths.closure, "ka string, kb string", ("ka", "kb"))
+    return pairs.select("doc_id", _value("ka", edges, "a"), _value("kb", edges, "b"))
 
 
 def same_gateway_closure(relations: DataFrame) -> DataFrame:
@@ -77,12 +85,55 @@ def last_activities(flows: DataFrame) -> DataFrame:
     return found.filter(F.col("previous.entity_type") == ACTIVITY).select("doc_id", "entity", F.col("previous").alias("activity"))
 
 
+def _edges(flows: DataFrame, same: DataFrame) -> DataFrame:
+    """``doc_id, a, b``: flows, and gateways to their same-gateway partners."""
+    ends = lambda df: df.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"))
+    return ends(flows).unionByName(ends(same))
+
+
 def reachability(flows: DataFrame, same: DataFrame) -> DataFrame:
     """``doc_id, source, target``: what each entity reaches over flows, where a gateway also reaches
-    what its same-gateway partners reach."""
-    to_partner = same_gateway_closure(same).select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"))
-    c = closure(flows.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b")).unionByName(to_partner))
-    return c.select("doc_id", F.col("a").alias("source"), F.col("b").alias("target"))
+    what its same-gateway partners reach. All pairs: to ask for some only, take :func:`reaches`."""
+    return closure(_edges(flows, same)).select("doc_id", F.col("a").alias("source"), F.col("b").alias("target"))
+
+
+def reach_labels(flows: DataFrame, same: DataFrame) -> DataFrame:
+    """``doc_id, entity, label``: a row for each entity, with the interval labels of its component."""
+    edges = _edges(flows, same).filter("a IS NOT NULL AND b IS NOT NULL")
+    rows = edges.select("doc_id", _keyed("a").alias("ka"), _keyed("b").alias("kb"))
+    kind = "component int, cyclic boolean, first int, last int, low array<int>, rank array<int>"
+    found = by_document(rows, paths.labels, f"k string, {kind}", ("ka", "kb"))
+    entity_ = _value("k", edges, "a")
+    return found.select("doc_id", entity_.alias("entity"), F.struct("component", "cyclic", "first", "last", "low", "rank").alias("label"))
+
+
+def _by_labels(x: Column, y: Column) -> Column:
+    """Whether what has label ``x`` reaches what has ``y``; null where labels don't tell."""
+    inside = lambda i: (x["low"][i] <= y["low"][i]) & (y["rank"][i] <= x["rank"][i])
+    sure = (x["first"] <= y["first"]) & (y["first"] <= x["last"])
+    known = F.when(x["component"] == y["component"], x["cyclic"]).when(sure, True).when(~(inside(0) & inside(1)), False)
+    return F.when(x.isNull() | y.isNull(), False).otherwise(known)
+
+
+def _ask(ka: list, kb: list, _: list):
+    reaches_ = paths.searcher(ka, kb)
+    return lambda xs, ys, _: ((x, y, reaches_(x, y)) for x, y in zip(xs, ys))
+
+
+def reaches(pairs: DataFrame, flows: DataFrame, same: DataFrame) -> DataFrame:
+    """``pairs`` (``doc_id, a1, a2, label1, label2``, the labels from :func:`reach_labels`) with ``path``: whether
+    the first reaches the second. Labels decide nearly all pairs; the rest are searched for, exactly,
+    in one scan over the edges of their documents."""
+    told = stored(pairs.withColumn("path", _by_labels(F.col("label1"), F.col("label2"))).drop("label1", "label2"), "pairs")
+    open_ = told.filter("path IS NULL").drop("path")
+    if open_.isEmpty():
+        return told
+    edges = _edges(flows, same).filter("a IS NOT NULL AND b IS NOT NULL").join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = edges.select("doc_id", _keyed("a").alias("ka"), _keyed("b").alias("kb"), F.lit(0).alias("ask"))
+    asked = asked.unionByName(open_.select("doc_id", _keyed("a1").alias("ka"), _keyed("a2").alias("kb"), F.lit(1).alias("ask")))
+    answers = by_document(asked, _ask, "ka string, kb string, path boolean", ("ka", "kb"), streamed="ask")
+    answers = answers.select("doc_id", _value("ka", pairs, "a1"), _value("kb", pairs, "a2"), "path")
+    return told.filter("path IS NOT NULL").unionByName(answers)
 
 
 def with_start(flows: DataFrame) -> DataFrame:
@@ -105,35 +156,34 @@ def without(entities: DataFrame, merge: str | None = None, condition: str = COND
     return rows if merge is None else rows.filter(~F.col("entity").eqNullSafe(F.col(merge)))
 
 
-def search_scope(elements: DataFrame, flows: DataFrame) -> DataFrame:
-    """The flows in which each element's merge point is searched: those from the earliest of the
-    element, what it links to and the targets of its following flows on, not leading back to it."""
-    after = following_flows(elements, flows).select("doc_id", "element", F.col("target").alias("x"))
-    linked = elements.join(flows.select("doc_id", F.col("source").alias("element"), F.col("target").alias("x")), ["doc_id", "element"])
-    starts = elements.withColumn("x", F.col("element")).unionByName(after).unionByName(linked)
-    least = starts.groupBy("doc_id", "element").agg(F.min(position("x")).alias("least"))
-    scope = least.join(flows, "doc_id").filter(position("source") >= F.col("least"))
-    return scope.filter(F.col("target") != F.col("element")).drop("least")
+def _merges(what: list, s: list, t: list, _: list, key: list, to: list, to_s: list, to_t: list, gateway: list):
+    at = list(zip(s, t))
+    flows = [i for i, w in enumerate(what) if w]
+    pick = lambda c: [c[i] for i in flows]
+    elements = [(at[i], key[i]) for i, w in enumerate(what) if not w]
+    return paths.merge_points(elements, pick(to), pick(at), [(to_s[i], to_t[i]) for i in flows], pick(gateway))
 
 
 def merge_points(elements: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(merge, nested)``: for each gateway ``element`` its merge point (if any) and the gateways
-    opened before it. Scanning flows in text order, one more gateway is open for each target that is
-    a gateway with one incoming flow, one less for each target met before; the target that closes the
-    last is the merge point."""
-    degree = in_degree(flows).select("doc_id", F.col("entity").alias("target"), "n_in")
-    scope = search_scope(elements, flows).join(degree, ["doc_id", "target"])
-    by = Window.partitionBy("doc_id", "element").orderBy(position("source"), "flow_ord")
-    opens = F.col("target.entity_type").isin(*GATEWAYS) & (F.col("n_in") == 1)
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "element", "target").orderBy(position("source"), "flow_ord")) > 1
-    rows = scope.withColumn("opens", opens).withColumn("repeat", repeat)
-    rows = rows.withColumn("open", 1 + F.sum(F.col("opens").cast("int") - F.col("repeat").cast("int")).over(by)).withColumn("o", F.row_number().over(by))
-    closes = F.min(F.when(F.col("repeat") & (F.col("open") == 0), F.col("o")))
-    ends = rows.groupBy("doc_id", "element").agg(closes.alias("end"))
-    rows = rows.join(ends, ["doc_id", "element"])
-    merge = rows.filter("o = end").select("doc_id", "element", F.col("target").alias("merge"))
-    nested = rows.filter(F.col("opens") & (F.col("end").isNull() | (F.col("o") <= F.col("end"))))
-    return merge, nested.select("doc_id", F.col("element").alias("parent"), F.col("target").alias("nested_gateway")).distinct()
+    opened before it.
+
+    The flows searched are those from the earliest of the element and the targets of its following
+    flows on, not leading back to it. In text order, one more gateway is open for each target that is a
+    gateway with one incoming flow, one less for each target met before; the target that closes the
+    last is the merge point. Brackets are matched in one scan of the document's flows.
+    """
+    place = lambda c, i: F.col(f"{c}.{i}").cast("int")
+    null = lambda kind: F.lit(None).cast(kind)
+    e = elements.select("doc_id", F.lit(0).alias("what"), place("element", "sentence_idx").alias("s"), place("element", "token_idx").alias("t"), null("long").alias("o"), _keyed("element").alias("key"), null("string").alias("to"), null("int").alias("to_s"), null("int").alias("to_t"), null("boolean").alias("gateway"))
+    f = flows.filter("source IS NOT NULL AND target IS NOT NULL").select(
+        "doc_id", F.lit(1).alias("what"), place("source", "sentence_idx").alias("s"), place("source", "token_idx").alias("t"), F.col("flow_ord").cast("long").alias("o"), null("string").alias("key"), _keyed("target").alias("to"), place("target", "sentence_idx").alias("to_s"), place("target", "token_idx").alias("to_t"), F.col("target.entity_type").isin(*GATEWAYS).alias("gateway")
+    )
+    found = by_document(e.unionByName(f), _merges, "key string, merge string, nested array<string>", ("what", "s", "t", "o"))
+    found = stored(found.select("doc_id", _value("key", elements, "element"), "merge", "nested"), "merge-points")
+    merge = found.filter("merge IS NOT NULL").select("doc_id", "element", _value("merge", flows, "target").alias("merge"))
+    nested = found.select("doc_id", F.col("element").alias("parent"), F.explode("nested").alias("n"))
+    return merge, nested.select("doc_id", "parent", _value("n", flows, "target").alias("nested_gateway"))
 
 
 def until_merge(starts: DataFrame, flows: DataFrame, same: DataFrame) -> DataFrame:
@@ -204,9 +254,11 @@ def activity_relations(flows: DataFrame, same: DataFrame) -> tuple[DataFrame, Da
 
 
 def untouched_pairs(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """``doc_id, a1, a2`` in text order without a relation in either direction."""
-    a = entities.select("doc_id", F.col("entity").alias("a1"))
-    pairs = a.join(entities.select("doc_id", F.col("entity").alias("a2")), "doc_id").filter(position("a1") < position("a2"))
+    """``doc_id, a1, a2`` in text order without a relation in either direction; other columns of
+    ``entities`` come along as ``name1`` and ``name2``."""
+    more = [c for c in entities.columns if c not in ("doc_id", "entity")]
+    side = lambda i: entities.select("doc_id", F.col("entity").alias(f"a{i}"), *(F.col(c).alias(f"{c}{i}") for c in more))
+    pairs = side(1).join(side(2), "doc_id").filter(position("a1") < position("a2"))
     low = lambda f: f(F.col("a1"), F.col("a2"))
     known = relations.select("doc_id", low(F.least).alias("a1"), low(F.greatest).alias("a2")).distinct()
     return pairs.withColumn("x", low(F.least)).withColumn("y", low(F.greatest)).join(known.select("doc_id", F.col("a1").alias("x"), F.col("a2").alias("y")), ["doc_id", "x", "y"], "left_anti").drop("x", "y")
@@ -216,10 +268,9 @@ def remaining(relations: DataFrame, flows: DataFrame, same: DataFrame) -> DataFr
     """Relations of the pairs that have none: eventually following if a path leads there, else exclusive."""
     ends = flows.select("doc_id", F.col("source").alias("entity")).unionByName(flows.select("doc_id", F.col("target").alias("entity")))
     acts = ends.filter(F.col("entity.entity_type") == ACTIVITY).distinct()
-    pairs = untouched_pairs(acts, relations)
-    path = reachability(flows, same).select("doc_id", F.col("source").alias("a1"), F.col("target").alias("a2"), F.lit(True).alias("path"))
-    rows = pairs.join(path, ["doc_id", "a1", "a2"], "left")
-    hit = F.col("path").isNotNull()
+    labelled = stored(acts.join(reach_labels(flows, same), ["doc_id", "entity"], "left"), "labels")
+    rows = reaches(untouched_pairs(labelled, relations), flows, same)
+    hit = F.col("path")
     return rows.select("doc_id", "a1", "a2", F.when(hit, EVENTUALLY).otherwise(EXCLUSIVE).alias("relation_type"), F.when(hit, "path").otherwise("fallback").alias("comment"))
 
 
