@@ -23,7 +23,8 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .checksums import crc32c, masked
 from .common import running_total, shared_dir, stored, table
-from .kernels import portions, tidy
+from .kernels import portions, slices, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -45,21 +46,26 @@ RANGE_BYTES, FILE_BYTES = 128 << 20, 64 << 20
 CACHED_CHUNKS = 400_000
 #: Open files of a task that reads in any order.
 OPEN_FILES = 64
+#: Bytes of texts that are encoded together.
+PORTION = 1 << 20
 _NULL_KEY = 0xFFFFFFFF
 _HEAD = 12
 
 # The characters that Unicode calls white space.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+_IS_WHITE = np.isin(np.arange(256), [ord(c) for c in _WHITE if c.isascii()])
+_WIDE_WHITE = re.compile(b"|".join(re.escape(c.encode()) for c in _WHITE if not c.isascii())).finditer
+
 
 class Encoder:
     """Batches of texts to ids with a tokenizer file of the ``tokenizers`` library, special tokens
     neither added nor recognised.
 
-    Byte-level BPE splits a text at every start of white space, whatever follows, so such vocabularies
-    encode chunks (white space and the word after it) that are remembered; new chunks go through the
-    library together, as one text, and are told apart by the bytes of their tokens. Other tokenizers
-    take whole texts.
+    Byte-level BPE splits a text wherever white space follows a word, so such vocabularies encode chunks
+    (white space and the word after it), the distinct ones of many texts at once, and remember them. New
+    chunks go through the library together, as one text, and are told apart by the bytes of their
+    tokens. Other tokenizers take whole texts.
     """
 
     def __init__(self, path: str, end: int | None):
@@ -80,7 +86,6 @@ class Encoder:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # byte-level tokens have a character a byte
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
-        self.cut = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -96,11 +101,11 @@ class Encoder:
         if not words:
             return
         led = [c if c[0] in _WHITE else "\n" + c for c in words]
-        sizes = np.array([len(c.encode()) for c in led], np.int64)
+        sizes = np.array(list(map(len, map(str.encode, led))), np.int64)
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.cumsum(self.bytes_of[ids])
         last = np.cumsum(sizes)
-        first = last - sizes + np.array([len(a) - len(b) for a, b in zip(led, words)], np.int64)
+        first = last - sizes + np.array(list(map(len, led)), np.int64) - np.array(list(map(len, words)), np.int64)
         start, stop = np.searchsorted(ends, first, "right"), np.searchsorted(ends, last, "right")
         if (ends[stop - 1] != last).any() or ((first > 0) & (ends[start - 1] != first)).any():
             self.young.update(zip(words, self._whole(words)))  # a token reaches over a chunk's end
@@ -108,25 +113,49 @@ class Encoder:
         flat, width = ids.tobytes(), self.dtype.itemsize
         self.young.update((c, flat[a:b]) for c, a, b in zip(words, (start * width).tolist(), (stop * width).tolist()))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, the end id after them, in ``dtype``."""
-        if not self.chunked:
-            return [ids + self.end for ids in self._whole(texts)]
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
         if len(self.young) > CACHED_CHUNKS:
             self.old, self.young = self.young, {}
-        chunks = [self.cut(t) for t in texts]
-        new = []
-        for c in dict.fromkeys(chain.from_iterable(chunks)):
-            if c not in self.young:
-                known = self.old.get(c)
-                if known is None:
-                    new.append(c)
-                else:
-                    self.young[c] = known
-        if new:
-            self._learn(new)
-        ids_of = self.young.__getitem__
-        return [b"".join(map(ids_of, c)) + self.end for c in chunks]
+        known = list(map(self.young.get, chunks))
+        if None in known:
+            new = list(compress(chunks, map(not_, known)))
+            again = {c: ids for c in new if (ids := self.old.get(c))}
+            self.young.update(again)
+            if fresh := [c for c in new if c not in again]:
+                self._learn(fresh)
+            known = list(map(self.young.__getitem__, chunks))
+        return known
+
+    def _by_chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in ``data`` and how many come before each text."""
+        if not len(data):
+            return np.empty(0, self.dtype), np.zeros(len(offsets), np.int64)
+        white = _IS_WHITE[data]
+        begins = white.copy()
+        for m in _WIDE_WHITE(data):  # white space of several bytes ends no word
+            white[m.end() - 1] = True
+        begins[1:] &= ~white[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        at = np.flatnonzero(begins)
+        bounds = pa.py_buffer(np.append(at, len(data)))
+        chunks = pa.LargeStringArray.from_buffers(len(at), bounds, pa.py_buffer(data)).dictionary_encode()
+        ids, which = self._ids_of(chunks.dictionary.to_pylist()), chunks.indices.to_numpy()
+        sizes = np.array(list(map(len, ids)), np.int64) // self.dtype.itemsize
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - ends + counts, counts) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(ids), self.dtype)[place], np.append(0, ends)[np.searchsorted(at, offsets)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, the end id after them, in ``dtype``; null counts as empty."""
+        if not self.chunked:
+            return [ids + self.end for ids in self._whole([t or "" for t in texts.to_pylist()])]
+        out, width = [], self.dtype.itemsize
+        for _, data, offsets in slices(texts, PORTION):
+            ids, before = self._by_chunks(data, offsets)
+            flat, places = ids.tobytes(), (before * width).tolist()
+            out += [flat[i:j] + self.end for i, j in zip(places, places[1:])]
+        return out
 
 
 @lru_cache(2)
@@ -221,7 +250,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int | None
 
         def closed():
             for b in (part for whole in batches for part in portions(whole, 1)):
-                ids = e.encode(b.column(1).to_pylist())
+                ids = e.encode(b.column(1))
                 yield from files.add(framed([payload(k, i, width) for k, i in zip(b.column(0).to_pylist(), ids)]), [len(i) // width for i in ids])
             if files.stream is not None:
                 yield files.close()

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,21 +76,30 @@ def test_known_checksum():
 def test_encoder_equals_the_library(texts):
     e = encoder(PATH, END)
     plain = e.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [p.ids + [END] for p in plain]
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(pa.array(texts, pa.string()))] == [p.ids + [END] for p in plain]
+
+
+def test_encoder_on_many_texts(library):
+    words = ["one", "two,", "\u00a0", "three\u2003", "\n", "\t\t", "", "é", "🙂", "don't", "x" * 50, "\x1c", "<|endoftext|>"]
+    texts = [None, "", " ", "a ", *(" ".join(words[(i * k) % 13] for k in range(i % 40)) for i in range(3000)), "", "y " * 700_000]
+    e = Encoder(PATH, END)
+    want = [p.ids + [END] for p in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(pa.array(texts))] == want
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(pa.array(texts).slice(2, 500))] == want[2:502]
 
 
 def test_encoder_forgets_and_finds_again(library, monkeypatch):
     monkeypatch.setattr("flowloom.llm.records.CACHED_CHUNKS", 3)
     e = Encoder(PATH, END)
     for text in ["one two three four", "five six one", "two <|endoftext|> one", "seven  eight\n\nnine ", "one two"] * 3:
-        assert np.frombuffer(e.encode([text])[0], "<u2").tolist() == ids_of(library, text)
+        assert np.frombuffer(e.encode(pa.array([text]))[0], "<u2").tolist() == ids_of(library, text)
 
 
 def test_other_tokenizers_take_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     e, t = Encoder(path, None), Tokenizer.from_file(path)
     assert not e.chunked
-    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(["Hello  World", ""])] == [t.encode(x, add_special_tokens=False).ids for x in ("Hello  World", "")]
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(pa.array(["Hello  World", None]))] == [t.encode(x, add_special_tokens=False).ids for x in ("Hello  World", "")]
 
 
 def test_payloads():
