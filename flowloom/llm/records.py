@@ -47,7 +47,7 @@ CACHED_CHUNKS = 400_000
 #: Open files of a task that reads in any order.
 OPEN_FILES = 64
 #: Bytes of texts that are encoded together.
-PORTION = 1 << 20
+PORTION = 4 << 20
 _NULL_KEY = 0xFFFFFFFF
 _HEAD = 12
 
@@ -123,7 +123,8 @@ class Encoder:
             self.young.update(again)
             if fresh := [c for c in new if c not in again]:
                 self._learn(fresh)
-            known = list(map(self.young.__getitem__, chunks))
+            found = map(self.young.__getitem__, new)
+            known = [ids or next(found) for ids in known]
         return known
 
     def _by_chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ class Encoder:
         at = np.flatnonzero(begins)
         bounds = pa.py_buffer(np.append(at, len(data)))
         chunks = pa.LargeStringArray.from_buffers(len(at), bounds, pa.py_buffer(data)).dictionary_encode()
-        ids, which = self._ids_of(chunks.dictionary.to_pylist()), chunks.indices.to_numpy()
+        ids, which = self._ids_of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), chunks.indices.to_numpy()
         sizes = np.array(list(map(len, ids)), np.int64) // self.dtype.itemsize
         counts = sizes[which]
         ends = np.cumsum(counts)
@@ -249,7 +250,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int | None
         width = e.dtype.itemsize
 
         def closed():
-            for b in (part for whole in batches for part in portions(whole, 1)):
+            for b in (part for whole in batches for part in portions(whole, 1, PORTION)):
                 ids = e.encode(b.column(1))
                 yield from files.add(framed([payload(k, i, width) for k, i in zip(b.column(0).to_pylist(), ids)]), [len(i) // width for i in ids])
             if files.stream is not None:
