@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..schemas import ACTIVITY, AND, XOR
 from .neighbors import contradictory, neighbours
 
@@ -103,35 +104,85 @@ def suppress_defaults(defaults: DataFrame, gateway_flows: DataFrame) -> DataFram
     return rows.join(taken, ["doc_id", "words"], "left_anti").drop("words")
 
 
-def _inside(p: Column, compat: bool) -> Column:
-    s, t, a, b = p["s"], p["t"], F.col("start"), F.col("end")
-    if compat:
-        return ((s == a["s"]) & (t >= a["t"])) | ((s > a["s"]) & (s < b["s"])) | ((s == b["s"]) & (t <= b["t"]))
-    at = F.struct(s.alias("s"), t.alias("t"))
-    return (at >= F.struct(a["s"].alias("s"), a["t"].alias("t"))) & (at <= F.struct(b["s"].alias("s"), b["t"].alias("t")))
+#: Beyond the last token of any sentence.
+_END = (1 << 31) - 1
+
+
+def _stretches(compat: bool) -> Column:
+    """A frame as stretches ``(lo, hi)`` of text; with ``compat`` one within a sentence covers all from its
+    start and all up to its end."""
+    at = lambda s, t: F.struct(F.col(s).cast("int").alias("s"), (F.lit(t) if isinstance(t, int) else F.col(t)).cast("int").alias("t"))
+    stretch = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    whole = F.array(stretch(at("start.s", "start.t"), at("end.s", "end.t")))
+    if not compat:
+        return whole
+    ends = F.array(stretch(at("start.s", "start.t"), at("start.s", _END)), stretch(at("end.s", -1), at("end.s", "end.t")))
+    return F.when(F.col("start.s") < F.col("end.s"), whole).otherwise(ends)
+
+
+def _cells(first: Column, last: Column) -> Column:
+    """The numbers between ``first`` and ``last``, both excluded, as at most two aligned cells ``(level, cell)``
+    of ``2 ** level`` numbers each level."""
+    top = F.length(F.bin(first.bitwiseXOR(last))) - 1
+
+    def at(level: Column) -> Column:
+        a, b = F.call_function("shiftright", first, level), F.call_function("shiftright", last, level)
+        cell = lambda when, x: F.when(when, F.struct(level.alias("level"), x.alias("cell")))
+        return F.array(cell(a % 2 == 0, a + 1), cell(b % 2 == 1, b - 1))
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), top - 1), at))
+    return F.when((first + 1 < last) & (top > 0), F.filter(found, lambda c: c.isNotNull()))
+
+
+def holding_frames(places: DataFrame, numbered: DataFrame, compat: bool = True) -> DataFrame:
+    """``doc_id, s, t, frame``: for each of ``places`` (``doc_id, s, t``) that frames (``i, start, end``) hold
+    the first of them, or the first but 0 with ``compat``.
+
+    Places are numbered along the text; a frame is then a range of numbers and split into aligned
+    cells, two a level, while a place lies in one cell a level. Places and frames meet in the same
+    cell, so rows grow with both and the logarithm of a document's places, not with their product, and
+    all steps share one shuffle by document.
+    """
+    none = F.lit(None).cast("int")
+    points = places.select("doc_id", F.col("s").cast("int").alias("s"), F.col("t").cast("int").alias("t"), F.lit(1).alias("side"), none.alias("i"), none.alias("piece")).distinct()
+    pieces = numbered.select("doc_id", F.col("i").cast("int").alias("i"), F.posexplode(_stretches(compat)).alias("piece", "x"))
+    side = lambda c, n: pieces.select("doc_id", F.col(f"x.{c}.s").alias("s"), F.col(f"x.{c}.t").alias("t"), F.lit(n).alias("side"), "i", "piece")
+    events = points.unionByName(side("lo", 0)).unionByName(side("hi", 2))
+    so_far = F.count(F.when(F.col("side") == 1, 1)).over(Window.partitionBy("doc_id").orderBy("s", "t", "side").rowsBetween(Window.unboundedPreceding, 0))
+    own = lambda c: F.when(F.col("side") == 1, F.col(c)).alias(f"p{c}")
+    rows = events.withColumn("n", so_far).groupBy("doc_id", "i", "piece", own("s"), own("t"))
+    rows = rows.agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("before"), F.max(F.when(F.col("side") != 0, F.col("n"))).alias("upto"))
+    number = F.col("upto")
+    alone = F.transform(F.sequence(F.lit(0), F.length(F.bin(number)) - 1), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", number, k).alias("cell")))
+    cells = rows.select("doc_id", "i", "ps", "pt", F.explode(F.when(F.col("i").isNull(), alone).otherwise(_cells(F.col("before"), number + 1))).alias("c"))
+    same = Window.partitionBy("doc_id", "c.level", "c.cell")
+    later, zero = F.min(F.when(F.col("i") > 0, F.col("i"))).over(same), F.min(F.when(F.col("i") == 0, F.lit(0))).over(same)
+    met = cells.select("doc_id", "i", "ps", "pt", later.alias("later"), zero.alias("zero")).filter("i IS NULL AND (later IS NOT NULL OR zero IS NOT NULL)")
+    first = F.coalesce(F.min("later"), F.min("zero")) if compat else F.coalesce(F.min("zero"), F.min("later"))
+    return met.groupBy("doc_id", F.col("ps").alias("s"), F.col("pt").alias("t")).agg(first.alias("frame"))
 
 
 def containing_frame(flows: DataFrame, frames: DataFrame, compat: bool = True) -> DataFrame:
-    """``flows`` (with a key ``fid``) and the frame that holds each end: ``src_frame``, ``tgt_frame`` by
-    index, ``tgt_split``. Frames are numbered in rule, then text order. ``compat`` keeps two habits:
-    frame 0 loses to any later frame, and a frame within one sentence covers all of it."""
+    """``flows`` and the frame that holds each end: ``src_frame``, ``tgt_frame`` by index, ``tgt_split``.
+    Frames are numbered in rule, then text order. ``compat`` keeps two habits: frame 0 loses to any
+    later frame, and a frame within one sentence covers all of it."""
     w = Window.partitionBy("doc_id").orderBy("rule", "g_s", "g_t")
-    numbered = frames.withColumn("i", F.row_number().over(w) - 1)
-    met = flows.select("doc_id", "fid", "src", "tgt").join(numbered.select("doc_id", "i", "start", "end", "split"), "doc_id", "left")
-    first = (lambda c: F.when(F.count(F.when(c, 1)) > 0, F.coalesce(F.min(F.when(c & (F.col("i") > 0), F.col("i"))), F.lit(0)))) if compat else (lambda c: F.min(F.when(c, F.col("i"))))
-    in_src, in_tgt = _inside(F.col("src"), compat), _inside(F.col("tgt"), compat)
-    found = met.groupBy("doc_id", "fid").agg(first(in_src).alias("src_frame"), first(in_tgt).alias("tgt_frame"))
+    numbered = stored(frames.withColumn("i", F.row_number().over(w) - 1).select("doc_id", "i", "start", "end", "split"), "frames")
+    place = lambda p: flows.select("doc_id", f"{p}.s", f"{p}.t")
+    held = stored(holding_frames(place("src").unionAll(place("tgt")), numbered, compat), "held")
+    at = lambda p: held.select("doc_id", F.struct("s", "t").alias(f"{p}_at"), F.col("frame").alias(f"{p}_frame"))
+    key = lambda p: F.struct(F.col(f"{p}.s").cast("int").alias("s"), F.col(f"{p}.t").cast("int").alias("t")).alias(f"{p}_at")
     splits = numbered.select("doc_id", F.col("i").alias("tgt_frame"), F.col("split").alias("tgt_split"))
-    return flows.join(found, ["doc_id", "fid"]).join(splits, ["doc_id", "tgt_frame"], "left")
+    rows = flows.select("*", key("src"), key("tgt")).join(at("src"), ["doc_id", "src_at"], "left").join(at("tgt"), ["doc_id", "tgt_at"], "left")
+    return rows.drop("src_at", "tgt_at").join(splits, ["doc_id", "tgt_frame"], "left")
 
 
 def merge_flows(defaults: DataFrame, gateway_flows: DataFrame, frames: DataFrame, compat: bool = True) -> DataFrame:
     """All flows of each document: gateway flows and the defaults they leave, flows that enter a frame
     led to its split point, without repeats."""
+    gateway_flows = stored(gateway_flows, "gateway-flows")
     flows = gateway_flows.unionAll(suppress_defaults(defaults, gateway_flows))
-    key = lambda p: F.concat_ws(":", f"{p}.s", f"{p}.t", f"{p}.kind")
-    flows = flows.select("doc_id", "src", "tgt").distinct().withColumn("fid", F.concat_ws("|", key("src"), key("tgt")))
-    rows = containing_frame(flows, frames, compat)
+    rows = containing_frame(stored(flows.select("doc_id", "src", "tgt").distinct(), "flows"), frames, compat)
     enters = F.col("tgt_frame").isNotNull() & ~F.col("src_frame").eqNullSafe(F.col("tgt_frame")) & (F.col("tgt.tokens") != F.col("tgt_split.tokens"))
     return rows.select("doc_id", "src", F.when(enters, F.col("tgt_split")).otherwise(F.col("tgt")).alias("tgt")).distinct()
 
