@@ -53,11 +53,11 @@ def exclusive_flows(gateways: DataFrame, activities: DataFrame, pairs: list[tupl
     shares their sentence. With ``decided`` (``doc_id, s, t, n_s, n_t`` of pairs that a classifier
     joined) those replace the pair list, and the later rules see every gateway.
     """
-    xor = neighbours(gateways.withColumn("word", F.array_join("low", " ")), activities)
+    xor = stored(neighbours(gateways.withColumn("word", F.array_join("low", " ")), activities), "neighbours")
     g, pa, ppa, fa, ffa = place("s", "t", "tokens", XOR), act("pa"), act("ppa"), act("fa"), act("ffa")
-    near = (contradictory(gateways, pairs, threshold, multiple) if decided is None else decided).select("doc_id", "s", "t", "n_s", "n_t")
+    near = stored((contradictory(gateways, pairs, threshold, multiple) if decided is None else decided).select("doc_id", "s", "t", "n_s", "n_t"), "pairs")
     second = xor.select("doc_id", F.col("s").alias("n_s"), F.col("t").alias("n_t"), g.alias("g2"), act("fa").alias("fa2"), act("ffa").alias("ffa2"))
-    pair = xor.join(near, ["doc_id", "s", "t"]).join(second, ["doc_id", "n_s", "n_t"])
+    pair = stored(xor.join(near, ["doc_id", "s", "t"]).join(second, ["doc_id", "n_s", "n_t"]), "joined-pairs")
     g2, fa2, ffa2 = F.col("g2"), F.col("fa2"), F.col("ffa2")
     full = ~F.coalesce(fa == fa2, F.lit(False))
     rule1 = _exploded(pair, [_edge(pa, g), _edge(g, fa, full), _edge(fa, ffa2, full), _edge(g, ffa2, ~full), _edge(g2, fa2), _edge(fa2, ffa2)], "pair")
@@ -67,7 +67,7 @@ def exclusive_flows(gateways: DataFrame, activities: DataFrame, pairs: list[tupl
     lone = xor
     if decided is None:
         used = near.select("doc_id", "s", "t").unionAll(near.select("doc_id", "n_s", "n_t")).distinct()
-        lone = xor.join(used, ["doc_id", "s", "t"], "left_anti")
+        lone = stored(xor.join(used, ["doc_id", "s", "t"], "left_anti"), "lone")
     with_p, with_f = F.coalesce(F.col("pa.s") == F.col("s"), F.lit(False)), F.coalesce(F.col("fa.s") == F.col("s"), F.lit(False))
     ors = lone.filter(F.col("word") == "or").filter(with_p & with_f)
     rule2 = _exploded(ors, [_edge(ppa, g), _edge(g, pa), _edge(g, fa), _edge(pa, ffa), _edge(fa, ffa)], "or")
@@ -91,7 +91,7 @@ def exclusive_flows(gateways: DataFrame, activities: DataFrame, pairs: list[tupl
 
 def concurrent_flows(gateways: DataFrame, activities: DataFrame):
     """``(flows, frames)`` of AND gateways; edges without one end are left out, and so are frames."""
-    rows = neighbours(gateways, activities)
+    rows = stored(neighbours(gateways, activities), "neighbours")
     g, pa, ppa, fa, ffa = place("s", "t", "tokens", AND), act("pa"), act("ppa"), act("fa"), act("ffa")
     flows = _exploded(rows, [_edge(ppa, g), _edge(g, pa), _edge(g, fa), _edge(pa, ffa), _edge(fa, ffa)], "and")
     return flows, _frame(rows, pa, fa, g, 4)

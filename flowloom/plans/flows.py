@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import joined
+from ..functions.text import add_spans, joined
 from ..functions.shared import stored
 from ..operators import flows as ops
 from ..schemas import AND, XOR
@@ -35,8 +35,16 @@ def flat(flows, *more):
 
 
 def base(spark, d):
-    """Gateways and activities, written once: the rules read them many times."""
-    return stored(gateways(spark, d), "gateways"), stored(activities(spark, d), "activities")
+    """Gateways and activities, found in one pass over the texts and written once: the rules read them
+    many times."""
+    rows = add_spans(fx.corpus(spark, d), {"x": fx.XOR_PHRASES, "a": fx.AND_PHRASES})
+    gates = lambda c, k: F.transform(c, lambda p: F.struct(p["start"].alias("t"), F.slice("tokens", p["start"] + 1, p["n"]).alias("tokens"), F.lit(k).alias("kind")))
+    free = lambda c, i: ~F.exists(c, lambda p: (p["start"] <= i) & (i < p["start"] + p["n"]))
+    words = F.filter(F.transform("tokens", lambda w, i: F.struct(i.alias("t"), F.array(w).alias("tokens"))), lambda c: fx.is_activity(c["tokens"][0]))
+    acts = F.filter(words, lambda c: free("x", c["t"]) & free("a", c["t"]))
+    both = stored(rows.select("doc_id", F.col("sentence_idx").alias("s"), F.concat(gates("x", XOR), gates("a", AND)).alias("g"), acts.alias("acts")), "places")
+    out = lambda c: both.select("doc_id", "s", F.explode(c).alias("e")).select("doc_id", "s", "e.*")
+    return out("g").withColumn("low", F.transform("tokens", lambda x: F.lower(x))), out("acts")
 
 
 def kind(gates, k):
