@@ -9,13 +9,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 _ROWS = 20_000
 
 
+def keyed(c: str) -> Column:
+    """A value of any type as text that is equal where the value is."""
+    return F.to_json(F.struct(F.col(c).alias("v")))
+
+
+def value_of(key: str, kind: DataType) -> Column:
+    """The value of type ``kind`` that :func:`keyed` made a key of."""
+    return F.from_json(key, StructType().add("v", kind))["v"]
+
+
 def by_document(rows: DataFrame, run: Callable, schema: str, order: tuple[str, ...], streamed: str | None = None) -> DataFrame:
     """``doc_id`` and the columns of ``schema``: what ``run`` yields for each document of ``rows``.
 

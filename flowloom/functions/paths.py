@@ -72,6 +72,23 @@ class Graph:
         self.after = [sorted(set(x)) for x in self.after]
 
 
+def depth_first(start, after: dict, stops: set) -> Iterator:
+    """``start`` and what it leads to without passing ``stops``, each node before its successors and all that
+    a successor leads to before the next one."""
+    seen = {start}
+    yield start
+    path = [iter(after.get(start, ()))]
+    while path:
+        for to in path[-1]:
+            if to not in seen and to not in stops:
+                seen.add(to)
+                yield to
+                path.append(iter(after.get(to, ())))
+                break
+        else:
+            path.pop()
+
+
 def closure(sources: list, targets: list) -> Iterator[tuple]:
     """Every pair of nodes with a path of one edge or more."""
     g = Graph(sources, targets)

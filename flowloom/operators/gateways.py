@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import appended, stored
+from ..functions import paths
+from ..functions.documents import by_document, keyed, value_of
+from ..functions.shared import stored
 from ..schemas import CONCURRENT, DIRECTLY, EXCLUSIVE, RELATION_LABELS
 
 
@@ -84,21 +86,28 @@ def branch_starts(gateways: DataFrame) -> DataFrame:
     return gateways.select("doc_id", "gateway_idx", F.posexplode(kept).alias("branch", "start"))
 
 
+def _depth_first(what: list, gateway: list, branch: list, x: list, y: list, stops: list, _: list):
+    """Members of each branch of a document: ``what`` is 0 for a hop from ``x`` to ``y``, 1 for a start ``x``."""
+    after: dict = {}
+    for w, a, b in zip(what, x, y):
+        if not w:
+            after.setdefault(a, []).append(b)
+    for w, g, n, start, stop in zip(what, gateway, branch, x, stops):
+        if w:
+            yield from ((g, n, a, i) for i, a in enumerate(paths.depth_first(start, after, set(stop or ()))))
+
+
 def full_branches(gateways: DataFrame, df_relations: DataFrame) -> DataFrame:
     """``doc_id, gateway_idx, branch, a, ord``: each branch start with all successors before the merge
-    activities. ``ord`` is the round that found it, then text order."""
-    keys = ["doc_id", "gateway_idx", "branch"]
-    stops = stored(gateways.filter("merge IS NOT NULL").select("doc_id", "gateway_idx", F.explode("merge.receiving").alias("a")).distinct(), "stops")
-    hops = stored(df_relations.select("doc_id", F.col("a1").alias("at"), F.col("a2").alias("a")).distinct(), "hops")
-    found = front = stored(branch_starts(gateways).select(*keys, F.col("start").alias("a"), F.lit(0).alias("ord")), "branches")
-    n = 0
-    while not front.isEmpty():
-        n += 1
-        step = front.select(*keys, F.col("a").alias("at")).join(hops, ["doc_id", "at"]).select(*keys, "a").distinct()
-        step = step.join(stops, ["doc_id", "gateway_idx", "a"], "left_anti").join(found, [*keys, "a"], "left_anti")
-        front = stored(step.select(*keys, "a", F.lit(n).alias("ord")), "branches")
-        found = appended(found, front)
-    return found
+    activities, in depth-first order: an activity, then all that its first successor leads to, and so on, by
+    the order of the relations. One scan by document; cycles are walked once."""
+    none = lambda kind: F.lit(None).cast(kind)
+    hops = df_relations.select("doc_id", F.lit(0).alias("what"), none("int").alias("gateway_idx"), none("int").alias("branch"), keyed("a1").alias("x"), keyed("a2").alias("y"), none("array<string>").alias("stops"), "ord")
+    merge = F.transform("merge.receiving", lambda a: F.to_json(F.struct(a.alias("v"))))
+    starts = branch_starts(gateways).join(gateways.select("doc_id", "gateway_idx", merge.alias("stops")), ["doc_id", "gateway_idx"])
+    starts = starts.select("doc_id", F.lit(1).alias("what"), F.col("gateway_idx").cast("int").alias("gateway_idx"), "branch", keyed("start").alias("x"), none("string").alias("y"), "stops", none("long").alias("ord"))
+    found = by_document(hops.unionByName(starts), _depth_first, "gateway_idx int, branch int, k string, ord int", ("what", "ord", "gateway_idx", "branch"))
+    return found.select("doc_id", "gateway_idx", "branch", value_of("k", df_relations.schema["a1"].dataType).alias("a"), "ord")
 
 
 def lookup(pairs: DataFrame, relations: DataFrame) -> DataFrame:

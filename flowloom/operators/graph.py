@@ -11,10 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
-
 from ..functions import paths
-from ..functions.documents import by_document
+from ..functions.documents import by_document, keyed, value_of
 from ..functions.shared import appended, stored
 from ..schemas import ACTIVITY, CONDITION, DIRECTLY, DOC_START, EVENTUALLY, EXCLUSIVE, GATEWAYS, entity, position
 
@@ -27,19 +25,14 @@ def out_degree(flows: DataFrame) -> DataFrame:
     return flows.groupBy("doc_id", F.col("source").alias("entity")).agg(F.count(F.lit(1)).alias("n_out"))
 
 
-def _keyed(c: str) -> Column:
-    """A value of any type as text that is equal where the value is."""
-    return F.to_json(F.struct(F.col(c).alias("v")))
-
-
 def _value(c: str, like: DataFrame, column: str) -> Column:
-    return F.from_json(c, StructType().add("v", like.schema[column].dataType))["v"].alias(column)
+    return value_of(c, like.schema[column].dataType).alias(column)
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """The transitive closure of ``doc_id, a, b`` (any comparable type); cycles are no trouble. Edges with a
     null end lead nowhere. A document's components are found in one scan, its pairs leave in batches."""
-    rows = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("doc_id", _keyed("a").alias("ka"), _keyed("b").alias("kb"))
+    rows = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("doc_id", keyed("a").alias("ka"), keyed("b").alias("kb"))
     pairs = by_document(rows, paths.closure, "ka string, kb string", ("ka", "kb"))
     return pairs.select("doc_id", _value("ka", edges, "a"), _value("kb", edges, "b"))
 
@@ -100,7 +93,7 @@ def reachability(flows: DataFrame, same: DataFrame) -> DataFrame:
 def reach_labels(flows: DataFrame, same: DataFrame) -> DataFrame:
     """``doc_id, entity, label``: a row for each entity, with the interval labels of its component."""
     edges = _edges(flows, same).filter("a IS NOT NULL AND b IS NOT NULL")
-    rows = edges.select("doc_id", _keyed("a").alias("ka"), _keyed("b").alias("kb"))
+    rows = edges.select("doc_id", keyed("a").alias("ka"), keyed("b").alias("kb"))
     kind = "component int, cyclic boolean, first int, last int, low array<int>, rank array<int>"
     found = by_document(rows, paths.labels, f"k string, {kind}", ("ka", "kb"))
     entity_ = _value("k", edges, "a")
@@ -129,8 +122,8 @@ def reaches(pairs: DataFrame, flows: DataFrame, same: DataFrame) -> DataFrame:
     if open_.isEmpty():
         return told
     edges = _edges(flows, same).filter("a IS NOT NULL AND b IS NOT NULL").join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-    asked = edges.select("doc_id", _keyed("a").alias("ka"), _keyed("b").alias("kb"), F.lit(0).alias("ask"))
-    asked = asked.unionByName(open_.select("doc_id", _keyed("a1").alias("ka"), _keyed("a2").alias("kb"), F.lit(1).alias("ask")))
+    asked = edges.select("doc_id", keyed("a").alias("ka"), keyed("b").alias("kb"), F.lit(0).alias("ask"))
+    asked = asked.unionByName(open_.select("doc_id", keyed("a1").alias("ka"), keyed("a2").alias("kb"), F.lit(1).alias("ask")))
     answers = by_document(asked, _ask, "ka string, kb string, path boolean", ("ka", "kb"), streamed="ask")
     answers = answers.select("doc_id", _value("ka", pairs, "a1"), _value("kb", pairs, "a2"), "path")
     return told.filter("path IS NOT NULL").unionByName(answers)
@@ -175,9 +168,9 @@ def merge_points(elements: DataFrame, flows: DataFrame) -> tuple[DataFrame, Data
     """
     place = lambda c, i: F.col(f"{c}.{i}").cast("int")
     null = lambda kind: F.lit(None).cast(kind)
-    e = elements.select("doc_id", F.lit(0).alias("what"), place("element", "sentence_idx").alias("s"), place("element", "token_idx").alias("t"), null("long").alias("o"), _keyed("element").alias("key"), null("string").alias("to"), null("int").alias("to_s"), null("int").alias("to_t"), null("boolean").alias("gateway"))
+    e = elements.select("doc_id", F.lit(0).alias("what"), place("element", "sentence_idx").alias("s"), place("element", "token_idx").alias("t"), null("long").alias("o"), keyed("element").alias("key"), null("string").alias("to"), null("int").alias("to_s"), null("int").alias("to_t"), null("boolean").alias("gateway"))
     f = flows.filter("source IS NOT NULL AND target IS NOT NULL").select(
-        "doc_id", F.lit(1).alias("what"), place("source", "sentence_idx").alias("s"), place("source", "token_idx").alias("t"), F.col("flow_ord").cast("long").alias("o"), null("string").alias("key"), _keyed("target").alias("to"), place("target", "sentence_idx").alias("to_s"), place("target", "token_idx").alias("to_t"), F.col("target.entity_type").isin(*GATEWAYS).alias("gateway")
+        "doc_id", F.lit(1).alias("what"), place("source", "sentence_idx").alias("s"), place("source", "token_idx").alias("t"), F.col("flow_ord").cast("long").alias("o"), null("string").alias("key"), keyed("target").alias("to"), place("target", "sentence_idx").alias("to_s"), place("target", "token_idx").alias("to_t"), F.col("target.entity_type").isin(*GATEWAYS).alias("gateway")
     )
     found = by_document(e.unionByName(f), _merges, "key string, merge string, nested array<string>", ("what", "s", "t", "o"))
     found = stored(found.select("doc_id", _value("key", elements, "element"), "merge", "nested"), "merge-points")

@@ -64,8 +64,9 @@ def tagged_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """``doc_id, idx, kind``: the nodes of the flow graphs, a document for each user and week."""
-    e = read(spark, d, "events").select((F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 7)).cast("long").alias("doc_id"), "ts", "event_id", "event_type")
+    """``doc_id, idx, kind``: the nodes of the flow graphs, a document for each user and week of a month."""
+    week = (F.year("ts") * 12 + F.month("ts")) * 5 + F.floor((F.dayofmonth("ts") - 1) / 7)
+    e = read(spark, d, "events").select((F.col("user_id") * 1_000_000 + week).cast("long").alias("doc_id"), "ts", "event_id", "event_type")
     kind = F.when(F.col("event_type") == "error", XOR).when(F.col("event_type") == "signup", AND).otherwise(ACTIVITY)
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("ts", "event_id")) - 1
     return e.select("doc_id", idx.cast("int").alias("idx"), kind.alias("kind"))
@@ -140,8 +141,8 @@ gw AS MATERIALIZED (SELECT doc_id, s, t, pos, phrase, kind, row_number() OVER (P
 )
 
 GRAPH = """
-node AS MATERIALIZED (SELECT user_id * 10 + (day(ts) - 1) // 7 AS doc_id, CAST(row_number() OVER (PARTITION BY user_id, (day(ts) - 1) // 7 ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,
-          CASE event_type WHEN 'error' THEN 'XOR Gateway' WHEN 'signup' THEN 'AND Gateway' ELSE 'Activity' END AS kind FROM events),
+node AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,
+          CASE event_type WHEN 'error' THEN 'XOR Gateway' WHEN 'signup' THEN 'AND Gateway' ELSE 'Activity' END AS kind FROM (SELECT *, user_id * 1000000 + (year(ts) * 12 + month(ts)) * 5 + (day(ts) - 1) // 7 AS doc_id FROM events)),
 edge AS MATERIALIZED (SELECT a.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.idx, b.idx) - 1 AS flow_ord, a.idx AS s, a.kind AS s_kind, b.idx AS t, b.kind AS t_kind
          FROM node a JOIN node b ON a.doc_id = b.doc_id AND (b.idx = a.idx + 1 OR (b.idx = a.idx + 2 AND a.kind <> 'Activity'))),
 sg AS MATERIALIZED (SELECT a.doc_id, a.idx AS s, min(b.idx) AS t, a.kind FROM node a JOIN node b ON a.doc_id = b.doc_id AND a.kind = b.kind AND b.idx > a.idx

@@ -95,8 +95,13 @@ gwy AS MATERIALIZED (SELECT s.doc_id, CAST(row_number() OVER (PARTITION BY s.doc
   FROM pts s LEFT JOIN fold f ON f.doc_id = s.doc_id AND f.split = s.i LEFT JOIN pts m ON m.doc_id = f.doc_id AND m.i = f.merge WHERE s.k = 0),
 heads AS MATERIALIZED (SELECT doc_id, gateway_idx, mrec, CAST(j - 1 AS INTEGER) AS branch, kept[j] AS a FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS j FROM (SELECT *, list_filter(rec, lambda x: NOT list_contains(coalesce(mrec, []), x)) AS kept FROM gwy)))"""
 FULL = POINTS + """,
-walk AS (SELECT doc_id, gateway_idx, mrec, branch, a, 0 AS n FROM heads UNION SELECT w.doc_id, w.gateway_idx, w.mrec, w.branch, e.a2, w.n + 1 FROM walk w JOIN dfr e ON e.doc_id = w.doc_id AND e.a1 = w.a AND NOT list_contains(coalesce(w.mrec, []), e.a2)),
-members AS MATERIALIZED (SELECT doc_id, gateway_idx, branch, a, min(n) AS ord FROM walk GROUP BY 1, 2, 3, 4)"""
+adj AS MATERIALIZED (SELECT doc_id, a1, list(a2 ORDER BY ord DESC) AS nxt FROM dfr GROUP BY 1, 2),
+dfs AS (SELECT doc_id, gateway_idx, mrec, branch, [a] AS stack, []::INTEGER[] AS seen FROM heads
+  UNION ALL SELECT f.doc_id, f.gateway_idx, f.mrec, f.branch,
+    CASE WHEN list_contains(f.seen, f.stack[-1]) THEN f.stack[:len(f.stack) - 1] ELSE list_concat(f.stack[:len(f.stack) - 1], list_filter(coalesce(j.nxt, []), lambda x: NOT list_contains(coalesce(f.mrec, []), x))) END,
+    CASE WHEN list_contains(f.seen, f.stack[-1]) THEN f.seen ELSE list_append(f.seen, f.stack[-1]) END
+    FROM dfs f LEFT JOIN adj j ON j.doc_id = f.doc_id AND j.a1 = f.stack[-1] WHERE len(f.stack) > 0),
+members AS MATERIALIZED (SELECT doc_id, gateway_idx, branch, seen[i] AS a, i - 1 AS ord FROM (SELECT *, unnest(range(1, len(seen) + 1)) AS i FROM dfs WHERE len(stack) = 0))"""
 STARTS = POINTS + ",\nmembers AS MATERIALIZED (SELECT doc_id, gateway_idx, branch, a, 0 AS ord FROM heads)"
 VOTES = """,
 met AS (SELECT l.doc_id, l.gateway_idx, r.relation_type AS k, {'b1': l.branch, 'b2': q.branch, 'o1': l.ord, 'a1': l.a, 'o2': q.ord, 'a2': q.a} AS o
@@ -120,9 +125,9 @@ def x6(spark, d):
     return ops.branch_starts(pairs(spark, d))
 
 
-@query("x7_full_branches", sql(FULL, "SELECT doc_id, gateway_idx, branch, a FROM members", True))
+@query("x7_full_branches", sql(FULL, "SELECT doc_id, gateway_idx, branch, a, CAST(ord AS INTEGER) AS ord FROM members", True))
 def x7(spark, d):
-    return ops.full_branches(pairs(spark, d), directly(spark, d)).select("doc_id", "gateway_idx", "branch", "a")
+    return ops.full_branches(pairs(spark, d), directly(spark, d))
 
 
 @query("x9_start_votes", sql(STARTS + VOTES, "SELECT doc_id, gateway_idx, type, confidence, size FROM vote", True))

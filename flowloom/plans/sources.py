@@ -81,9 +81,9 @@ def s8(spark, d):
     return loops.select("doc_id", F.col("source.token_idx").alias("s"), F.col("target.token_idx").alias("t"), joined("source.tokens").alias("words"), F.col("source.entity_type").alias("kind"))
 
 
-@query("s9_document_lists", "SELECT n_name AS doc_id FROM nation WHERE n_regionkey > 0")
+@query("s9_document_lists", "SELECT n_name AS doc_id FROM nation")
 def s9(spark, d):
-    names = fx.read(spark, d, "nation").filter("n_regionkey > 0").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("v"))
+    names = fx.read(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("v"))
     whole = names.agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_regionkey").cast("string"), "v"))).alias("lists"))
     return lexicons.read_names(spark, lines(whole.select(F.to_json("lists")), folder(spark, "lists")))
 
