@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_dir, stored
 from ..functions.text import joined
 from ..operators import scoring as ops
-from ..operators import trainset
+from ..operators import training, trainset
 from ..operators.neighbors import adjacent
 from ..schemas import ACTIVITY, AND, CONCURRENT, DIRECTLY, EXCLUSIVE, XOR
 from . import fixtures as fx
@@ -93,6 +93,43 @@ def m9(spark, d):
     return ops.stopping_epoch(history(spark, d), "precision")
 
 
+def training_rows(spark, d):
+    """Tagged tokens with their neighbours' words as features: class 0 for all but gateways, 1 and 2 for these;
+    a document's fold goes by its id."""
+    rows = trainset.encode_tokens(fx.tagged_tokens(spark, d), "filtered")
+    rows = training.hashed(ops.token_features(rows))
+    key = F.xxhash64("doc_id", "sentence_idx", "token_idx")
+    return stored(rows.select("doc_id", "sentence_idx", "token_idx", training.fold_of(F.col("doc_id"), 5).alias("fold"), (F.col("label") - 1).alias("label"), "weight", key.alias("key"), "features"), "training-rows")
+
+
+def trained(spark, d):
+    """Five folds, two seeds; the rows and what was trained on them."""
+    rows = training_rows(spark, d)
+    return rows, training.cross_validate(rows, 3, [1, 2], seeds=(0, 1), epochs=6)
+
+
+@query("m6_trained_folds")
+def m6_trained(spark, d):
+    """Cross-validation on trained members; tests recompute it by SQL from stored predictions."""
+    return ops.fold_metrics(trained(spark, d)[1].history)[0].select("fold", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("m8_trained_history")
+def m8_trained(spark, d):
+    return ops.mean_history(trained(spark, d)[1].history).select("metric", "epoch", F.round("value", 6).alias("value"))
+
+
+@query("m9_trained_stops")
+def m9_trained(spark, d):
+    return ops.stopping_epoch(trained(spark, d)[1].history, "f1")
+
+
+@query("m4_trained_ensemble")
+def m4_trained(spark, d):
+    rows, t = trained(spark, d)
+    return training.ensemble(t, rows, ["doc_id", "sentence_idx", "token_idx"]).groupBy("fold", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("m1_token_scores")
 def m1(spark, d):
     rows = stored(trainset.encode_tokens(fx.tagged_tokens(spark, d), "filtered"), "train")
