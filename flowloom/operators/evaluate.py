@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.documents import by_document
 from ..functions.metrics import metric_row, ratio
 
 
@@ -68,29 +68,55 @@ def keyword_confusion(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.groupBy("keyword").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), *docs)
 
 
+def _forms(words: list, width: int) -> set:
+    """Lower-case forms of a token list with up to ``width`` tokens dropped on each side, never all."""
+    w = tuple(x.lower() for x in words)
+    return {w[i : len(w) - j] for i in range(width + 1) for j in range(width + 1) if i + j < len(w)} | {w}
+
+
+def _greedy(width: int):
+    """One-to-one matching of a document's relations, label by label: a queue of predictions for each pair
+    of forms, from which a gold relation takes the first that is free."""
+
+    def run(side: list, label: list, _: list, source: list, target: list):
+        number: dict = {}
+        of = lambda words: [number.setdefault(f, len(number)) for f in _forms(words, width)]
+        found = [[(a, b) for a in of(s) for b in of(t)] for s, t in zip(source, target)]
+        labels: dict = {}
+        for i, name in enumerate(label):
+            labels.setdefault(name, ([], []))[side[i]].append(i)
+        for name, (gold, predicted) in labels.items():
+            queues: dict = {}
+            for k, i in enumerate(predicted):
+                for pair in found[i]:
+                    queues.setdefault(pair, []).append(k)
+            at, taken, tp = dict.fromkeys(queues, 0), bytearray(len(predicted)), 0
+            for i in gold:
+                first = None
+                for pair in found[i]:
+                    queue = queues.get(pair, ())
+                    n = at.get(pair, 0)
+                    while n < len(queue) and taken[queue[n]]:
+                        n += 1
+                    if n < len(queue):
+                        first = queue[n] if first is None else min(first, queue[n])
+                    if queue:
+                        at[pair] = n
+                if first is not None:
+                    taken[first] = 1
+                    tp += 1
+            yield name, tp, len(predicted) - tp, len(gold) - tp
+
+    return run
+
+
 def relaxed_matches(gold: DataFrame, predicted: DataFrame, width: int = 1) -> DataFrame:
     """``doc_id, label, tp, fp, fn`` with one-to-one greedy matching in gold order of relations
     (``doc_id, label, ord, source, target`` as token arrays): lists match if equal in lower case after
-    dropping up to ``width`` tokens on the left and right of either. One document and label at a time."""
-
-    def forms(words):
-        w = [x.lower() for x in words]
-        return {tuple(w[i : len(w) - j]) for i in range(width + 1) for j in range(width + 1) if i + j < len(w)} | {tuple(w)}
-
-    def match(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        free = [(forms(a), forms(b)) for a, b in zip(p.sort_values("ord")["source"], p.sort_values("ord")["target"])]
-        tp = 0
-        for a, b in zip(g.sort_values("ord")["source"], g.sort_values("ord")["target"]):
-            fa, fb = forms(a), forms(b)
-            hit = next((i for i, (x, y) in enumerate(free) if fa & x and fb & y), None)
-            if hit is not None:
-                free.pop(hit)
-                tp += 1
-        return pd.DataFrame([[*key, tp, len(p) - tp, len(g) - tp]], columns=["doc_id", "label", "tp", "fp", "fn"])
-
-    kind = gold.schema["doc_id"].dataType.simpleString()
-    keys = ["doc_id", "label"]
-    return gold.groupBy(*keys).cogroup(predicted.groupBy(*keys)).applyInPandas(match, f"doc_id {kind}, label string, tp long, fp long, fn long")
+    dropping up to ``width`` tokens on the left and right of either. Documents pass in one scan, and the
+    work follows their relations, not the pairs of them; relations without a list are left out."""
+    side = lambda df, n: df.filter("source IS NOT NULL AND target IS NOT NULL").select("doc_id", F.lit(n).alias("side"), "label", F.col("ord").cast("long").alias("ord"), "source", "target")
+    return by_document(side(gold, 0).unionByName(side(predicted, 1)), _greedy(width), "label string, tp long, fp long, fn long", ("side", "ord"))
 
 
 def empty_grid(docs: DataFrame, labels: list[str]) -> DataFrame:

@@ -17,10 +17,57 @@ def seeded(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key) if isinstance(key, str) else key, F.lit(str(seed))))
 
 
+#: Rows of a range of :func:`ranked`, about; hexadecimal digits that a pass of :func:`lowest` looks at.
+RANGE_ROWS, DIGITS = 1_000_000, 4
+
+
+def sortable(number: Column | str) -> Column:
+    """A whole number as 16 hexadecimal digits in the same order."""
+    n = (F.col(number) if isinstance(number, str) else number).cast("long")
+    return F.lpad(F.hex(n.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def lowest(rows: DataFrame, key: Column, k: int) -> Column | None:
+    """A condition on ``key`` (hexadecimal text of one length) that just the ``k`` rows with the least keys
+    meet; None if equal keys lie on both sides of the cut.
+
+    Nothing is sorted or stored: each pass counts the rows by the next digits of their keys, at most
+    ``16 ** DIGITS`` counts, and only the bucket with the k-th row is looked at further.
+    """
+    if k <= 0:
+        return F.lit(False)
+    prefix, left = "", k
+    while True:
+        n = len(prefix) + DIGITS
+        counts = rows.filter(F.startswith(key, F.lit(prefix))).groupBy(F.substring(key, 1, n).alias("p")).count().collect()
+        last = ""
+        for last, here in sorted((r.p, r["count"]) for r in counts if r.p is not None):
+            if here >= left:
+                break
+            left -= here
+        else:
+            return F.substring(key, 1, n) <= last if prefix else F.lit(True)  # fewer rows than k
+        if here == left:
+            return F.substring(key, 1, n) <= last
+        if last == prefix or len(last) < n:
+            return None
+        prefix = last
+
+
+def split_lowest(rows: DataFrame, key: Column, k: int) -> tuple[DataFrame, DataFrame]:
+    """(the ``k`` rows with the least keys, the others); of equal keys at the cut any may be taken."""
+    chosen = lowest(rows, key, k)
+    if chosen is None:
+        r = stored(ranked(rows, key, "cut_"), "split")
+        return r.filter(F.col("cut_") < k).drop("cut_"), r.filter(F.col("cut_") >= k).drop("cut_")
+    chosen = F.coalesce(chosen, F.lit(False))  # rows without a key are among the others
+    return rows.filter(chosen), rows.filter(~chosen)
+
+
 def ranked(rows: DataFrame, order: Column, name: str = "rank") -> DataFrame:
     """``rows`` with their global 0-based rank by ``order`` (ties by any row order), without one task
-    that holds all: range partitions number their own rows, and offsets are added."""
-    n = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    that holds all: range partitions of about ``RANGE_ROWS`` rows number their own rows, and offsets are added."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
     cut = rows.withColumn("o_", order).repartitionByRange(n, "o_").withColumn("p_", F.spark_partition_id())
     cut = stored(cut, "ranked")
     inner = F.row_number().over(Window.partitionBy("p_").orderBy("o_")) - 1
@@ -53,7 +100,7 @@ def up_sample(samples: DataFrame, seed: int) -> DataFrame:
 def down_sample(samples: DataFrame, seed: int) -> DataFrame:
     """``sample_id`` of all gateway samples and of as many randomly chosen others (all, if fewer)."""
     gates, others = samples.filter(has_gateway()).select("sample_id"), samples.filter(~has_gateway()).select("sample_id")
-    return gates.unionByName(ranked(others, seeded("sample_id", seed)).filter(F.col("rank") < gates.count()).select("sample_id"))
+    return gates.unionByName(split_lowest(others, seeded("sample_id", seed), gates.count())[0])
 
 
 def sample(samples: DataFrame, strategy: str, seed: int = 42) -> DataFrame:
@@ -224,16 +271,22 @@ def split_by_docs(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
 
 def split_by_share(rows: DataFrame, key: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): the first ``int(n * share)`` shuffled rows are test."""
-    n = int(rows.count() * share)
-    r = stored(ranked(rows, F.struct(seeded(key, seed), F.col(key))), "split")
-    return r.filter(F.col("rank") >= n).drop("rank"), r.filter(F.col("rank") < n).drop("rank")
+    test, train = split_lowest(rows, seeded(key, seed), int(rows.count() * share))
+    return train, test
+
+
+def split_head_tail(rows: DataFrame, order: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """(train, test): in the order of the whole number ``order`` the first ``round(n * (1 - share))`` rows are
+    train, the tail is test; rows without a number come last."""
+    known, n = rows.filter(F.col(order).isNotNull()), rows.count()
+    head, tail = split_lowest(known, sortable(order), round(n * (1 - share)))
+    return head, tail.unionByName(rows.filter(F.col(order).isNull()))
 
 
 def cap_eventually(rows: DataFrame, key: str, most: int = 500, seed: int = 42) -> DataFrame:
     """At most ``most`` eventually-following rows, chosen by seeded order; all others stay."""
     ef = F.col("relation_type") == EVENTUALLY
-    kept = ranked(rows.filter(ef), F.struct(seeded(key, seed), F.col(key))).filter(F.col("rank") < most).drop("rank")
-    return rows.filter(~ef).unionByName(kept)
+    return rows.filter(~ef).unionByName(split_lowest(rows.filter(ef), seeded(key, seed), most)[0])
 
 
 def over_long(rows: DataFrame, cap: int = 512) -> DataFrame:

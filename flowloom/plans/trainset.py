@@ -174,6 +174,12 @@ def t16_share(spark, d):
     return train.withColumn("test", F.lit(False)).unionByName(test.withColumn("test", F.lit(True))).groupBy("test").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
+@query("t16_head_tail", "SELECT r > round(n * 0.9) AS test, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents) GROUP BY 1")
+def t16_head_tail(spark, d):
+    train, test = ops.split_head_tail(fx.read(spark, d, "documents").select("doc_id"), "doc_id", 0.1)
+    return train.withColumn("test", F.lit(False)).unionByName(test.withColumn("test", F.lit(True))).groupBy("test").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
 @query("t17_capped_relations", sql(REL, "SELECT relation_type, count(*) AS n, CAST(sum(a1) AS BIGINT) AS a FROM (SELECT *, row_number() OVER (PARTITION BY relation_type ORDER BY md5(concat(doc_id, '-', a1, '-', a2, ':42'))) AS r FROM rel) WHERE relation_type <> 'eventually_following' OR r <= 500 GROUP BY 1"))
 def t17(spark, d):
     rel = relations(spark, d).withColumn("id", F.concat_ws("-", "doc_id", "a1", "a2"))

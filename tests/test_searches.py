@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import paths
 from flowloom.functions.documents import by_document
-from flowloom.operators import flows, graph, tagging
+from flowloom.operators import evaluate, flows, gateways, graph, tagging, trainset
 from flowloom.schemas import ACTIVITY, AND, GATEWAYS, XOR
 from flowloom.sources import lexicons
 
@@ -206,3 +206,69 @@ def test_mined_n_grams(spark):
     s = spark.createDataFrame([(1, ["a", "b", "c"]), (1, ["A", "b"]), (2, ["a", "B"]), (3, ["c"]), (None, ["a", "b"])], "doc_id int, tokens array<string>")
     assert {(r.phrase, r.n, r.n_docs) for r in lexicons.mine_n_grams(s, (2, 3), 2).collect()} == {("a b", 2, 3)}
     assert {(r.phrase, r.n_docs) for r in lexicons.mine_n_grams(s, (1,), 2).collect()} == {("a", 3), ("b", 3), ("c", 2)}
+
+
+def test_depth_first_order_decides_a_tied_vote(spark):
+    """Members of the first branch are 1, 3, 5, then 4; by rounds 4 would come before 5."""
+    assert list(paths.depth_first(1, {1: [3, 4], 3: [5], 5: [1, 9]}, {9})) == [1, 3, 5, 4]
+    edges = [(0, 1), (0, 2), (1, 3), (1, 4), (3, 5)]
+    df = spark.createDataFrame([(7, a, b, i) for i, (a, b) in enumerate(edges)], "doc_id long, a1 int, a2 int, ord long")
+    split = spark.createDataFrame([(7, 0, ([0], [1, 2]), None)], "doc_id long, gateway_idx int, split struct<pointing:array<int>,receiving:array<int>>, merge struct<pointing:array<int>,receiving:array<int>>")
+    members = gateways.full_branches(split, df)
+    assert sorted((r.branch, r.ord, r.a) for r in members.collect()) == [(0, 0, 1), (0, 1, 3), (0, 2, 5), (0, 3, 4), (1, 0, 2)]
+    kinds = {(1, 2): "directly_following", (2, 3): "directly_following", (2, 5): "exclusive", (2, 4): "concurrent"}
+    rel = spark.createDataFrame([(7, a, b, k, i) for i, ((a, b), k) in enumerate(kinds.items())], "doc_id long, a1 int, a2 int, relation_type string, ord long")
+    vote = lambda m: gateways.vote(split, gateways.branch_relations(m, rel)).first()
+    assert (vote(members).type, vote(members).confidence) == ("XOR Gateway", 0.25)
+    by_rounds = members.withColumn("ord", F.expr("CASE a WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 5 THEN 2 ELSE 1 END"))
+    assert vote(by_rounds).type == "AND Gateway"
+
+
+def test_relaxed_matching_by_the_definition(spark):
+    rng = random.Random(19)
+    words = ["a", "B", "c"]
+    some = lambda: [rng.choice(words) for _ in range(rng.randrange(0, 4))]
+    both = [[(d, rng.choice("xy"), i, some(), some()) for d in range(6) for i in range(rng.randrange(9))] for _ in range(2)]
+
+    def fits(p, q):
+        cut = lambda w: {tuple(x.lower() for x in w[i : len(w) - j]) for i in (0, 1) for j in (0, 1) if i + j < len(w)} | {tuple(x.lower() for x in w)}
+        return bool(cut(p) & cut(q))
+
+    want = {}
+    for key in {(r[0], r[1]) for side in both for r in side}:
+        gold, free = ([r for r in side if (r[0], r[1]) == key] for side in both)
+        n, tp = len(free), 0
+        for g in gold:
+            hit = next((i for i, p in enumerate(free) if fits(g[3], p[3]) and fits(g[4], p[4])), None)
+            if hit is not None:
+                free.pop(hit)
+                tp += 1
+        want[key] = (tp, n - tp, len(gold) - tp)
+    frames = [spark.createDataFrame(side, "doc_id int, label string, ord long, source array<string>, target array<string>") for side in both]
+    got = {(r.doc_id, r.label): (r.tp, r.fp, r.fn) for r in evaluate.relaxed_matches(*frames).collect()}
+    assert got == want
+
+
+def test_many_relations_under_one_label(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit("x").alias("label"), F.col("id").alias("ord"), F.array(F.lit("same"), (F.col("id") % 7).cast("string")).alias("source"), F.array(F.lit("t")).alias("target"))
+    assert [tuple(r) for r in evaluate.relaxed_matches(rows, rows.filter("ord >= 50")).collect()] == [(1, "x", n - 50, 0, 50)]
+
+
+def test_the_rows_with_the_least_keys(spark):
+    rng = random.Random(23)
+    rows = spark.createDataFrame([(i, rng.randrange(-50, 50)) for i in range(500)] + [(None, None)], "id long, n long")
+    order = sorted(range(500), key=lambda i: __import__("hashlib").md5(f"{i}:42".encode()).hexdigest())
+    known = rows.filter("id IS NOT NULL")
+    for k in (0, 1, 7, 250, 499, 500, 600):
+        low, rest = trainset.split_lowest(known, trainset.seeded("id", 42), k)
+        assert sorted(r.id for r in low.collect()) == sorted(order[:k])
+        assert low.count() + rest.count() == 500
+        assert "Sort" not in low._jdf.queryExecution().executedPlan().toString()
+    values = sorted(r.n for r in rows.filter("n IS NOT NULL").collect())
+    for k in (3, 200):  # equal keys at the cut
+        low, rest = trainset.split_lowest(rows.filter("n IS NOT NULL"), trainset.sortable("n"), k)
+        assert sorted(r.n for r in low.collect()) == values[:k] and rest.count() == 500 - k
+    head, tail = trainset.split_head_tail(rows, "id", 0.1)
+    assert sorted(r.id for r in head.collect()) == list(range(451)) and tail.count() == 50
+    assert trainset.split_lowest(rows.limit(0), trainset.sortable("n"), 5)[0].count() == 0
