@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-Sentences are normalised (lower case, letters and digits only, names of programs and holders put
-aside) and looked up in a table of known licence sentences; each document becomes the sequence of the identifiers found, in order. Licence
+Sentences are normalised (lower case, letters and digits only; those with the name of a program or
+holder begin after it) and looked up in a table of known licence sentences; each document becomes the sequence of the identifiers found, in order. Licence
 rules are ordered sequences of identifiers; at each place the longest rule wins, and matched
 identifiers are used up. Known sentences that no rule takes are reported as unmatched.
 """
@@ -15,7 +15,7 @@ from .common import table, text_or_empty, with_row
 
 # Known licence sentences by identifier, as they stand in public licence texts.
 SENTENCES = {
-    "mit-ref": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "MIT License", "The MIT License (MIT)"],
+    "mit-ref": ["Released under the MIT License", "Licensed under the terms of the MIT License", "This project is licensed under the terms of the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "MIT License", "The MIT License (MIT)"],
     "mit-grant": [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
     ],
@@ -101,6 +101,12 @@ SENTENCES = {
     "cc-by-sa-ref": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc-ref": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc0-ref": ["CC0 1.0 Universal", "Licensed under CC0 1.0"],
+    "mit-or-apache-ref": [
+        "Dual licensed: MIT or Apache License 2.0",
+        "Dual licensed under MIT or Apache-2.0",
+        "Dual-licensed under the MIT license and the Apache License 2.0",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option",
+    ],
     "all-rights": ["All rights reserved"],
 }
 
@@ -118,6 +124,7 @@ RULES = (
     ("MIT", ("mit-ref", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-ref",)),
+    ("MIT OR Apache-2.0", ("mit-or-apache-ref",)),
     ("Apache-2.0", ("apache-2-ref", "apache-2-may", "apache-2-copy", "apache-2-as-is", "apache-2-see")),
     ("Apache-2.0", ("apache-2-ref",)),
     ("GPL-2.0-or-later", ("gpl-free-2", "gpl-hope", "gpl-see")),
@@ -164,37 +171,44 @@ TAG_RULES = tuple((name, (f"tag-{name}",)) for name in NAMES)
 #: Ends of sentences: a full stop, question or exclamation mark or semicolon before a blank, or a
 #: line break. The point of a version number ends none.
 ENDS = "[.!?;][\\x20\\x09-\\x0D]+|[.!?;]$|[\\x0A-\\x0D]+"
-#: Names that differ from text to text, in normal form, and what stands for them: of the program in
-#: GNU notices, of the holder in BSD clauses. At most so many words are taken as a name.
-NAME_WORDS = 12
-_NAME = f"(?:[a-z0-9.]+ ){{1,{NAME_WORDS}}}"
-PLACEHOLDERS = (
-    (f"^{_NAME}is free software( |$)", "this program is free software$1"),
-    (f"^{_NAME}is distributed in the hope( |$)", "this program is distributed in the hope$1"),
-    (f"^neither the names? of {_NAME}nor the names of (?:its|any) ", "neither the name of the copyright holder nor the names of its "),
-)
+#: Where known sentences begin whose subject differs from text to text: the program in GNU notices,
+#: the holder in BSD clauses. A name of any length, on lines of its own or not, stays before them.
+ANCHORS = (("is", "free", "software"), ("is", "distributed", "in", "the", "hope"), ("nor", "the", "names", "of", "(?:its|any)"))
 
 
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9.]+|\\.(?![0-9])", " "))
 
 
-def canonical(norm: Column) -> Column:
-    """``norm`` with a placeholder for each name."""
-    out = norm
-    for pattern, stand_in in PLACEHOLDERS:
-        out = F.regexp_replace(out, pattern, stand_in)
-    named = F.contains(norm, F.lit("is free software")) | F.contains(norm, F.lit("is distributed in the hope")) | F.startswith(norm, F.lit("neither the name"))
-    return F.when(named, out).otherwise(norm)
+def anchored(text: Column) -> Column:
+    """``text`` in lower case with a line break before each anchor and none within, however it was wrapped."""
+    out = low = F.lower(text)
+    for words in ANCHORS:
+        pattern = "(?<![a-z0-9])" + "[^a-z0-9]+".join(words) + "(?![a-z0-9])"
+        stand_in = "\n" + " ".join(words[:-1] + ("its",) if "(" in words[-1] else words)
+        there = F.contains(low, F.lit(words[-2])) & F.contains(low, F.lit(words[0] if "(" in words[-1] else words[-1]))
+        out = F.when(there, F.regexp_replace(out, pattern, stand_in)).otherwise(out)
+    return out
+
+
+def pieces(text: Column) -> Column:
+    """Normal sentences and lines."""
+    return F.filter(F.transform(F.split(anchored(text), ENDS), normal), lambda x: x != "")
+
+
+def _from_anchor(norm: Column) -> Column:
+    starts = [" ".join(w[:-1] + ("its",) if "(" in w[-1] else w) for w in ANCHORS]
+    first = lambda a: F.when(F.contains(norm, F.lit(a)), F.concat(F.lit(a), F.substring_index(norm, a, -1)))
+    return F.coalesce(*map(first, starts), norm)
 
 
 def known_sentences(spark: SparkSession, extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """``norm, sentence_id``: the fixed table, with the caller's own sentences if any."""
+    """``norm, sentence_id``: the fixed table, with the caller's own sentences if any; sentences with an
+    anchor begin there."""
     rows = [(s, k) for source in (SENTENCES, extra or {}) for k, group in source.items() for s in group]
     rows += [(form.format(name), f"tag-{name}") for name in NAMES for form in TAGS]
     listed = spark.createDataFrame(rows, "sentence string, sentence_id string")
-    pieces = F.filter(F.transform(F.split("sentence", ENDS), normal), lambda x: x != "")
-    norms = listed.select(canonical(F.array_join(pieces, " ")).alias("norm"), F.monotonically_increasing_id().alias("at"), "sentence_id")
+    norms = listed.select(_from_anchor(F.array_join(pieces(F.col("sentence")), " ")).alias("norm"), F.monotonically_increasing_id().alias("at"), "sentence_id")
     return norms.groupBy("norm").agg(F.min_by("sentence_id", "at").alias("sentence_id"))  # the first of equal forms
 
 
@@ -202,19 +216,17 @@ def identifiers(docs: DataFrame, known: DataFrame, row: str = "row") -> DataFram
     """``row, doc_id, found``: for each row the known sentences in order, (place, lines, id).
 
     A sentence is looked up as it stands and joined with the following ones (wrapped lines), the
-    longest known form from a place counting: no known sentence spans more pieces than it has words,
-    a name's words added. Only places whose first two words open a known sentence go on. ``known`` is
+    longest known form from a place counting: no known sentence spans more pieces than it has words.
+    Only places whose first two words open a known sentence go on. ``known`` is
     a table of rules, not of data, and is broadcast.
     """
-    openings = F.broadcast(known.select(F.substring_index("norm", " ", 1).alias("first"), F.substring_index("norm", " ", 2).alias("opening"), (F.size(F.split("norm", " ")) + NAME_WORDS).alias("most")).groupBy("first", "opening").agg(F.max("most").alias("most")))
+    openings = F.broadcast(known.select(F.substring_index("norm", " ", 1).alias("first"), F.substring_index("norm", " ", 2).alias("opening"), F.size(F.split("norm", " ")).alias("most")).groupBy("first", "opening").agg(F.max("most").alias("most")))
     rows = with_row(docs.select("doc_id", text_or_empty("text").alias("text")), row)
-    parts = F.filter(F.transform(F.split("text", ENDS), normal), lambda x: x != "")
-    stream = rows.select(row, "doc_id", parts.alias("parts")).select(row, "doc_id", "parts", F.posexplode_outer("parts").alias("place", "part"))
-    stream = stream.withColumn("part", canonical(F.col("part")))
+    stream = rows.select(row, "doc_id", pieces(F.col("text")).alias("parts")).select(row, "doc_id", "parts", F.posexplode_outer("parts").alias("place", "part"))
     opens = (F.substring_index("part", " ", 1) == F.col("first")) & F.startswith(F.concat_ws(" ", "part", F.get("parts", F.col("place") + 1)), F.col("opening"))
     opened = stream.join(openings, opens, "left").filter("place IS NULL OR place = 0 OR opening IS NOT NULL")
     forms = F.when(F.col("opening").isNull(), F.array(F.struct(F.lit(0).alias("lines"), F.lit(None).cast("string").alias("form")))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.least(F.col("most"), F.size("parts") - F.col("place"))), lambda n: F.struct(n.alias("lines"), canonical(F.array_join(F.slice("parts", F.col("place") + 1, n), " ")).alias("form")))
+        F.transform(F.sequence(F.lit(1), F.least(F.col("most"), F.size("parts") - F.col("place"))), lambda n: F.struct(n.alias("lines"), F.array_join(F.slice("parts", F.col("place") + 1, n), " ").alias("form")))
     )
     met = opened.select(row, "doc_id", "place", F.explode(forms).alias("f")).select(row, "doc_id", "place", "f.lines", "f.form")
     met = met.join(F.broadcast(known), met.form == known.norm, "left").filter("sentence_id IS NOT NULL OR lines <= 1")

@@ -11,30 +11,34 @@ def normal(s):
     return re.sub(r"[^a-z0-9.]+|\.(?![0-9])", " ", s.lower()).strip(" ")
 
 
-def parts(text):
-    return [p for p in map(normal, ENDS.split(text or "")) if p]
+FREE = re.compile(r"(?<![a-z0-9])is[^a-z0-9]+free[^a-z0-9]+software(?![a-z0-9])")
+HOPE = re.compile(r"(?<![a-z0-9])is[^a-z0-9]+distributed[^a-z0-9]+in[^a-z0-9]+the[^a-z0-9]+hope(?![a-z0-9])")
+HOLDER = re.compile(r"(?<![a-z0-9])nor[^a-z0-9]+the[^a-z0-9]+names[^a-z0-9]+of[^a-z0-9]+(?:its|any)(?![a-z0-9])")
 
 
-NAMED = re.compile(r"^(?:[a-z0-9.]+ ){1,12}(is free software|is distributed in the hope)(?= |$)")
-HOLDER = re.compile(r"^neither the names? of (?:[a-z0-9.]+ ){1,12}nor the names of (?:its|any) ")
+def parts(text):
+    low = HOLDER.sub("\nnor the names of its", HOPE.sub("\nis distributed in the hope", FREE.sub("\nis free software", (text or "").lower())))
+    return [p for p in map(normal, ENDS.split(low)) if p]
 
 
-def form(norm):
-    return HOLDER.sub("neither the name of the copyright holder nor the names of its ", NAMED.sub(r"this program \1", norm))
+def rule(sentence):
+    p = parts(sentence)
+    first = max((i for i, x in enumerate(p) if x.startswith(("is free software", "is distributed in the hope", "nor the names of its"))), default=0)
+    return " ".join(p[first:])
 
 
 KNOWN = {}
 for k, group in [*SENTENCES.items(), *((f"tag-{n}", [t.format(n) for t in TAGS]) for n in NAMES)]:
     for s in group:
-        KNOWN.setdefault(form(" ".join(parts(s))), k)
+        KNOWN.setdefault(rule(s), k)
 
 
 def slow(text):
     p, ids, i = parts(text), [], 0
     while i < len(p):
-        best = max((n for n in range(1, 120) if i + n <= len(p) and form(" ".join(p[i : i + n])) in KNOWN), default=0)
+        best = max((n for n in range(1, 120) if i + n <= len(p) and " ".join(p[i : i + n]) in KNOWN), default=0)
         if best:
-            ids.append(KNOWN[form(" ".join(p[i : i + best]))])
+            ids.append(KNOWN[" ".join(p[i : i + best])])
         i += best or 1
     names, rest, i = [], [], 0
     while i < len(ids):
@@ -108,3 +112,32 @@ def test_families(docs):
     rows = list(enumerate(want))
     got = {r.doc_id: r.licenses for r in scan_licenses(docs(rows)).collect()}
     assert got == {i: want[t] for i, t in rows} == {i: slow(t)[1] for i, t in rows}
+
+
+def test_names_of_any_length_and_place(docs):
+    full = lambda *ids: ". ".join(SENTENCES[i][0] for i in ids) + "."
+    free, bsd = full("gpl-free-3", "gpl-hope", "gpl-see"), full("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")
+    long = "The Very Long Name Of A Program That Somebody Wrote Once And Others Kept For Twenty Years Or More"
+    want = {
+        free.replace("This program is", "Foo Bar\nis"): ["GPL-3.0-or-later"],
+        free.replace("This program is free software", f" * {long}\n * is free\n * software"): ["GPL-3.0-or-later"],
+        free.replace("This program", long): ["GPL-3.0-or-later"],
+        bsd.replace("the copyright holder nor", f"{long}\n{long}\nnor"): ["BSD-3-Clause"],
+        "This project is licensed under the terms of the MIT license.": ["MIT"],
+        "dual licensed: MIT or Apache License 2.0": ["MIT OR Apache-2.0"],
+        "What it is. Free software is good": [],
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.licenses for r in scan_licenses(docs(rows)).collect()}
+    assert got == {i: want[t] for i, t in rows} == {i: slow(t)[1] for i, t in rows}
+
+
+def test_every_rule_wrapped_at_every_width_with_a_name_on_its_own_line(docs):
+    rows = []
+    for name, ids in RULES:
+        text = ". ".join(SENTENCES[i][0] for i in ids) + "."
+        text = re.sub("^This (program|library) is|(?<=[.] )This program is", "My Program\nis", text).replace("the copyright holder nor", "Some\nHolder nor")
+        rows += [(name, "\n".join(wrap(line, width) for line in text.split("\n"))) for width in (1, 2, 4, 7, 11, 16)]
+    got = {r.doc_id: r.licenses for r in scan_licenses(docs([(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert got == {i: slow(t)[1] for i, (_, t) in enumerate(rows)}
+    assert all(got[i][0] == name for i, (name, _) in enumerate(rows))
