@@ -91,7 +91,8 @@ def mean_history(history: DataFrame) -> DataFrame:
 
 
 def last_epochs(history: DataFrame) -> DataFrame:
-    return history.groupBy("metric", "seed").agg(F.max_by("value", "epoch").alias("value"))
+    """The last epoch's value for each fold, metric and seed."""
+    return history.groupBy("fold", "metric", "seed").agg(F.max_by("value", "epoch").alias("value"))
 
 
 def stopping_epoch(history: DataFrame, monitor: str, patience: int = 1, min_delta: float = 1e-4) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import shared_dir, stored
 from ..functions.text import joined
+from ..operators import analysis as more
+from ..operators import flows as flow_ops
 from ..operators import scoring as ops
 from ..operators import training, trainset
 from ..operators.neighbors import adjacent
@@ -16,6 +18,7 @@ from ..schemas import ACTIVITY, AND, CONCURRENT, DIRECTLY, EXCLUSIVE, XOR
 from . import fixtures as fx
 from .fixtures import ENT, TAG, sql
 from .gateways import REL, relations
+from .graph import ALL_RELATIONS, g16
 from .tagging import gateways
 
 QUERIES: dict = {}
@@ -83,9 +86,9 @@ def m8(spark, d):
     return ops.mean_history(history(spark, d)).select("metric", "epoch", F.round("value", 6).alias("value"))
 
 
-@query("m8_last_epochs", sql(HIS, "SELECT metric, seed, max(value) AS value FROM his h WHERE fold = 0 AND epoch = (SELECT max(epoch) FROM his x WHERE x.fold = 0 AND x.metric = h.metric AND x.seed = h.seed) GROUP BY 1, 2"))
+@query("m8_last_epochs", sql(HIS, "SELECT fold, metric, seed, arg_max(value, epoch) AS value FROM his GROUP BY 1, 2, 3"))
 def m8_last(spark, d):
-    return ops.last_epochs(history(spark, d).filter("fold = 0"))
+    return ops.last_epochs(history(spark, d))
 
 
 @query("m9_stopping_epochs", sql(HIS, "SELECT fold, seed, coalesce(min(epoch) FILTER (NOT gain), max(epoch)) AS epoch FROM (SELECT *, coalesce(value > max(value) OVER (PARTITION BY fold, seed ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-4, true) AS gain FROM his WHERE metric = 'precision') GROUP BY 1, 2"))
@@ -148,10 +151,9 @@ def m2(spark, d):
     return ops.scores(ops.fit_texts(rows, iterations=5), ops.text_words(rows), ["doc_id", "s", "t"]).filter("class = 1").select("doc_id", "s", "t", F.round("score", 4).alias("score"))
 
 
-def relation_texts(spark, d):
-    """``doc_id, label, text``: each activity with the next one of its document. The text is that of the
-    sentences from one to the other with both activities' words; the label is exclusive or concurrent
-    where the first gateway between them is an XOR or AND gateway, else directly following."""
+def related_activities(spark, d):
+    """Each activity with the next one of its document: exclusive or concurrent where the first gateway
+    between them is an XOR or AND gateway, else directly following."""
     tags = stored(fx.tagged_tokens(spark, d), "tags")
     place = Window.partitionBy("doc_id").orderBy("sentence_idx", "token_idx")
     marks = tags.filter(F.startswith("ner_tag", F.lit("B-"))).select("doc_id", "sentence_idx", "token_idx", "token", F.substring("ner_tag", 3, 50).alias("kind"))
@@ -160,7 +162,13 @@ def relation_texts(spark, d):
     after = lambda c: F.lead(c).over(place)
     pairs = acts.select("doc_id", F.struct("sentence_idx", "token_idx").alias("pair_id"), F.col("sentence_idx").alias("s1"), after("sentence_idx").alias("s2"), F.col("token").alias("w1"), after("token").alias("w2"), "after").filter("s2 IS NOT NULL")
     kind = F.when(F.col("after") == XOR, EXCLUSIVE).when(F.col("after") == AND, CONCURRENT).otherwise(DIRECTLY)
-    pairs = stored(pairs.withColumn("relation_type", kind), "pairs")
+    return stored(pairs.withColumn("relation_type", kind), "pairs")
+
+
+def relation_texts(spark, d):
+    """``doc_id, label, text``: each activity with the next one of its document. The text is that of the
+    sentences from one to the other with both activities' words."""
+    pairs = related_activities(spark, d)
     texts = trainset.contexts(pairs, fx.corpus(spark, d), 0)
     rows = trainset.relation_rows(pairs.join(texts, ["doc_id", "pair_id"]))
     return rows.select("doc_id", "label", F.concat_ws(" ", "w1", "w2", "context").alias("text"))
@@ -246,6 +254,76 @@ def a10_best(spark, d):
     return near_pairs(spark, d).orderBy(F.desc("score"), "doc_id", "pos").limit(20).select("doc_id", "pos", F.round("score", 6).alias("score"))
 
 
+#: Classified pairs: five members' scores, the predicted and the real label, distance and places in the sentence.
+PAIRED = ENT + """,
+paired AS MATERIALIZED (SELECT doc_id, pos, list_transform([0, 1, 2, 3, 4], lambda m: ((pos * 31 + m * 17) % 97) / 97.0::DOUBLE) AS predictions, ns - s AS distance, t = 0 AS start1, nt = 0 AS start2, phrase || ' ' || np AS pair,
+  CASE WHEN s = ns AND phrase IN ('or','when','that','it is') AND np IN ('or','when','that','it is') THEN 1 ELSE 0 END AS real_label
+  FROM (SELECT *, lead(pos) OVER w AS npos, lead(s) OVER w AS ns, lead(t) OVER w AS nt, lead(phrase) OVER w AS np FROM gw WHERE kind = 'XOR Gateway' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE ns - s <= 3),
+judged AS MATERIALIZED (SELECT *, list_sum(predictions) / 5 AS score, list_var_pop(predictions) AS var, CASE WHEN list_sum(predictions) / 5 > 0.5 THEN 1 ELSE 0 END AS label FROM paired),
+matched AS MATERIALIZED (SELECT *, label = real_label AS match FROM judged)"""
+
+
+def judged(spark, d):
+    near = adjacent(gateways(spark, d).filter(F.col("kind") == XOR), 3)
+    pos = F.col("s") * F.lit(1_000_000).cast("long") + F.col("t")
+    gold = lambda c: joined(c).isin(fx.GOLD_XOR)
+    rows = near.select("doc_id", pos.alias("pos"), "distance", (F.col("t") == 0).alias("start1"), (F.col("n_t") == 0).alias("start2"), F.concat_ws(" ", joined("low"), joined("n_low")).alias("pair"), (gold("low") & gold("n_low") & (F.col("distance") == 0)).cast("int").alias("real_label"))
+    rows = rows.withColumn("predictions", F.array(*(((F.col("pos") * 31 + 17 * m) % 97) / 97.0 for m in range(5))))
+    score = F.aggregate("predictions", F.lit(0.0), lambda a, x: a + x) / 5
+    return rows.withColumn("score", score).withColumn("label", (F.col("score") > 0.5).cast("int"))
+
+
+def rounded(rows):
+    return rows.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in rows.dtypes))
+
+
+CUBE = "SELECT {0} AS grouping, label, real_label, match, start1, start2, pair, count(*) AS n, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std, round(avg(distance), 6) AS distance_mean, round(stddev_pop(distance), 6) AS distance_std, min(distance) AS distance_min, max(distance) AS distance_max, round(avg(var), 6) AS var_mean, round(max(var), 6) AS var_max, round(avg(sqrt(var)), 6) AS std_mean FROM matched GROUP BY GROUPING SETS ({1})"
+_BIT = {c: 1 << (len(more.BY) - 1 - i) for i, c in enumerate(more.BY)}
+_NAME = "CASE grouping(label, real_label, match, start1, start2, pair) " + " ".join(f"WHEN {sum(_BIT.values()) - sum(_BIT[c] for c in g)} THEN '{'+'.join(g) or 'all'}'" for g in more.GROUPINGS) + " END"
+
+
+@query("a10_cube", sql(PAIRED, CUBE.format(_NAME, ", ".join("(" + ", ".join(g) + ")" for g in more.GROUPINGS))))
+def a10_cube(spark, d):
+    return rounded(more.classification_cube(judged(spark, d)))
+
+
+@query("a10_extremes", sql(PAIRED, "SELECT list, label, CAST(place AS INTEGER) AS place, doc_id, pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY list, label ORDER BY round(CASE label WHEN 1 THEN score ELSE -score END, 9) DESC, doc_id, pos) AS place FROM (SELECT 'best' AS list, * FROM matched UNION ALL SELECT 'worst', * FROM matched WHERE NOT match)) WHERE place <= 20"))
+def a10_extremes(spark, d):
+    rows = judged(spark, d).withColumn("score", F.round("score", 9))
+    return rounded(more.extreme_predictions(rows, ["doc_id", "pos"]))
+
+
+@query("a10_trained_cube")
+def a10_trained(spark, d):
+    """The same over held-out scores of trained members."""
+    pairs = judged(spark, d).select("doc_id", "pos", "distance", "start1", "start2", "pair", F.col("real_label").alias("label"))
+    words = F.concat(F.split("pair", " "), F.array("pair", F.concat(F.lit("distance "), F.col("distance").cast("string"))))
+    rows = training.hashed(pairs.withColumn("words", words)).select("*", training.fold_of(F.col("doc_id"), 5).alias("fold"), F.lit(1.0).alias("weight"), F.xxhash64("doc_id", "pos").alias("key"))
+    rows = stored(rows.drop("words"), "pair-rows")
+    t = training.cross_validate(rows, 2, [1], seeds=(0, 1, 2), epochs=8)
+    keys = ["doc_id", "pos", "distance", "start1", "start2", "pair"]
+    members = training.held_out(t, rows, keys).groupBy(*keys, F.col("label").alias("real_label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", F.col("scores")[1].alias("p")))), lambda m: m["p"]).alias("predictions"))
+    score = F.aggregate("predictions", F.lit(0.0), lambda a, x: a + x) / F.size("predictions")
+    return rounded(more.classification_cube(members.withColumn("label", (score > 0.5).cast("int"))))
+
+
+@query("a11_comment_counts", sql(ENT, "SELECT CASE WHEN ns - s > 3 THEN 'distance' WHEN phrase = 'or' OR np = 'or' THEN 'or' ELSE 'score' END AS comment, count(*) AS n FROM (SELECT *, lead(s) OVER w AS ns, lead(phrase) OVER w AS np FROM gw WHERE kind = 'XOR Gateway' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE ns IS NOT NULL GROUP BY 1"))
+def a11_comments(spark, d):
+    xor = stored(gateways(spark, d).filter(F.col("kind") == XOR), "gateways")
+    decided = flow_ops.decide_pairs(xor, xor.select("doc_id", "s", "t", F.lit(0.0).alias("score")))
+    return decided.groupBy("comment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a1_comment_counts", sql(ALL_RELATIONS, "SELECT relation_type, comment, count(*) AS n FROM final GROUP BY 1, 2", True))
+def a1_comments(spark, d):
+    return g16(spark, d).groupBy("relation_type", "comment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a1_same_sentence", sql(ENT, "SELECT s = ns AS same_sentence, CASE after WHEN 'XOR Gateway' THEN 'exclusive' WHEN 'AND Gateway' THEN 'concurrent' ELSE 'directly_following' END AS relation_type, count(*) AS n FROM (SELECT *, lead(s) OVER w AS ns FROM (SELECT *, lead(kind) OVER w AS after FROM ent WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE kind = 'Activity' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE ns IS NOT NULL GROUP BY 1, 2"))
+def a1_sentences(spark, d):
+    return related_activities(spark, d).groupBy((F.col("s1") == F.col("s2")).alias("same_sentence"), "relation_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a11_label_distributions", "SELECT label, coalesce(old, 0) AS old, coalesce(new, 0) AS new FROM (SELECT quality AS label, count(*) AS old FROM labels GROUP BY 1) FULL JOIN (SELECT toxic AS label, count(*) AS new FROM labels GROUP BY 1) USING (label)")
 def a11(spark, d):
     rows = fx.read(spark, d, "labels")
@@ -275,6 +353,24 @@ def a17(spark, d):
     return runs.withColumn("place", place).filter("place <= 4").select("fold", "seed", "metric", F.col("m").alias("mean"))
 
 
+MEANS = HIS + ",\nmeans AS MATERIALIZED (SELECT fold, seed, metric, avg(value) AS m FROM his GROUP BY 1, 2, 3)"
+
+
+@query("a17_by_sum", sql(MEANS, "SELECT fold, seed, round(sum(m), 6) AS total, CAST(row_number() OVER (ORDER BY round(sum(m), 6) DESC, fold, seed) AS INTEGER) AS place FROM means WHERE seed >= 2 GROUP BY 1, 2 QUALIFY place <= 4"))
+def a17_sum(spark, d):
+    """Runs with the greatest precision plus recall, of the seeds from 2 on; the runs lie in folders by
+    their parameters, so others are not read."""
+    path = f"{shared_dir(spark)}/flowloom/runs-{uuid.uuid4().hex}"
+    history(spark, d).write.partitionBy("fold", "seed").parquet(path)
+    runs = spark.read.schema("epoch long, metric string, value double, fold long, seed long").parquet(path)
+    return more.ranked_runs(runs, ["fold", "seed"], ("precision", "recall"), where=F.col("seed") >= 2)
+
+
+@query("a17_fold_variability", sql(HIS, "SELECT fold, metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(max(value) - min(value), 6) AS range FROM his GROUP BY 1, 2"))
+def a17_folds(spark, d):
+    return rounded(more.variability(history(spark, d), ["fold", "metric"]))
+
+
 @query("a20_fold_balance", "SELECT fold, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM (SELECT quality, ntile(5) OVER (ORDER BY md5(concat(doc_id, ':42')), doc_id) - 1 AS fold FROM labels) GROUP BY ROLLUP (fold)")
 def a20(spark, d):
     rows = trainset.folds(fx.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", 5)

@@ -126,3 +126,27 @@ def test_full_training_stores_the_model(spark, tmp_path):
     direct = scoring.fit_tokens(rows, iterations=10)
     p = lambda m: [tuple(r.probability) for r in m.transform(scoring.token_features(rows)).orderBy("doc_id", "token_idx").collect()]
     assert np.allclose(p(again), p(direct))
+
+
+def test_runs_are_pruned_by_their_parameters(spark, tmp_path):
+    from flowloom.operators import analysis
+
+    rows = [(f, s, e, m, float(f + s + e)) for f in range(3) for s in range(4) for e in range(2) for m in ("precision", "recall", "loss")]
+    spark.createDataFrame(rows, "fold int, seed int, epoch int, metric string, value double").write.partitionBy("fold", "seed").parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    top = analysis.ranked_runs(runs, ["fold", "seed"], ("precision", "recall"), most=2, where=F.col("seed") < 2)
+    assert [(r.fold, r.seed, r.total, r.place) for r in top.orderBy("place").collect()] == [(2, 1, 7.0, 1), (1, 1, 5.0, 2)]
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(seed" in plan and "PushedFilters" in plan
+
+
+def test_cube_of_no_rows_and_nulls(spark):
+    from flowloom.operators import analysis
+
+    rows = [(1, 1, [0.9, 0.7], 0, True, False, "or or"), (1, 0, [0.6, 0.6], 2, True, True, "if or"), (0, None, None, 1, False, False, None), (0, 0, [], 1, None, False, "x")]
+    df = spark.createDataFrame(rows, "label int, real_label int, predictions array<double>, distance int, start1 boolean, start2 boolean, pair string")
+    got = {(r.grouping, r.label, r.real_label): r for r in analysis.classification_cube(df).filter("grouping IN ('label', 'all', 'label+real_label')").collect()}
+    assert got["all", None, None].n == 4 and got["label", 1, None].n == 2 and got["label", 0, None].var_max is None
+    assert abs(got["label+real_label", 1, 1].score_mean - 0.8) < 1e-12 and abs(got["label", 1, None].var_max - 0.01) < 1e-12
+    assert (got["label", 1, None].distance_min, got["label", 1, None].distance_max) == (0, 2)
+    assert analysis.classification_cube(df.limit(0)).filter("grouping <> 'all'").count() == 0
