@@ -2,13 +2,23 @@
 
 Fixed patterns find assignments, access keys and long hex strings. Beside them a battery of
 randomness tests judges every long token: which encoding it is written in, then three tests for
-that encoding's alphabet. Each test's null hypothesis is that the token is written, not drawn at
-random: character frequencies at least ``UNEVEN`` a character off uniform (chi-squared; names and
-paths of programs are about 2.6 off), runs above and below the alphabet's middle at least
-``RUNS_OFF`` of the length off their expectation (alternation is half of it off), serial correlation
-of at least ``SERIAL`` (ordered characters come near 1). A token counts as random only if all three are refuted, so its p-value is
-the largest of the three, and the false discovery rate is held by Benjamini and Hochberg within
-each encoding and length class: short tokens, which can't prove much, don't borrow from long ones.
+that encoding's alphabet.
+
+First each test asks whether the token could have been drawn uniformly from its alphabet; one that
+fails any of them at ``LEVEL`` is not random, whatever the others say:
+
+- chi-squared uniformity of its characters, and of the top bits of the bytes that it packs if it
+  is base64 (of text in ASCII they are all zero);
+- the number of runs of characters of one class (lower case, upper case, digits, signs), against
+  its mean and variance for draws: names, paths and dates keep to a class for too long;
+- the largest serial correlation of lags 1 to ``LAGS``, against its spread for draws: counters,
+  repeated and ordered characters, packed text.
+
+Short tokens pass such tests easily, so what is left must also be improbable for a written token:
+frequencies ``UNEVEN`` a character off uniform, ``STICK`` as many changes of class as draws have,
+serial correlation of ``SERIAL``. Fisher's method combines these three p-values, and Benjamini and
+Hochberg hold the false discovery rate within each encoding and length class: short tokens, which
+can't prove much, don't borrow from long ones. Tokens that failed stay in the count, with p = 1.
 """
 
 from __future__ import annotations
@@ -37,7 +47,12 @@ ENCODINGS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-UNEVEN, RUNS_OFF, SERIAL = 2.25, 0.45, 0.95
+LEVEL = 0.01
+LAGS = 4
+UNEVEN, STICK, SERIAL = 2.25, 0.55, 0.5
+#: Characters by class, and the values of base64 in its two spellings.
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/-_")
+PACKED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 FALSE_DISCOVERIES = 0.05
 #: p-values are counted in steps of this factor's logarithm, up to exp(-BINS / STEPS).
 STEPS, BINS = 50, 3500
@@ -90,43 +105,84 @@ def _at_most(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
+def class_changes(letters: str) -> tuple[float, float]:
+    """For uniform draws from ``letters``: the chance that neighbours differ in class, and that a
+    character differs from both of its neighbours."""
+    shares = [sum(c in letters for c in group) / len(letters) for group in CLASSES]
+    return 1 - sum(q * q for q in shares), sum(q * (1 - q) ** 2 for q in shares)
+
+
+def _drawn_chi(chi: Column, df: Column) -> Column:
+    """The chance of a larger chi-squared value (Wilson and Hilferty)."""
+    return _at_most(-(F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - 1 + 2 / (9 * df)) / F.sqrt(2 / (9 * df)))
+
+
+def _clear_bits(values: str, phase: int, top: Column) -> Column:
+    """How many deviations more of the bits ``top`` of base64 values are clear than drawn ones'."""
+    place = lambda i: F.pmod(i + phase, F.lit(4))
+    used = F.size(F.filter(values, lambda v, i: place(i) < 3)).cast("double")
+    zeros = F.size(F.filter(values, lambda v, i: (place(i) < 3) & (v.bitwiseAND(F.get(top, place(i))) == 0))).cast("double")
+    return (2 * zeros - used) / F.sqrt(used)
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds ``encoding`` and ``p``, the largest p-value of the three tests, to ``token`` rows. Tokens
-    of one class of characters only are dropped, and so are those of no encoding."""
+    """Adds to ``token`` rows their ``encoding``, the chances ``u_even, u_runs, u_serial`` of a drawn
+    token being so far off, and ``p``, the combined chance of a written token being so near to
+    random: 1 for those that one of the tests refuses. Tokens of one class of characters only are
+    dropped, and so are those of no encoding."""
     token = F.col("token")
     encoding, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
+    changes, twice = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, letters in reversed(ENCODINGS):
         fits = F.length(F.translate(token, letters, "")) == 0
-        encoding = F.when(fits, name).otherwise(encoding)
-        alphabet = F.when(fits, letters).otherwise(alphabet)
+        s, both = class_changes(letters)
+        encoding, alphabet = F.when(fits, name).otherwise(encoding), F.when(fits, letters).otherwise(alphabet)
+        changes, twice = F.when(fits, s).otherwise(changes), F.when(fits, both).otherwise(twice)
     mixed = F.rlike(token, F.lit("[0-9]")) & F.rlike(token, F.lit("[A-Za-z]")) | F.rlike(token, F.lit("[a-z]")) & F.rlike(token, F.lit("[A-Z]"))
-    t = tokens.filter(mixed).withColumn("encoding", encoding).withColumn("alphabet", alphabet).filter("encoding IS NOT NULL")
-    t = t.withColumn("x", F.transform(F.split("token", ""), lambda c: F.instr(F.col("alphabet"), c) - 1))
+    t = tokens.filter(mixed).select("*", encoding.alias("encoding"), alphabet.alias("alphabet"), changes.alias("changes"), twice.alias("twice"))
+    t = t.filter("encoding IS NOT NULL")
+    codes = lambda text, letters: F.transform(F.split(text, ""), lambda c: F.instr(letters, c) - 1)
+    t = t.withColumn("x", codes(token, F.col("alphabet"))).withColumn("y", codes(F.translate("token", "-_", "+/"), F.lit(PACKED)))
     t = t.withColumn("n", F.size("x").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
+    n = F.col("n")
 
     zero = F.lit(0.0)
     total = lambda a, f: F.aggregate(a, zero, lambda s, v: s + f(v))
     squares = total(F.array_distinct("x"), lambda v: F.pow(F.size(F.filter("x", lambda y: y == v)).cast("double"), F.lit(2.0)))
-    t = t.withColumn("chi", F.col("k") / F.col("n") * squares - F.col("n"))
-    lam, df = F.col("n") * UNEVEN, F.col("k") - 1
-    t = t.withColumn("p_even", _at_most((F.col("chi") - df - lam) / F.sqrt(2 * df + 4 * lam)))
-
-    pairs = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    t = t.withColumn("pairs", pairs)
-    high = lambda v: v * 2 >= F.col("k")
-    above = F.size(F.filter("x", high)).cast("double")
-    runs = F.size(F.filter("pairs", lambda p: high(p["a"]) != high(p["b"]))) + 1.0
-    expected = 2 * above * (F.col("n") - above) / F.col("n") + 1
-    spread = F.greatest(F.sqrt((expected - 1) * (expected - 2) / (F.col("n") - 1)), F.lit(0.5))
-    t = t.withColumn("p_runs", _at_most((F.abs(runs - expected) - RUNS_OFF * F.col("n")) / spread))
-
-    mean = total("x", lambda v: v) / F.col("n")
-    t = t.withColumn("mean", mean)
-    var = total("x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))
-    cov = total("pairs", lambda p: (p["a"] - F.col("mean")) * (p["b"] - F.col("mean")))
-    r = F.when(var > 0, cov / var).otherwise(1.0)
-    t = t.withColumn("p_serial", _at_most((F.abs(r) - SERIAL) * F.sqrt("n")))
-    return t.withColumn("p", F.greatest("p_even", "p_runs", "p_serial")).drop("alphabet", "x", "n", "k", "chi", "pairs", "mean", "p_even", "p_runs", "p_serial")
+    t = t.withColumn("chi", F.col("k") / n * squares - n)
+    lam, df = n * UNEVEN, F.col("k") - 1
+    w_even = _at_most((F.col("chi") - df - lam) / F.sqrt(2 * df + 4 * lam))
+
+    top = F.array(F.lit(32), F.lit(8), F.lit(2), F.lit(0))  # which bit of a group's values is a byte's top bit
+    clear = F.greatest(*(_clear_bits("y", phase, top) for phase in range(4)))  # the token may begin anywhere in a group
+    u_packed = 1 - F.pow(_at_most(clear), F.lit(4.0))
+    u_even = F.least(F.lit(1.0), 2 * F.least(_drawn_chi(F.col("chi"), df), u_packed))
+
+    kinds = F.translate("token", "".join(CLASSES), "".join(group[0] * len(group) for group in CLASSES))
+    t = t.withColumn("turns", (F.length(F.regexp_replace(kinds, "(.)\\1+", "$1")) - 1).cast("double"))
+    s, steps, stick = F.col("changes"), n - 1, F.col("changes") * STICK
+    spread = F.sqrt(steps * s * (1 - s) + 2 * (steps - 1) * (F.col("twice") - s * s))
+    u_runs = 2 * _at_most(-F.abs(F.col("turns") - steps * s) / spread)
+    w_runs = _at_most(-(F.col("turns") - steps * stick) / F.sqrt(steps * stick * (1 - stick)))
+
+    t = t.withColumn("mean", total("x", lambda v: v) / n)
+    off = lambda v: v - F.col("mean")
+    t = t.withColumn("var", total("x", lambda v: off(v) * off(v)))
+    r, z = [], []
+    for lag in range(1, LAGS + 1):
+        pairs = F.zip_with(F.slice("x", F.lit(1), F.size("x") - lag), F.slice("x", F.lit(lag + 1), F.size("x") - lag), lambda a, b: off(a) * off(b))
+        t = t.withColumn(f"r{lag}", F.when(F.col("var") > 0, total(pairs, lambda v: v) / F.col("var")).otherwise(1.0))
+        r.append(F.abs(f"r{lag}"))
+        z.append(F.abs(F.col(f"r{lag}") + (n - lag) / n / steps) * n / F.sqrt(n - lag))
+    u_serial = 1 - F.pow(1 - 2 * _at_most(-F.greatest(*z)), F.lit(float(LAGS)))
+    w_serial = _at_most((F.greatest(*r) - SERIAL) * F.sqrt(n))
+
+    t = t.select("*", u_even.alias("u_even"), u_runs.alias("u_runs"), u_serial.alias("u_serial"))
+    h = -(F.log(F.greatest(w_even, F.lit(1e-300))) + F.log(F.greatest(w_runs, F.lit(1e-300))) + F.log(F.greatest(w_serial, F.lit(1e-300))))
+    t = t.withColumn("h", h)
+    fisher = F.exp(-F.col("h")) * (1 + F.col("h") + F.col("h") * F.col("h") / 2)
+    refused = F.least("u_even", "u_runs", "u_serial") < LEVEL
+    return t.select(*tokens.columns, "encoding", "u_even", "u_runs", "u_serial", F.when(refused, 1.0).otherwise(F.greatest(fisher, F.lit(1e-300))).alias("p"))
 
 
 def discoveries(tested: DataFrame) -> DataFrame:
