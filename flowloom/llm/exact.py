@@ -80,15 +80,24 @@ def decode_filter(block: bytes, prefix: int, prefix_bits: int) -> tuple[np.ndarr
     return value[first], counts
 
 
-def merge_filters(blocks: list[bytes], prefix: int, prefix_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge filters of one quotient range by their sorted remainders; counts add up."""
-    parts = [decode_filter(b, prefix, prefix_bits) for b in blocks]
-    values = np.concatenate([v for v, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
-    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    return values[first], np.add.reduceat(counts, first)
+def merge_two(one: bytes, other: bytes, prefix: int, prefix_bits: int) -> bytes:
+    """The filter of two filters of one quotient range. Both hold their runs in order of quotient and
+    remainder, so the second's remainders are put between the first's, or their counts added."""
+    values, counts = decode_filter(one, prefix, prefix_bits)
+    more, by = decode_filter(other, prefix, prefix_bits)
+    at = np.searchsorted(values, more)
+    known = values[np.minimum(at, len(values) - 1)] == more
+    counts[at[known]] += by[known]
+    new = ~known
+    return encode_filter(np.insert(values, at[new], more[new]), np.insert(counts, at[new], by[new]), prefix_bits)
+
+
+def merge_filters(blocks: list[bytes], prefix: int, prefix_bits: int) -> bytes:
+    """The filter of all filters of one quotient range, merged two by two; counts add up."""
+    while len(blocks) > 1:
+        pairs = [merge_two(a, b, prefix, prefix_bits) for a, b in zip(blocks[::2], blocks[1::2])]
+        blocks = pairs + blocks[len(blocks) - len(blocks) % 2 :]
+    return blocks[0]
 
 
 def partition_filters(fingerprints: DataFrame, prefix_bits: int) -> DataFrame:
@@ -113,7 +122,8 @@ def recurring(fingerprints: DataFrame, rows: int) -> DataFrame:
     prefix_bits = max(4, int(rows // ROWS_PER_RANGE).bit_length())
 
     def merge(key, blocks):
-        values, counts = merge_filters(blocks.column("filter").to_pylist(), key[0].as_py(), prefix_bits)
+        prefix = key[0].as_py()
+        values, counts = decode_filter(merge_filters(blocks.column("filter").to_pylist(), prefix, prefix_bits), prefix, prefix_bits)
         many = counts > 1
         return pa.table({"fp": pa.array(values[many].view(np.int64)), "n": pa.array(counts[many])})
 

@@ -24,7 +24,10 @@ def test_filters_lose_nothing(wide, narrow):
         assert (got[0] == values).all() and (got[1] == counts).all()
         for v, c in zip(values.tolist(), counts.tolist()):
             want[v] += c
-    values, counts = merge_filters(blocks, 5, 4)
+    merged = merge_filters(blocks, 5, 4)
+    values, counts = decode_filter(merged, 5, 4)
+    assert merged == encode_filter(values, counts, 4) == merge_filters(blocks[::-1], 5, 4)
+    assert (np.diff(values) > 0).all()
     assert dict(zip(values.tolist(), counts.tolist())) == want
 
 
