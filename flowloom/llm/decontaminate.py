@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's normalised word windows form a broadcast hash set of n-grams, bucketed by their
-longest word. Document words stream past it inside one generated stage: a word that is in the set
-proposes the windows around it, and the document's own word window is compared with each, word by
-word. Nothing but documents' hits and one row per document is ever shuffled. A benchmark larger
+The benchmark's normalised word windows form a broadcast hash set of n-grams, each filed under the
+hash of those two neighbouring words of it that are rarest in the benchmark. Document words stream
+past it inside one generated stage: a pair that is in the set proposes the windows around it, and the
+document's own word window is compared with each, word by word. Nothing but documents' hits and one row per document is ever shuffled. A benchmark larger
 than one broadcast is taken in blocks, each a pass over the documents.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if, fresh, scanned, stored, table, text_or_empty, with_row
+from .common import ascii_lower, broadcast_if, discard, fresh, scanned, stored, table, text_or_empty, with_row
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -33,18 +33,29 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, D
     """Of a table ``item_id, text`` its distinct windows, ``window, gram, offset, anchor``, and their
     items, ``window, item_id``, which no broadcast holds.
 
-    An item shorter than ``size`` words is one window; one without words has none. ``anchor`` is
-    the longest word (the first of them) and ``offset`` its place in the window.
+    An item shorter than ``size`` words is one window; one without words has none. ``anchor`` is the
+    hash of the two neighbouring words that fewest windows hold (of equals the first), or of the only
+    word, and ``offset`` their place in the window.
     """
     w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("w"))
     last = F.greatest(F.size("w") - size, F.lit(0))
     grams = w.filter(F.size("w") > 0).select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, size))).alias("gram"))
-    lengths = F.transform("gram", lambda x: F.length(x))
-    offset = (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int")
     pairs = stored(grams.distinct(), "benchmark-grams")
-    windows = pairs.select("gram").distinct().select(F.monotonically_increasing_id().alias("window"), "gram", offset.alias("offset"), F.element_at("gram", offset + 1).alias("anchor"))
-    windows = stored(windows, "benchmark-windows")
-    return windows, stored(pairs.filter("item_id IS NOT NULL").join(windows, "gram").select("window", "item_id"), "benchmark-items")
+    windows = stored(pairs.select("gram").distinct().select(F.monotonically_increasing_id().alias("window"), "gram"), "benchmark-windows")
+    steps = F.sequence(F.lit(0), F.size("gram") - 2)
+    places = windows.filter(F.size("gram") > 1).select("window", F.posexplode(F.transform(steps, lambda i: F.xxhash64(F.get("gram", i), F.get("gram", i + 1)))).alias("offset", "anchor"))
+    counts = places.groupBy("anchor").agg(F.countDistinct("window").alias("windows"))
+    rarest = places.join(counts, "anchor").groupBy("window").agg(F.min(F.struct("windows", "offset", "anchor")).alias("rarest"))
+    anchored = windows.join(rarest, "window", "left").select(
+        "window",
+        "gram",
+        F.coalesce("rarest.offset", F.lit(0)).alias("offset"),
+        F.coalesce("rarest.anchor", F.xxhash64(F.get("gram", F.lit(0)))).alias("anchor"),
+    )
+    members = stored(pairs.filter("item_id IS NOT NULL").join(windows, "gram").select("window", "item_id"), "benchmark-items")
+    anchored = stored(anchored, "benchmark-anchors")
+    discard(pairs, windows)
+    return anchored, members
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, row: str = "row", block: int = BLOCK_BYTES) -> DataFrame:
@@ -56,17 +67,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, row: str = "
     item. Repeated items count once, repeated rows each get their own hits.
     """
     grams, members = item_windows(benchmark, size)
-    bytes_ = grams.agg(F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + WINDOW_BYTES), F.lit(0))).first()[0]
+    weight = F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + WINDOW_BYTES), F.lit(0))
+    bytes_, single = grams.agg(weight, F.count_if(F.size("gram") == 1)).first()
     blocks = max(1, -(-bytes_ // block))
     text = with_row(docs.select("doc_id", "text"), row).select(row, "doc_id", words("text").alias("w"))
     stream = text.select(row, "doc_id", "w", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
+    keyed = stream.withColumn("key", F.xxhash64("word", F.get("w", F.col("pos") + 1)))
     start, n = F.col("pos") - F.col("offset"), F.size("gram")
-    same = (F.col("word") == F.col("anchor")) & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, n) == F.col("gram"))
+    same = (F.col("key") == F.col("anchor")) & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, n) == F.col("gram"))
     found = None
     for b in range(blocks):
         part = grams if blocks == 1 else grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
         hit = F.when(F.col("anchor").isNotNull(), F.struct(start.alias("start"), n.alias("length"), F.col("window")))
-        met = stream.join(F.broadcast(part), same, "left").filter(F.col("pos").isNull() | (F.col("pos") == 0) | F.col("anchor").isNotNull()).select(row, "doc_id", "n_words", hit.alias("hit"))
+        met = keyed.join(F.broadcast(part.filter(F.size("gram") > 1)), same, "left").filter(F.col("pos").isNull() | (F.col("pos") == 0) | F.col("anchor").isNotNull()).select(row, "doc_id", "n_words", hit.alias("hit"))
+        if single:  # windows of one word have no pair
+            lone = stream.withColumn("key", F.xxhash64("word")).join(F.broadcast(part.filter(F.size("gram") == 1)), same)
+            met = met.unionAll(lone.select(row, "doc_id", "n_words", hit.alias("hit")))
         found = met if found is None else found.unionAll(met)
     found = stored(found.groupBy(row, "doc_id", "n_words").agg(F.collect_list("hit").alias("hits")), "benchmark-hits")
     seen = found.filter(F.size("hits") > 0).select(row, F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window"))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from flowloom.llm.decontaminate import decontaminate, judged, scan
+from flowloom.llm.decontaminate import decontaminate, item_windows, judged, scan
 
 
 def words(text):
@@ -68,3 +68,16 @@ def test_empty(spark, docs):
     got = judged(scan(docs([(1, "a b")]), none)).collect()
     assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(2, 0, False)]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_windows_are_filed_under_their_rarest_pair(spark):
+    """A benchmark of one field: every window holds the same long word and the same opening."""
+    rng = random.Random(9)
+    body = lambda i: "phosphorylation of the " + " ".join(f"w{rng.randrange(40)}" for _ in range(9)) + f" k{i}"
+    items = [(i, body(i)) for i in range(300)] + [(1000, "x"), (1001, "of the")]
+    windows, members = item_windows(spark.createDataFrame(items, "item_id long, text string"))
+    assert windows.count() == members.count() == 302
+    crowd = [r["count"] for r in windows.groupBy("anchor").count().collect()]
+    assert max(crowd) <= 3
+    for r in windows.collect():
+        assert 0 <= r.offset <= max(0, len(r.gram) - 2)

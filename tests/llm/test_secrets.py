@@ -195,7 +195,6 @@ def test_each_test_alone_refuses_and_recall_by_length(spark):
         sampled_failed += sum(r.p == 1 for r in more)
     assert min(alone[k] for k in ("u_even", "u_runs", "u_serial")) >= 30, alone
     assert sampled_failed >= 0.2 * 1600, sampled_failed
-    print(alone, sampled_failed)
 
 
 def test_ordered_and_repeated_tokens_are_not_random():
