@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Small tables (synonyms, labels, lexicon words) are broadcast up to so many counted rows.
+SMALL_ROWS = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local folder only where that is unset and Spark is one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import SMALL_ROWS, broadcast_if
+
 
 def token_features(tokens: DataFrame, width: int = 2) -> DataFrame:
     """``words``: each token with its neighbours in the sentence, marked by their offset."""
@@ -114,7 +116,7 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFram
 
 def label_names(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Predicted label numbers back to names through a small label table."""
-    return rows.join(F.broadcast(labels), "label", "left")
+    return rows.join(broadcast_if(labels, SMALL_ROWS), "label", "left")
 
 
 def gold_flags(pairs: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import SMALL_ROWS, broadcast_if, stored
 from ..schemas import ACTIVITY, EVENTUALLY, GATEWAYS, RELATION_LABELS, TOKEN_CLASSES
 
 
@@ -151,9 +151,10 @@ def mask_activities(tokens: DataFrame, mode: str, by: tuple = ("doc_id", "senten
 
 def synonym_samples(samples: DataFrame, synonyms: DataFrame, first_id: int = 500) -> DataFrame:
     """New samples: each gateway sample once for every synonym of a keyword that its gateway tokens
-    have, with those tokens replaced; ids count from ``first_id``, XOR before AND."""
+    have, with those tokens replaced; ids count from ``first_id``, XOR before
+    AND. Synonyms are broadcast up to ``SMALL_ROWS``."""
     s = samples.select("sample_id", "tokens", "ner_tags", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("tokens", "ner_tags"), lambda z: F.endswith(z["ner_tags"], F.lit("Gateway"))), lambda z: F.struct(F.lower(z["tokens"]).alias("keyword"), F.substring(z["ner_tags"], 3, 50).alias("gateway_type"))))).alias("k"))
-    met = s.select("sample_id", "tokens", "ner_tags", "k.*").join(F.broadcast(synonyms), ["gateway_type", "keyword"])
+    met = s.select("sample_id", "tokens", "ner_tags", "k.*").join(broadcast_if(synonyms, SMALL_ROWS), ["gateway_type", "keyword"])
     new = F.zip_with("tokens", "ner_tags", lambda t, g: F.when(F.endswith(g, F.col("gateway_type")) & (F.lower(t) == F.col("keyword")), F.col("synonym")).otherwise(t))
     rows = met.select(F.col("sample_id").alias("original_id"), new.alias("tokens"), "ner_tags", "gateway_type", "keyword", "synonym")
     order = F.struct((F.col("gateway_type") == GATEWAYS[1]).alias("and"), "original_id", "keyword", "synonym")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import SMALL_ROWS, broadcast_if, stored
 from ..functions.text import FULL_STOPS, joined
 from ..operators import neighbors, tagging
 from ..schemas import ACTIVITY, AND, XOR
@@ -51,7 +51,7 @@ def entities(spark, d):
 @query("s3_lexicon_token_hits", sql(TOK, "SELECT k AS gateway_type, low AS token, count(*) AS n FROM tok JOIN (VALUES ('XOR Gateway','or'),('XOR Gateway','only'),('XOR Gateway','when'),('XOR Gateway','that'),('XOR Gateway','for'),('XOR Gateway','it'),('XOR Gateway','is'),('AND Gateway','and'),('AND Gateway','the'),('AND Gateway','as'),('AND Gateway','with')) l(k, w) ON low = w GROUP BY 1, 2"))
 def s3(spark, d):
     words = fx.corpus(spark, d).select(F.explode("tokens").alias("t")).select(F.lower("t").alias("token"))
-    return words.join(F.broadcast(lexicons.flat_tokens(lexicon(spark))), "token").groupBy("gateway_type", "token").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(broadcast_if(lexicons.flat_tokens(lexicon(spark)), SMALL_ROWS), "token").groupBy("gateway_type", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s4_mined_phrases", sql(ENT, "SELECT DISTINCT kind AS gateway_type, phrase FROM gw"))
