@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 FEATURES = 1 << 12
-#: Numbers of a slice of a member's gradient.
-SLICE = 1 << 12
+#: Numbers of a slice of a member's gradient; rows that are scored at a time.
+SLICE, BLOCK = 1 << 12, 1 << 12
 
 
 def hashed(rows: DataFrame, words: str = "words", size: int = FEATURES) -> DataFrame:
@@ -47,29 +47,48 @@ def _kept(keys: np.ndarray, seed: int) -> np.ndarray:
     return (h >> np.uint64(40)) % np.uint64(5) != 0
 
 
-def _pass(rows: DataFrame, members: list[tuple[int, int]], coefficients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients and confusion counts (label, prediction) of all members over all rows."""
+def _equally_long(flat: np.ndarray, first: np.ndarray, n: np.ndarray):
+    """(rows, their features as length x rows) for up to ``BLOCK`` rows with as many features at a time."""
+    for length in np.unique(n).tolist():
+        at = np.flatnonzero(n == length)
+        for k in range(0, len(at), BLOCK):
+            rows = at[k : k + BLOCK]
+            yield rows, flat[first[rows] + np.arange(length)[:, None]]
+
+
+def _pass(rows: DataFrame, members: list[tuple[int, int]], coefficients: np.ndarray, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients (0 without ``learn``) and confusion counts (label, prediction) of all members over all rows.
+    The coefficients of all members for a feature lie side by side, so a row looks each feature up once."""
     m, size, classes = coefficients.shape
-    sent = rows.sparkSession.sparkContext.broadcast(coefficients)
+    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(coefficients.transpose(1, 2, 0)).reshape(size, classes * m))
+    given = size * classes if learn else 0
 
     def run(batches):
         w = sent.value
-        gradient, counts = np.zeros((m, size, classes)), np.zeros((m, classes * classes))
+        gradient, counts = np.zeros((classes * m, size)), np.zeros((m, classes * classes))
         for b in batches:
-            if not b.num_rows:
-                continue
-            flat, first, n = _columns(b)
             fold, label, weight, key = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("fold", "label", "weight", "key"))
-            for i, (out, seed) in enumerate(members):
-                p = _probabilities(w[i], flat, first)
-                held = fold == out
-                counts[i] += np.bincount(label[held] * classes + p[held].argmax(axis=1), minlength=classes * classes)
-                p[np.arange(len(p)), label] -= 1
-                p *= (weight * ~held * _kept(key, seed))[:, None]
-                for c in range(classes):
-                    gradient[i, :, c] += np.bincount(flat, np.repeat(p[:, c], n), size)
+            kept = {seed: weight * _kept(key, seed) for _, seed in members}
+            for at, features in _equally_long(*_columns(b)):
+                p, one = np.zeros((len(at), classes * m)), np.empty((len(at), classes * m))
+                for f in features:
+                    p += np.take(w, f, axis=0, out=one, mode="clip")
+                p = p.reshape(len(at), classes, m)
+                p -= p.max(axis=1, keepdims=True)
+                np.exp(p, out=p)
+                p /= p.sum(axis=1, keepdims=True)
+                for i, (out, _) in enumerate(members):
+                    held = np.flatnonzero(fold[at] == out)
+                    counts[i] += np.bincount(label[at[held]] * classes + p[held, :, i].argmax(axis=1), minlength=classes * classes)
+                if not learn:
+                    continue
+                p[np.arange(len(at)), label[at]] -= 1
+                p *= np.stack([kept[seed][at] * (fold[at] != out) for out, seed in members], axis=1)[:, None]
+                places, sides = features.ravel(), np.ascontiguousarray(p.reshape(len(at), classes * m).T)
+                for g, side in zip(gradient, sides):
+                    g += np.bincount(places, np.tile(side, len(features)), size)
         for i in range(m):
-            whole = np.concatenate([gradient[i].ravel(), counts[i]])
+            whole = np.concatenate([gradient.reshape(classes, m, size)[:, i].T.ravel()[:given], counts[i]])
             for k in range(0, len(whole), SLICE):
                 part = pa.array([whole[k : k + SLICE]], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([k], pa.int32()), part], names=["member", "at", "part"])
@@ -77,10 +96,11 @@ def _pass(rows: DataFrame, members: list[tuple[int, int]], coefficients: np.ndar
     parts = rows.mapInArrow(run, "member int, at int, part array<double>").withColumn("v", array_to_vector("part"))
     sums = parts.groupBy("member", "at").agg(Summarizer.sum(F.col("v")).alias("v")).select("member", "at", vector_to_array("v").alias("part")).collect()
     sent.destroy()
-    whole = np.zeros((m, size * classes + classes * classes))
+    whole = np.zeros((m, given + classes * classes))
     for r in sums:
         whole[r.member, r["at"] : r["at"] + len(r.part)] = r.part
-    return whole[:, : size * classes].reshape(m, size, classes), whole[:, size * classes :].reshape(m, classes, classes)
+    gradient = whole[:, :given].reshape(m, size, classes) if learn else np.zeros((m, size, classes))
+    return gradient, whole[:, given:].reshape(m, classes, classes)
 
 
 def measures(counts: np.ndarray, positive: list[int]) -> tuple[float, float, float]:
@@ -114,7 +134,7 @@ def cross_validate(rows: DataFrame, classes: int, positive: list[int], folds: in
     best, idle, history = np.full(len(members), -np.inf), np.zeros(len(members), int), []
     active = list(range(len(members)))
     for epoch in range(-1, epochs):
-        gradient, counts = _pass(rows, [members[i] for i in active], w[active])
+        gradient, counts = _pass(rows, [members[i] for i in active], w[active], epoch + 1 < epochs)
         going = []
         for k, i in enumerate(active):
             if epoch >= 0:

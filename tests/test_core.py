@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.functions.text import add_spans
+from flowloom.functions.text import add_spans, span_tags
 from flowloom.operators import evaluate, flows, gateways, graph, neighbors, scoring, tagging, trainset
 from flowloom.schemas import ACTIVITY, AND, XOR, at
 from flowloom.sources import corpus, lexicons
@@ -240,3 +240,10 @@ def test_synonym_variants(spark):
         texts.setdefault(r.pair_id, []).append(r.context)
     assert {k: sorted(v) for k, v in texts.items()} == {1: ["a b", "a z", "x b", "x z", "y b", "y z"], 2: ["a", "x", "y"], 3: ["c"]}
     assert trainset.synonym_variants(pairs, copies.limit(0)).count() == 3
+
+
+def test_sentences_without_first_words(spark):
+    rows = spark.createDataFrame([(1, ["a", None, "or"]), (2, ["a", "b"]), (3, []), (4, None), (5, [None])], "doc_id int, tokens array<string>")
+    found = add_spans(rows, {"s": ["or", "it is"]})
+    got = {r.doc_id: ([tuple(x) for x in r.s], r.t) for r in found.select("doc_id", "s", span_tags(F.col("tokens"), F.col("s"), XOR).alias("t")).collect()}
+    assert got == {1: ([(2, 1)], ["O", "O", "B-XOR Gateway"]), 2: ([], ["O", "O"]), 3: ([], []), 4: ([], None), 5: ([], ["O"])}

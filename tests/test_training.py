@@ -38,6 +38,26 @@ def test_history_and_stops(trained):
     assert min(r.value for r in h.filter("metric = 'f1'").collect() if r.epoch == last[r.fold, r.seed]) > 0.75
 
 
+def test_a_pass_equals_member_by_member_sums(rows):
+    """Rows of any number of features; gradients and counts by plain loops over rows and members."""
+    members, rng = [(0, 0), (1, 0), (2, 1)], np.random.default_rng(1)
+    w = rng.normal(0, 0.1, (3, training.FEATURES, 3))
+    known = rows.filter("label IS NOT NULL")
+    gradient, counts = training._pass(known, members, w)
+    want, seen = np.zeros_like(w), np.zeros((3, 3, 3))
+    for r in known.collect():
+        for i, (out, seed) in enumerate(members):
+            e = np.exp(w[i][r.features].sum(axis=0))
+            p = e / e.sum()
+            if r.fold == out:
+                seen[i, r.label, p.argmax()] += 1
+            elif training._kept(np.array([r.key]), seed)[0]:
+                np.add.at(want[i], r.features, r.weight * (p - np.eye(3)[r.label]))
+    assert np.allclose(gradient, want) and (counts == seen).all()
+    nothing, again = training._pass(known, members, w, learn=False)
+    assert not nothing.any() and (again == seen).all()
+
+
 def test_folds_equal_stored_predictions(trained, rows, tmp_path):
     predictions = training.held_out(trained, rows.filter("label IS NOT NULL"), ["id"])
     predictions.write.parquet(str(tmp_path / "predictions"))
