@@ -48,8 +48,9 @@ def mine_phrases(spans: DataFrame) -> DataFrame:
 
 def mine_n_grams(sents: DataFrame, sizes: tuple[int, ...], least_docs: int) -> DataFrame:
     """``phrase, n, n_docs``: the lower-case word sequences of the given lengths within sentences
-    (``doc_id, tokens``) that occur in ``least_docs`` documents or more."""
-    low = sents.select("doc_id", F.transform("tokens", lambda w: F.lower(w)).alias("low"))
+    (``doc_id, tokens``) that occur in ``least_docs`` documents or more. The sentences are shuffled by
+    document, so what a document repeats goes before its word sequences are shuffled, and they are once."""
+    low = sents.repartition("doc_id").select("doc_id", F.transform("tokens", lambda w: F.lower(w)).alias("low"))
     every = lambda n: F.transform(F.sequence(F.lit(1), F.size("low") - n + 1), lambda i: F.struct(F.array_join(F.slice("low", i, n), " ").alias("phrase"), F.lit(n).alias("n")))
     kind = "array<struct<phrase:string,n:int>>"
     grams = F.concat(*(F.when(F.size("low") >= n, every(n)).otherwise(F.array().cast(kind)) for n in sizes))

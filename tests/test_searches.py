@@ -272,3 +272,14 @@ def test_the_rows_with_the_least_keys(spark):
     head, tail = trainset.split_head_tail(rows, "id", 0.1)
     assert sorted(r.id for r in head.collect()) == list(range(451)) and tail.count() == 50
     assert trainset.split_lowest(rows.limit(0), trainset.sortable("n"), 5)[0].count() == 0
+
+
+def test_word_sequences_are_shuffled_once_and_not_sorted(spark):
+    s = spark.createDataFrame([(d, i, ["a", "b", str(d)]) for i, d in enumerate((1, 1, 2))], "doc_id long, sentence_idx int, tokens array<string>")
+    mined = lexicons.mine_n_grams(s, (2,), 2)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.phrase, r.n_docs) for r in mined.collect()] == [("a b", 2)]
+    assert len([x for x in plan(lexicons.mine_n_grams(s, (2,), 2)).splitlines() if "Exchange" in x and "phrase#" in x]) == 1
+    found = tagging.tag_lexicon(s, spark.createDataFrame([(XOR, "a b"), (AND, "b")], "gateway_type string, phrase string"), 0)
+    assert "SortMergeJoin" not in plan(found) and "ShuffledHashJoin" in plan(found)
+    assert found.count() == 6
