@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_dir
+from ..functions.shared import shared_dir, stored
 from ..functions.text import joined
 from ..schemas import AND, XOR
 from ..sources import corpus, lexicons
 from . import fixtures as fx
 from .fixtures import ENT, TAG, sql
-from .tagging import entities
+from .tagging import document_entities
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -90,9 +90,12 @@ def s9(spark, d):
 
 def predictions(spark, d):
     """Elements and relations of every document, written, with the folder."""
-    span = entities(spark, d).select("doc_id", F.col("entity.entity_type").alias("entity_type"), joined("low").alias("phrase"))
-    elements = span.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("entity_type", "phrase"))).alias("entities"))
-    related = span.filter(F.col("entity_type") == XOR).groupBy("doc_id").agg(F.sort_array(F.collect_list("phrase")).alias("relations"))
+    span = F.transform("spans", lambda x: F.struct(x["entity"]["entity_type"].alias("entity_type"), joined(x["low"]).alias("phrase")))
+    found = document_entities(spark, d).select("doc_id", span.alias("spans"))
+    elements = stored(found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("entities")), "spans")
+    elements = elements.filter(F.size("entities") > 0)  # here, or the spans would be found once more for the test
+    related = F.transform(F.filter("entities", lambda x: x["entity_type"] == XOR), lambda x: x["phrase"])
+    related = elements.select("doc_id", F.sort_array(related).alias("relations")).filter(F.size("relations") > 0)
     path = folder(spark, "predictions")
     corpus.write_predictions(elements, related, path)
     return path

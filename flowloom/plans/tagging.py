@@ -45,7 +45,11 @@ def activities(spark, d):
 
 
 def entities(spark, d):
-    return tagging.spans_of_tags(fx.tagged_tokens(spark, d))
+    return document_entities(spark, d).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
+
+
+def document_entities(spark, d):
+    return tagging.document_spans(fx.tagged_documents(spark, d))
 
 
 @query("s3_lexicon_token_hits", sql(TOK, "SELECT k AS gateway_type, low AS token, count(*) AS n FROM tok JOIN (VALUES ('XOR Gateway','or'),('XOR Gateway','only'),('XOR Gateway','when'),('XOR Gateway','that'),('XOR Gateway','for'),('XOR Gateway','it'),('XOR Gateway','is'),('AND Gateway','and'),('AND Gateway','the'),('AND Gateway','as'),('AND Gateway','with')) l(k, w) ON low = w GROUP BY 1, 2"))
@@ -197,7 +201,8 @@ PREDICTED = "(doc_id * 31 + sentence_idx * 17 + token_idx) % 3 + 1"
 
 @query("k4_filtered_gateways", sql(TAG, f"SELECT doc_id, sentence_idx, token_idx, CASE WHEN ner_tag LIKE '%XOR Gateway' AND {PREDICTED} <> 2 THEN 'dropped' ELSE 'kept' END AS action FROM tag WHERE ner_tag LIKE '%Gateway'"))
 def k4(spark, d):
-    toks = tagging.keep_tags(fx.tagged_tokens(spark, d), "Gateway")
+    gateway = lambda tag, _: F.contains(tag, F.lit("Gateway"))
+    toks = tagging.keep_tags(stored(fx.tagged_tokens(spark, d, gateway), "gateway-tokens"), "Gateway")
     predicted = toks.select("doc_id", "sentence_idx", "token_idx", F.expr(PREDICTED).alias("predicted"))
     return tagging.filter_predicted(toks, predicted, 2, log_only=True).select("doc_id", "sentence_idx", "token_idx", "action")
 
