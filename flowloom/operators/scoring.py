@@ -15,6 +15,15 @@ def token_features(tokens: DataFrame, width: int = 2) -> DataFrame:
     return tokens.withColumn("words", F.array(*near))
 
 
+def sentence_features(sents: DataFrame, width: int = 2) -> DataFrame:
+    """The rows of :func:`token_features` for whole sentences (``doc_id, sentence_idx, tokens, ner_tags``): their
+    neighbours stand in the same array, so nothing is shuffled."""
+    low = sents.withColumn("low_", F.transform("tokens", lambda w: F.lower(w)))
+    near = lambda i: F.array(*(F.concat(F.lit(f"{k}="), F.coalesce(F.get("low_", i + k), F.lit("-"))) for k in range(-width, width + 1)))
+    rows = F.transform("tokens", lambda w, i: F.struct(i.alias("token_idx"), w.alias("token"), F.get("ner_tags", i).alias("ner_tag"), near(i).alias("words")))
+    return low.select("doc_id", "sentence_idx", F.explode(rows).alias("z")).select("doc_id", "sentence_idx", "z.*")
+
+
 def text_pipeline(label: str = "label", weight: str | None = None, features: int = 1 << 14, iterations: int = 20):
     """Hashed word counts into logistic regression; binary or multinomial by the labels."""
     from pyspark.ml import Pipeline
@@ -27,8 +36,9 @@ def text_pipeline(label: str = "label", weight: str | None = None, features: int
 
 
 def fit_tokens(tokens: DataFrame, width: int = 2, **options):
-    """Token-class scorer of rows with ``label`` and ``weight``."""
-    return text_pipeline(weight="weight", **options).fit(token_features(tokens, width))
+    """Token-class scorer of rows with ``label`` and ``weight``, which may have their ``words`` already."""
+    rows = tokens if "words" in tokens.columns else token_features(tokens, width)
+    return text_pipeline(weight="weight", **options).fit(rows)
 
 
 def full_training(tokens: DataFrame, path: str, width: int = 2, **options):

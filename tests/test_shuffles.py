@@ -1,6 +1,6 @@
 """What is found within documents leaves the scan that finds it; only its inputs are shuffled and stored."""
 
-from flowloom.operators import graph, tagging, trainset
+from flowloom.operators import graph, scoring, tagging, trainset
 from flowloom.schemas import ACTIVITY, ENTITY, XOR
 
 
@@ -55,3 +55,11 @@ def test_grams_pairs_and_spans_need_no_shuffle(spark):
     assert rows(spans.selectExpr("doc_id", "inline(spans)")) == rows(tagging.spans_of_tags(tokens))
     for df in (grams, pairs, modes, spans):
         assert "Exchange" not in plan(df) and "Join" not in plan(df)
+
+
+def test_features_of_sentences_need_no_shuffle(spark):
+    sents = tagged(spark).selectExpr("doc_id", "posexplode(sents) AS (sentence_idx, s)").selectExpr("doc_id", "sentence_idx", "s.tokens", "s.ner_tags")
+    tokens = sents.selectExpr("doc_id", "sentence_idx", "posexplode(arrays_zip(tokens, ner_tags)) AS (token_idx, z)").selectExpr("doc_id", "sentence_idx", "token_idx", "z.tokens AS token", "z.ner_tags AS ner_tag")
+    found = scoring.sentence_features(sents)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(found) == rows(scoring.token_features(tokens)) and "Exchange" not in plan(found)
