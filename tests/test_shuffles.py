@@ -1,5 +1,7 @@
 """What is found within documents leaves the scan that finds it; only its inputs are shuffled and stored."""
 
+from pyspark.sql import functions as F
+
 from flowloom.operators import graph, scoring, tagging, trainset
 from flowloom.schemas import ACTIVITY, ENTITY, XOR
 
@@ -63,3 +65,18 @@ def test_features_of_sentences_need_no_shuffle(spark):
     found = scoring.sentence_features(sents)
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(found) == rows(scoring.token_features(tokens)) and "Exchange" not in plan(found)
+
+
+def test_copies_read_their_samples_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def met(i):
+        seen.add(1)
+        return i
+
+    rows = spark.createDataFrame([(i, ["a", "or"], ["O", "B-XOR Gateway"]) for i in range(20)], "sample_id long, tokens array<string>, ner_tags array<string>")
+    syn = spark.createDataFrame([(XOR, "or", "else"), (XOR, "or", "otherwise")], "gateway_type string, keyword string, synonym string")
+    made = trainset.synonym_samples(rows.withColumn("sample_id", met.asNondeterministic()("sample_id")), syn)
+    assert sorted(r.sample_id for r in made.collect()) == list(range(500, 540))
+    assert seen.value == 20
