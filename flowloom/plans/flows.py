@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import add_spans, joined
+from ..functions.text import joined, phrase_spans, sentences, tokens
 from ..functions.shared import stored
 from ..operators import flows as ops
-from ..schemas import AND, XOR
+from ..schemas import ACTIVITY, AND, XOR
 from . import fixtures as fx
 from .fixtures import ENT, sql
 from .tagging import PAIR, activities, gateways
@@ -35,20 +35,33 @@ def flat(flows, *more):
 
 
 def base(spark, d):
-    """Gateways and activities, found in one pass over the texts and written once: the rules read them
-    many times."""
-    rows = add_spans(fx.corpus(spark, d), {"x": fx.XOR_PHRASES, "a": fx.AND_PHRASES})
-    gates = lambda c, k: F.transform(c, lambda p: F.struct(p["start"].alias("t"), F.slice("tokens", p["start"] + 1, p["n"]).alias("tokens"), F.lit(k).alias("kind")))
-    free = lambda c, i: ~F.exists(c, lambda p: (p["start"] <= i) & (i < p["start"] + p["n"]))
-    words = F.filter(F.transform("tokens", lambda w, i: F.struct(i.alias("t"), F.array(w).alias("tokens"))), lambda c: fx.is_activity(c["tokens"][0]))
-    acts = F.filter(words, lambda c: free("x", c["t"]) & free("a", c["t"]))
-    both = stored(rows.select("doc_id", F.col("sentence_idx").alias("s"), F.concat(gates("x", XOR), gates("a", AND)).alias("g"), acts.alias("acts")), "places")
-    out = lambda c: both.select("doc_id", "s", F.explode(c).alias("e")).select("doc_id", "s", "e.*")
-    return out("g").withColumn("low", F.transform("tokens", lambda x: F.lower(x))), out("acts")
+    """``doc_id, places``: gateways and activities of each document (:func:`ops.placed`), found in its row without a
+    shuffle and written once."""
+    docs = fx.spread(fx.read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    words = docs.select("doc_id", F.transform(sentences(F.col("text")), tokens).alias("words"))
+    low = words.select("*", F.transform("words", lambda ws: F.transform(ws, lambda w: F.lower(w))).alias("low"))
+    spans = F.transform("low", lambda ws: F.struct(phrase_spans(ws, fx.XOR_PHRASES).alias("x"), phrase_spans(ws, fx.AND_PHRASES).alias("a")))
+    both = low.select("doc_id", F.arrays_zip(F.col("words").alias("w"), spans.alias("p")).alias("sents"))
 
+    def found(z, s):
+        w, x, a = z["w"], z["p"]["x"], z["p"]["a"]
+        at = lambda t, side, words, k: F.struct(s.alias("s"), t.alias("t"), F.lit(side).alias("side"), words.alias("tokens"), F.lit(k).alias("kind"))
+        gates = lambda c, k: F.transform(c, lambda p: at(p["start"], 0, F.slice(w, p["start"] + 1, p["n"]), k))
+        free = lambda c, t: ~F.exists(c, lambda p: (p["start"] <= t) & (t < p["start"] + p["n"]))
+        acts = F.filter(F.transform(w, lambda v, t: F.when(fx.is_activity(v), at(t, 1, F.array(v), ACTIVITY))), lambda p: p.isNotNull())
+        acts = F.filter(acts, lambda p: free(x, p["t"]) & free(a, p["t"]))
+        return F.array_sort(F.concat(gates(x, XOR), gates(a, AND), acts))
 
-def kind(gates, k):
-    return gates.filter(F.col("kind") == k).drop("kind")
+    places = both.select("doc_id", F.flatten(F.transform("sents", found)).cast(ops.PLACES).alias("places"))
+    return stored(places, "places")
+
+
+def ruled(spark, d):
+    return ops.ruled(base(spark, d), fx.PAIRS)
+
+
+def merged(spark, d):
+    return ops.merged(ruled(spark, d))
 
 
 #: Neighbours as columns; rules as unions of edges.
@@ -110,13 +123,7 @@ def f1(spark, d):
 
 
 def rule(rel):
-    def run(spark, d):
-        gates, acts = base(spark, d)
-        if rel == "and":
-            return flat(ops.concurrent_flows(kind(gates, AND), acts)[0])
-        return flat(ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[0].filter(F.col("rel") == rel))
-
-    return run
+    return lambda spark, d: flat(ops.document_rows(ruled(spark, d), "flows", lambda e: e["rel"] == rel))
 
 
 for _name, _rel in (("f2_pair_flows", "pair"), ("f3_or_flows", "or"), ("f4_single_flows", "single"), ("f5_concurrent_flows", "and")):
@@ -125,50 +132,45 @@ for _name, _rel in (("f2_pair_flows", "pair"), ("f3_or_flows", "or"), ("f4_singl
 
 @query("f2_same_gateways", sql(RULES, "SELECT doc_id, pos AS src, pos2 AS tgt FROM two", True))
 def f2_same(spark, d):
-    gates, acts = base(spark, d)
-    return flat(ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[2]).select("doc_id", "src", "tgt")
+    return flat(ops.document_rows(ruled(spark, d), "same")).select("doc_id", "src", "tgt")
 
 
 @query("j4_frames", sql(RULES, "SELECT doc_id, rule, a, b FROM frame", True))
 def j4_frames(spark, d):
-    gates, acts = base(spark, d)
-    frames = ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[1].unionAll(ops.concurrent_flows(kind(gates, AND), acts)[1])
+    frames = ops.document_rows(ruled(spark, d), "frames")
     pos = lambda c, n: (F.col(f"{c}.s") * F.lit(1_000_000).cast("long") + F.col(f"{c}.t")).alias(n)
     return frames.select("doc_id", "rule", pos("start", "a"), pos("end", "b"))
 
 
 @query("j5_kept_defaults", sql(RULES, "SELECT doc_id, src, tgt FROM every EXCEPT SELECT doc_id, src, tgt FROM flow", True))
 def j5(spark, d):
-    gates, acts = base(spark, d)
-    gate = ops.exclusive_flows(kind(gates, XOR), acts, fx.PAIRS)[0].unionAll(ops.concurrent_flows(kind(gates, AND), acts)[0])
-    return flat(ops.suppress_defaults(ops.default_flows(acts), gate)).select("doc_id", "src", "tgt")
+    return flat(ops.document_rows(ops.with_defaults(ruled(spark, d)), "defaults")).select("doc_id", "src", "tgt")
 
 
 @query("f6_decided_pairs", sql(ENT, "SELECT doc_id, s, t, comment, CASE WHEN comment = 'score' AND (doc_id * 31 + s * 17 + t) % 100 > 50 THEN 1 ELSE 0 END AS joined FROM (SELECT *, CASE WHEN ns - s > 3 THEN 'distance' WHEN phrase = 'or' OR np = 'or' THEN 'or' ELSE 'score' END AS comment FROM (SELECT *, lead(s) OVER w AS ns, lead(phrase) OVER w AS np FROM gw WHERE kind = 'XOR Gateway' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE ns IS NOT NULL)"))
 def f6(spark, d):
-    xor = stored(kind(gateways(spark, d), XOR), "gateways")
+    xor = stored(gateways(spark, d).filter(F.col("kind") == XOR).drop("kind"), "gateways")
     scores = xor.select("doc_id", "s", "t", (F.expr("(doc_id * 31 + s * 17 + t) % 100") / 100.0).alias("score"))
     return ops.decide_pairs(xor, scores).select("doc_id", "s", "t", "comment", "joined")
 
 
 @query("f7_merged_flows", sql(RULES, "SELECT doc_id, src, src_kind, tgt, tgt_kind FROM led", True))
 def f7(spark, d):
-    return flat(ops.document_flows(*base(spark, d), fx.PAIRS)[0])
+    return flat(ops.document_rows(merged(spark, d), "flows"))
 
 
 @query("f8_flow_counts", sql(RULES, "SELECT l.doc_id, count(*) AS n_flows, count(DISTINCT tgt) AS n_targets FROM led l GROUP BY 1", True))
 def f8(spark, d):
-    flows, _ = ops.document_flows(*base(spark, d), fx.PAIRS)
-    return flat(flows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_flows"), F.countDistinct("tgt").alias("n_targets"))
+    return flat(ops.document_rows(merged(spark, d), "flows")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_flows"), F.countDistinct("tgt").alias("n_targets"))
 
 
 @query("p4_gateway_flows", sql(RULES, "SELECT doc_id, src, tgt FROM led WHERE src_kind = 'XOR Gateway' OR tgt_kind = 'XOR Gateway'", True))
 def p4(spark, d):
-    return flat(ops.document_flows(*base(spark, d), fx.PAIRS)[0]).filter((F.col("src_kind") == XOR) | (F.col("tgt_kind") == XOR)).select("doc_id", "src", "tgt")
+    return flat(ops.document_rows(merged(spark, d), "flows")).filter((F.col("src_kind") == XOR) | (F.col("tgt_kind") == XOR)).select("doc_id", "src", "tgt")
 
 
 @query("p7_benchmark_flows", sql(RULES, "SELECT l.doc_id, lower(a.words) AS source, lower(b.words) AS target, count(*) AS n FROM led l JOIN word a ON a.doc_id = l.doc_id AND a.pos = src JOIN word b ON b.doc_id = l.doc_id AND b.pos = tgt GROUP BY ALL", True))
 def p7(spark, d):
-    flows, _ = ops.document_flows(*base(spark, d), fx.PAIRS)
+    flows = ops.document_rows(merged(spark, d), "flows")
     low = lambda c: F.lower(joined(f"{c}.tokens"))
     return flows.groupBy("doc_id", low("src").alias("source"), low("tgt").alias("target")).agg(F.count(F.lit(1)).alias("n"))

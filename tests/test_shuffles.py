@@ -1,9 +1,12 @@
 """What is found within documents leaves the scan that finds it; only its inputs are shuffled and stored."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowloom.operators import graph, scoring, tagging, trainset
-from flowloom.schemas import ACTIVITY, ENTITY, XOR
+from flowloom.operators import flows, graph, scoring, tagging, trainset
+from flowloom.schemas import ACTIVITY, AND, ENTITY, XOR
 
 
 def plan(df):
@@ -80,3 +83,51 @@ def test_copies_read_their_samples_once(spark):
     made = trainset.synonym_samples(rows.withColumn("sample_id", met.asNondeterministic()("sample_id")), syn)
     assert sorted(r.sample_id for r in made.collect()) == list(range(500, 540))
     assert seen.value == 20
+
+
+def test_flows_of_documents_need_no_shuffle(spark):
+    rng = random.Random(29)
+    words = {XOR: ["or", "if", "that"], AND: ["and", "while"], ACTIVITY: ["started", "station", "ended"]}
+    rows = []
+    for d in range(60):
+        # gateways and activities may share a place; some documents have none of either
+        kinds = rng.choice([(XOR, AND, ACTIVITY), (XOR, ACTIVITY, ACTIVITY), (XOR, AND), (ACTIVITY,)])
+        places = {(rng.randrange(6), rng.choice((0, 0, 1, 2, 3)), rng.choice(kinds)) for _ in range(rng.randrange(25))}
+        rows += [(d, s, t, [rng.choice(words[k])], k) for s, t, k in sorted(places)]
+    one = spark.createDataFrame(rows, "doc_id long, s int, t int, tokens array<string>, kind string")
+    acts, gates = one.filter(F.col("kind") == ACTIVITY).drop("kind"), one.filter(F.col("kind") != ACTIVITY).withColumn("low", F.col("tokens"))
+    of = lambda k: gates.filter(F.col("kind") == k).drop("kind")
+    got = lambda df: sorted(map(repr, df.collect()))
+    by_document = {}
+    for d, s, t, w, k in rows:
+        by_document.setdefault(d, []).append((s, t, int(k == ACTIVITY), w, k))
+    docs = spark.createDataFrame([(d, sorted(p)) for d, p in by_document.items()] + [(98, []), (99, None)], f"doc_id long, places {flows.PLACES}")
+    pairs = [("that", "or"), ("or", "or"), ("if", "if"), ("if", "that")]
+    for multiple in (False, True):
+        xor, x_frames, same = flows.exclusive_flows(of(XOR), acts, pairs, multiple=multiple)
+        par, a_frames = flows.concurrent_flows(of(AND), acts)
+        ruled = flows.ruled(docs, pairs, multiple=multiple)
+        assert got(flows.document_rows(ruled, "same")) == got(same) and same.count() > 3
+        assert got(flows.document_rows(ruled, "flows").select("doc_id", "rel", "src", "tgt")) == got(xor.unionAll(par))
+        frames = x_frames.unionAll(a_frames)
+        assert got(flows.document_rows(ruled, "frames")) == got(frames.drop("g_s", "g_t"))
+        defaults = flows.default_flows(acts)
+        kept = flows.suppress_defaults(defaults, xor.unionAll(par)).drop("rel")
+        assert got(flows.document_rows(flows.with_defaults(ruled), "defaults")) == got(kept.select("doc_id", "src", "tgt"))
+        for compat in (True, False):
+            found = flows.document_rows(flows.merged(ruled, compat), "flows")
+            assert got(found) == got(flows.merge_flows(defaults, xor.unionAll(par), frames, compat))
+            assert "Exchange" not in plan(found) and "Join" not in plan(found) and "Sort" not in plan(found)
+    placed = flows.placed(gates, acts)
+    assert plan(placed).count("Exchange") == 1 and got(placed) == got(docs.filter("size(places) > 0"))
+
+
+def test_least_holders_of_long_stretches():
+    rng = random.Random(31)
+    docs = [(sorted(rng.sample(range(5000), n)), [(i, *sorted(rng.sample(range(5000), 2))) for i in rng.sample(range(400), m)]) for n, m in ((0, 3), (700, 0), (1, 5), (1000, 30), (300, 300))]
+    stretches = pa.array([[{"i": i, "lo": lo, "hi": hi} for i, lo, hi in x] for _, x in docs], pa.list_(pa.struct([("i", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])))
+    points = pa.array([p for p, _ in docs], pa.list_(pa.int64()))
+    want = [[min((i for i, lo, hi in x if lo <= k <= hi), default=None) for k in p] for p, x in docs]
+    assert flows.least_holders(points, stretches).to_pylist() == want
+    assert flows.least_holders(points.slice(2, 2), stretches.slice(2, 2)).to_pylist() == want[2:4]
+    assert flows.least_holders(points.slice(0, 0), stretches.slice(0, 0)).to_pylist() == []
