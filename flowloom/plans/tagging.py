@@ -176,9 +176,10 @@ fold AS (SELECT doc_id, sentence_idx, gateway_type, 0::BIGINT AS o, []::INTEGER[
 @query("k1_mined_lexicon", sql(MINED, "SELECT doc_id, sentence_idx, gateway_type, CAST(start AS INTEGER) AS start, n AS n_words, phrase FROM fold WHERE start IS NOT NULL", True))
 def k1_mined(spark, d):
     """A lexicon of thousands of phrases, mined from the documents, over all of them."""
-    sents = stored(fx.corpus(spark, d), "sentences")
-    kind = F.when(F.col("n") == 3, AND).otherwise(XOR)
-    return tagging.tag_lexicon(sents, lexicons.mine_n_grams(sents, MINED_SIZES, MINED_DOCS).select(kind.alias("gateway_type"), "phrase"))
+    docs = stored(fx.lower_documents(spark, d), "documents")
+    keys = lexicons.mine_keys(docs, MINED_SIZES, MINED_DOCS)
+    sents = docs.select("doc_id", F.posexplode("sents").alias("sentence_idx", "low"))
+    return tagging.tag_keys(sents, keys.select(F.when(F.col("n") == 3, AND).otherwise(XOR).alias("gateway_type"), "n", "a", "b"))
 
 
 @query("k2_gateway_entities", sql(ENT, "SELECT doc_id, s, t, kind, phrase FROM gw"))

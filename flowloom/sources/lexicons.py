@@ -5,9 +5,13 @@ These tables are written by hand and small; callers broadcast them or take their
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import grams
+from ..functions.shared import stored
 from ..schemas import AND, ENTITY, XOR
 
 
@@ -58,6 +62,61 @@ def mine_n_grams(sents: DataFrame, sizes: tuple[int, ...], least_docs: int) -> D
     return once.groupBy("phrase", "n").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= least_docs)
 
 
+def mine_keys(docs: DataFrame, sizes: tuple[int, ...], least_docs: int) -> DataFrame:
+    """``n, a, b, n_docs``: what :func:`mine_n_grams` finds, as keys of :mod:`grams` instead of phrases, in documents
+    with all their lower-case sentences (``doc_id, sents``, words without blanks).
+
+    The shortest sequences are counted first. A longer one can be in ``least_docs`` documents only if every shortest
+    one within it is, so those that hold another are not shuffled: a bitmap tells most of them, the counts the rest.
+    Of a sequence its key and how many documents of a task have it are shuffled. A document that comes in several rows is
+    brought together first.
+    """
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.groupBy("doc_id").agg(F.flatten(F.collect_list("sents")).alias("sents"))
+    a, b = grams.word_hashes(F.flatten("sents"))
+    rows = docs.select(F.transform("sents", lambda s: F.size(s)).alias("lengths"), a.alias("a"), b.alias("b"))
+    first, rest = min(sizes), tuple(sorted(set(sizes) - {min(sizes)}))
+    found = stored(_key_counts(rows, (first,), first, None, least_docs), "keys")
+    if not rest:
+        return found
+    bits = grams.bitmap(found.select("a").toArrow().column("a").to_numpy().view(np.uint64))
+    return found.unionAll(stored(_key_counts(rows, rest, first, bits, least_docs), "keys"))
+
+
+def _key_counts(rows: DataFrame, sizes: tuple[int, ...], first: int, bits: np.ndarray | None, least_docs: int) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        known = sent.value
+        for batch in batches:
+            for i, j in grams.portions(batch.column("a")):
+                part = batch.slice(i, j - i)
+                (wa, n), (wb, _) = grams.values(part.column("a"), np.int64), grams.values(part.column("b"), np.int32)
+                words = wa.view(np.uint64), wb.view(np.uint32)
+                doc, room = np.repeat(np.arange(len(n)), n), grams.room(grams.values(part.column("lengths"), np.int64)[0])
+                if known is not None:
+                    *_, (_, shortest, _) = grams.keys(words, (first,))
+                    fits = grams.may_hold(known, shortest)
+                for size, a, b in grams.keys(words, sizes):
+                    here = room[: len(a)] >= size
+                    if known is not None:
+                        for k in range(size - first + 1):
+                            here &= fits[k : k + len(a)]
+                    at = np.flatnonzero(here)
+                    at = at[np.lexsort((doc[at], b[at], a[at]))]
+                    if not len(at):
+                        continue
+                    new = np.r_[True, (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]])]
+                    once = new | np.r_[True, doc[at[1:]] != doc[at[:-1]]]
+                    start = np.flatnonzero(new)
+                    counts = np.add.reduceat(once, start, dtype=np.int32)
+                    columns = [np.full(len(start), size, np.int32), a[at[start]].view(np.int64), b[at[start]].view(np.int32), counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "a", "b", "docs"])
+
+    counts = rows.mapInArrow(run, "n int, a long, b int, docs int")
+    return counts.groupBy("n", "a", "b").agg(F.sum("docs").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+
+
 def mine_pairs(same_gateway: DataFrame) -> DataFrame:
     """``p1, p2``: the distinct lower-case phrase pairs of same-gateway relations (``source``,
     ``target`` entities)."""

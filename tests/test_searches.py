@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from flowloom.functions import paths
+from flowloom.functions import grams, paths
 from flowloom.functions.documents import by_document
 from flowloom.operators import evaluate, flows, gateways, graph, tagging, trainset
 from flowloom.schemas import ACTIVITY, AND, GATEWAYS, XOR
@@ -283,3 +283,35 @@ def test_word_sequences_are_shuffled_once_and_not_sorted(spark):
     found = tagging.tag_lexicon(s, spark.createDataFrame([(XOR, "a b"), (AND, "b")], "gateway_type string, phrase string"), 0)
     assert "SortMergeJoin" not in plan(found) and "ShuffledHashJoin" in plan(found)
     assert found.count() == 6
+
+
+def test_mined_keys_tag_as_mined_phrases(spark):
+    """Sequences by keys in their sentences' rows, at once and in parts, equal those by phrases and joins."""
+    rng = random.Random(37)
+    words = ["a", "b", "c", "d", "ß", "x"]
+    docs = [(d, [[rng.choice(words) for _ in range(rng.choice((0, 1, 2, 5, 12)))] for _ in range(rng.randrange(5))]) for d in range(40)] + [(3, [["a", "b", "c", "d"]] * 2), (50, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, sents array<array<string>>").repartition(3)  # document 3 is in two rows
+    sents = docs.groupBy("doc_id").agg(F.flatten(F.collect_list("sents")).alias("s")).select("doc_id", F.posexplode("s").alias("sentence_idx", "low"))
+    by_phrase = sents.withColumnRenamed("low", "tokens")
+    kind = F.when(F.col("n") == 3, AND).otherwise(XOR).alias("gateway_type")
+    for least, sizes in ((2, (2, 3, 4)), (5, (1, 3)), (1000, (2, 3))):
+        keys, phrases = lexicons.mine_keys(docs, sizes, least), lexicons.mine_n_grams(by_phrase, sizes, least)
+        count = lambda df: sorted(tuple(r) for r in df.groupBy("n", "n_docs").count().collect())
+        assert count(keys) == count(phrases)
+        want = sorted(map(tuple, tagging.tag_lexicon(by_phrase, phrases.select(kind, "phrase")).collect()))
+        assert len(want) > 50 or least == 1000
+        for most in (1 << 20, 40):
+            got = tagging.tag_keys(sents, keys.select(kind, "n", "a", "b"), most)
+            assert sorted(map(tuple, got.collect())) == want
+    one = tagging.tag_keys(docs.select("doc_id", F.posexplode("sents").alias("sentence_idx", "low")), keys.select(kind, "n", "a", "b"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0] and "Join" not in plan
+
+
+def test_keys_that_share_their_first_64_bits():
+    import numpy as np
+
+    a, b = np.array([7, 7, 9, 7], np.uint64), np.array([1, 5, 2, 3], np.uint32)
+    known = grams.KeySet(a, b)
+    asked = np.array([7, 7, 7, 8, 9], np.uint64), np.array([5, 4, 3, 1, 2], np.uint32)
+    assert known.places(*asked, np.arange(5)).tolist() == [0, 2, 4]
