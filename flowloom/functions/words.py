@@ -20,12 +20,14 @@ _KINDS[[ord(c) for c in " \t\r"]] = 1
 
 
 class Words(NamedTuple):
-    """The words of some texts: ``codes`` into ``known`` (distinct, lower-case, UTF-8); words of each sentence, sentences of each text."""
+    """The words of some texts: ``codes`` into ``known`` (distinct, lower-case, UTF-8); words of each sentence, sentences of each
+    text; ``written``: bytes of the texts, where each word begins and ends in them."""
 
     codes: np.ndarray
     known: pa.Array
     lengths: np.ndarray
     sentences: np.ndarray
+    written: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -58,7 +60,7 @@ def words_of(texts: pa.Array) -> Words:
             whole[i] = whole[i].decode().lower().encode()
         low = pa.array(whole, pa.large_binary()).dictionary_encode()
         known, codes = low.dictionary, low.indices.to_numpy()[codes]
-    return Words(codes, known, np.diff(np.r_[new, len(start)]), np.bincount(text[new], minlength=len(texts)))
+    return Words(codes, known, np.diff(np.r_[new, len(start)]), np.bincount(text[new], minlength=len(texts)), (data, start, end))
 
 
 def _bytes(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,16 +70,30 @@ def _bytes(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(what, np.uint8)[offsets[0] : offsets[-1]] if what else np.empty(0, np.uint8)), offsets - offsets[0]
 
 
-def phrase_classes(words: Words, lexicons: list[list[str]]) -> np.ndarray:
-    """For each word the number (from 1) of the first of ``lexicons`` that has a phrase over it, else 0; by the rules of
-    :func:`text.phrase_spans`, each lexicon for itself."""
+def ends_in(words: Words, ending: str, least: int = 0) -> np.ndarray:
+    """Whether each word, as it is written, ends in ``ending`` (ASCII) and has ``least`` letters."""
+    data, start, end = words.written
+    n = len(ending)
+    long = end - start >= n
+    if least:
+        inner = np.r_[0, np.cumsum((data & 0xC0) == 0x80)]  # bytes that go on with a letter
+        long &= end - start - (inner[end] - inner[start]) >= least
+    at = np.flatnonzero(long)
+    for k, c in enumerate(ending.encode()):
+        at = at[data[end[at] - n + k] == c]
+    return np.bincount(at, minlength=len(start)) > 0
+
+
+def phrase_classes(words: Words, lexicons: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the number (from 1) of the first of ``lexicons`` that has a phrase over it, else 0, and whether that phrase
+    begins there; by the rules of :func:`text.phrase_spans`, each lexicon for itself."""
     codes, n = words.codes, len(words.codes)
     room = np.repeat(np.cumsum(words.lengths), words.lengths) - np.arange(n)
     wanted = pa.array(sorted({w.encode() for phrases in lexicons for p in phrases for w in p.lower().split(" ")}), pa.large_binary())
     code = {w.decode(): i for w, i in zip(wanted.to_pylist(), pc.index_in(wanted, words.known).to_pylist()) if i is not None}
-    classes = np.zeros(n, np.uint8)
+    classes, begins = np.zeros(n, np.uint8), np.zeros(n, bool)
     for number, phrases in enumerate(lexicons, 1):
-        taken = np.zeros(n, bool)
+        taken, head = np.zeros(n, bool), np.zeros(n, bool)
         for size, of_size in lexicon(phrases).items():
             for phrase in of_size:
                 wanted = [code.get(w, -1) for w in phrase.split(" ")]
@@ -94,10 +110,23 @@ def phrase_classes(words: Words, lexicons: list[list[str]]) -> np.ndarray:
                             kept.append(i)
                             free = i + size
                     at = np.array(kept)
+                head[at] = True
                 for k in range(size):
                     taken[at + k] = True
-        classes[taken & (classes == 0)] = number
-    return classes
+        new = taken & (classes == 0)
+        classes[new], begins[new] = number, head[new]
+    return classes, begins
+
+
+def spaced(words: Words, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words ``codes`` one after the other, a space after each: bytes, and where each begins (and all end)."""
+    data, offsets = _bytes(words.known)
+    whole = np.empty(len(data) + len(words.known), np.uint8)
+    whole[offsets[1:] + np.arange(len(words.known))] = ord(" ")
+    whole[np.arange(len(data)) + np.repeat(np.arange(len(words.known)), np.diff(offsets))] = data
+    places = offsets + np.arange(len(offsets))
+    known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.known), [None, pa.py_buffer(places), pa.py_buffer(whole)])
+    return _bytes(known.take(pa.array(codes))) if len(codes) else (np.empty(0, np.uint8), np.zeros(1, np.int64))
 
 
 def neighbours(codes: np.ndarray, lengths: np.ndarray, width: int, none: int) -> list[np.ndarray]:
@@ -135,15 +164,13 @@ def xxhash64_int(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return _last(_turn(h, 23) * _P2 + _P3)
 
 
-def _by_length(texts: pa.Array, before: bytes):
-    """(which, their bytes after those ``before`` as rows of a matrix) for the texts of each length."""
-    data, offsets = _bytes(texts)
-    lengths = np.diff(offsets)
+def _by_length(data: np.ndarray, start: np.ndarray, lengths: np.ndarray, before: bytes):
+    """(which, their bytes after those ``before`` as rows of a matrix) for the stretches of ``data`` of each length."""
     order = np.argsort(lengths, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(texts) else []:
+    for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(start) else []:
         m = np.empty((len(at), len(before) + lengths[at[0]]), np.uint8)
         m[:, : len(before)] = np.frombuffer(before, np.uint8)
-        m[:, len(before) :] = data[offsets[at][:, None] + np.arange(lengths[at[0]])]
+        m[:, len(before) :] = data[start[at][:, None] + np.arange(lengths[at[0]])]
         yield at, m
 
 
@@ -154,8 +181,9 @@ def _numbers(m: np.ndarray, at: int, size: int) -> np.ndarray:
 def xxhash64_texts(texts: pa.Array, before: bytes = b"", seed: int = 42) -> np.ndarray:
     """Spark's ``xxhash64`` of each of the texts (large binaries), with what comes ``before`` it."""
     out, seed = np.empty(len(texts), np.uint64), np.uint64(seed)
+    data, offsets = _bytes(texts)
     with np.errstate(over="ignore"):
-        for which, m in _by_length(texts, before):
+        for which, m in _by_length(data, offsets[:-1], np.diff(offsets), before):
             n, at = m.shape[1], 0
             h = np.full(len(m), seed + _P5, np.uint64)
             if n >= 32:
@@ -179,14 +207,20 @@ def xxhash64_texts(texts: pa.Array, before: bytes = b"", seed: int = 42) -> np.n
 
 def murmur3_texts(texts: pa.Array, before: bytes = b"", seed: int = 42) -> np.ndarray:
     """The hash that Spark ML's ``HashingTF`` takes of each of the texts, with what comes ``before`` it; signed."""
-    out = np.empty(len(texts), np.int32)
+    data, offsets = _bytes(texts)
+    return murmur3_stretches(data, offsets[:-1], np.diff(offsets), before, seed)
+
+
+def murmur3_stretches(data: np.ndarray, start: np.ndarray, lengths: np.ndarray, before: bytes = b"", seed: int = 42) -> np.ndarray:
+    """The same of stretches of ``data``, which may overlap."""
+    out = np.empty(len(start), np.int32)
 
     def mixed(k: np.ndarray) -> np.ndarray:
         k = k * np.uint32(0xCC9E2D51)
         return ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
 
     with np.errstate(over="ignore"):
-        for which, m in _by_length(texts, before):
+        for which, m in _by_length(data, start, lengths, before):
             n = m.shape[1]
             h = np.full(len(m), seed, np.uint32)
             for at in range(0, n - n % 4, 4):

@@ -1,6 +1,6 @@
-"""Softmax regression over blocks of tokens: the objective and the steps of Spark ML's ``LogisticRegression``.
+"""Softmax regression over blocks of rows (:mod:`blocks`, :mod:`stretches`): the objective and the steps of Spark ML's ``LogisticRegression``.
 
-Spark ML keeps a vector for each token; here a pass reads some bytes of each (see :mod:`blocks`), tasks add up loss and
+Spark ML keeps a vector for each row; here a pass reads some bytes of a word, tasks add up loss and
 gradient, and the driver holds coefficients alone (classes x places, whatever the rows).
 """
 
@@ -40,11 +40,11 @@ class Regression:
         return Regression(np.ascontiguousarray(values[:, 1:]), values[:, 0].copy())
 
 
-def _added(rows: DataFrame, work: Callable[[Iterator[blocks.Block]], np.ndarray]) -> np.ndarray:
+def _added(rows: DataFrame, work: Callable[[Iterator], np.ndarray], opened: Callable) -> np.ndarray:
     """The sum over all tasks of the numbers that ``work`` gives for a task's blocks."""
 
     def run(batches):
-        whole = work(blocks.opened(batches))
+        whole = work(opened(batches))
         for k in range(0, len(whole), SLICE):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([whole[k : k + SLICE]], pa.list_(pa.float64()))], names=["at", "part"])
 
@@ -53,36 +53,36 @@ def _added(rows: DataFrame, work: Callable[[Iterator[blocks.Block]], np.ndarray]
     return np.concatenate([np.array(r.part) for r in sorted(sums, key=lambda r: r["at"])]) if sums else np.empty(0)
 
 
-def _counted(rows: DataFrame, labels: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each label the tokens, and at each place the sums of their features and of the squares."""
+def _counted(rows: DataFrame, labels: int, size: int, opened: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each label the rows, and at each place the sums of their features and of the squares."""
 
     def work(found):
-        tokens, sums, squares = np.zeros(labels), np.zeros(labels * size), np.zeros(labels * size)
+        n, sums, squares = np.zeros(labels), np.zeros((labels, size)), np.zeros((labels, size))
         for block in found:
-            tokens += np.bincount(block.labels, minlength=labels)
-            at = block.features + block.labels * np.intp(size)
-            for k, f in enumerate(at):
-                sums += np.bincount(f, minlength=labels * size)
-                for other in at[:k]:  # words that share a place count there together
-                    squares += 2 * np.bincount(f[f == other], minlength=labels * size)
-        return np.concatenate([tokens, sums, squares + sums])
-
-    whole = _added(rows, work)
+            n += np.bincount(block.labels, minlength=labels)
+            one, two = block.counted(labels, size)
+            sums += one
+            squares += two
+        return np.concatenate([n, sums.ravel(), squares.ravel()])
+
+    whole = _added(rows, work, opened)
     whole = whole if len(whole) else np.zeros(labels * (1 + 2 * size))
     return whole[:labels], *whole[labels:].reshape(2, labels, size)
 
 
-def fit(rows: DataFrame, weights: tuple[float, ...], size: int, first: int = 0, iterations: int = 5, penalty: float = 1e-3, tolerance: float = 1e-6) -> Regression:
-    """Fit stored blocks with the ``weights`` of their labels: class ``first`` + label for each token, classes before ``first`` have none.
+def fit(rows: DataFrame, weights: tuple[float, ...], size: int, first: int = 0, iterations: int = 5, penalty: float = 1e-3, tolerance: float = 1e-6, opened: Callable = blocks.opened) -> Regression:
+    """Fit stored blocks (as ``opened`` gives them) with the ``weights`` of their labels: class ``first`` + label for each row; classes
+    before ``first`` have none, and those after the last label with rows are left out.
 
     Features are divided by their standard deviations (those without any are left out) and centred, the squares of the
     coefficients are penalised, intercepts begin at the logarithms of the classes' weights.
     """
-    classes, each = first + len(weights), np.array(weights)
-    tokens, sums, squares = _counted(rows, len(each), size)
-    weight = float(tokens @ each)
-    if not weight:
+    tokens, sums, squares = _counted(rows, len(weights), size, opened)
+    if not tokens.any():
         raise ValueError("no rows to fit")
+    last = int(np.flatnonzero(tokens)[-1]) + 1
+    tokens, sums, squares, each = tokens[:last], sums[:last], squares[:last], np.array(weights[:last], float)
+    classes, weight = first + last, float(tokens @ each)
     mean = each @ sums / weight
     spread = weight - float(tokens @ each**2) / weight
     std = np.sqrt(np.maximum(each @ squares - weight * mean**2, 0) / spread) if spread > 0 else np.zeros(size)
@@ -101,24 +101,19 @@ def fit(rows: DataFrame, weights: tuple[float, ...], size: int, first: int = 0,
             w, base = sent.value
             total, gradient, bias = 0.0, np.zeros((classes - 1, size)), np.zeros(classes - 1)
             for block in found:
-                sides = np.empty((classes - 1, len(block.labels)))
-                for k in range(0, len(block.labels), blocks.CHUNK):
-                    at = slice(k, k + blocks.CHUNK)
-                    label = block.labels[at] + np.intp(first)
-                    x = blocks.scores(w, block.features[:, at]) + base[:, None]
-                    real = np.where(label > 0, x[label - 1, np.arange(len(label))], 0)
-                    p, whole = blocks.shares(x)
-                    for i in range(1, classes):
-                        p[i - 1] -= label == i
-                    sides[:, at] = p * each[block.labels[at]]
-                    total += float(((whole - real) * each[block.labels[at]]).sum())
-                bias += sides.sum(axis=1)
-                for f in block.features:
-                    for g, side in zip(gradient, sides):
-                        g += np.bincount(f, side, size)
+                label, mine = block.labels + np.intp(first), each[block.labels]
+                x = block.scores(w) + base[:, None]
+                real = np.where(label > 0, x[label - 1, np.arange(len(label))], 0) if classes > 1 else 0
+                p, whole = blocks.shares(x)
+                for i in range(1, classes):
+                    p[i - 1] -= label == i
+                p *= mine
+                total += float(((whole - real) * mine).sum())
+                bias += p.sum(axis=1)
+                gradient += block.back(p, size)
             return np.concatenate([[total], bias, gradient.ravel()])
 
-        whole = _added(rows, work) / weight
+        whole = _added(rows, work, opened) / weight
         sent.destroy()
         bias, gradient = whole[1:classes], whole[classes:].reshape(classes - 1, size) * inverse
         gradient -= np.outer(bias, centre)
@@ -198,17 +193,15 @@ def _step(loss: Callable, x: np.ndarray, direction: np.ndarray, value: float, g:
     return (low[0], seen[low[0]]) if low[0] else (0.0, None)
 
 
-def predicted(model: Regression, rows: DataFrame, first: int = 0) -> DataFrame:
-    """``doc_id, sentence_idx, token_idx, label, prediction`` of each token of blocks."""
+def predicted(model: Regression, rows: DataFrame, first: int = 0, opened: Callable = blocks.opened, keys: str = "doc_id long, sentence_idx int, token_idx int") -> DataFrame:
+    """The rows of blocks: ``keys``, ``label, prediction``."""
     w, base = model.coefficients.T, model.intercepts
     sent = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(w[:, 1:] - w[:, :1]), base[1:] - base[0]))
 
     def run(batches):
         w, base = sent.value
-        for block in blocks.opened(batches):
-            best = [blocks.best(blocks.scores(w, block.features[:, k : k + blocks.CHUNK]) + base[:, None]) for k in range(0, len(block.labels), blocks.CHUNK)]
-            if best:
-                more = [block.labels.astype(np.int32) + np.int32(first), np.concatenate(best).astype(np.float64)]
-                yield blocks.token_rows(block, slice(None), more, ["label", "prediction"])
+        for block in opened(batches):
+            best = blocks.best(block.scores(w) + base[:, None])
+            yield block.rows([block.labels.astype(np.int32) + np.int32(first), best.astype(np.float64)], ["label", "prediction"])
 
-    return rows.mapInArrow(run, "doc_id long, sentence_idx int, token_idx int, label int, prediction double")
+    return rows.mapInArrow(run, f"{keys}, label int, prediction double")

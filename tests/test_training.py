@@ -273,3 +273,32 @@ def test_descent_goes_on_through_steep_and_flat_places():
 
     assert np.allclose(regression.descend(loss, np.array([-1.2, 1.0]), 200, 1e-12), 1, atol=1e-3)
     assert regression.descend(lambda x: (0.0, 0 * x), np.ones(3), 5).tolist() == [1, 1, 1]
+
+
+def test_regression_over_stretches_is_spark_mls(spark, tmp_path, monkeypatch):
+    """Activity pairs and their texts: rows, labels, coefficients and predictions as from rows with texts of their own."""
+    from collections import Counter
+
+    from flowloom.functions.shared import stored as kept
+    from flowloom.operators import blocks, regression, stretches
+    from flowloom.plans import analysis
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(stretches, "FEATURES_AT_ONCE", 100)
+    docs = odd_texts(spark, 400).unionAll(spark.createDataFrame([(900 + i, f"tested and created {w}ed with that ed Station it is zzed or ëed. asked NATION bed") for i, w in enumerate("abc")], "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = kept(analysis.relation_texts(spark, str(tmp_path)))
+    size = 32
+    packed = kept(stretches.stretch_blocks(docs, analysis.activity_pairs, size))
+    assert packed.count() > 5 and rows.count() > 30
+    for iterations in (0, 5, 20):
+        pipeline = scoring.fit_texts(rows, features=size, iterations=iterations)
+        lr = pipeline.stages[-1]
+        model = regression.fit(packed, (1.0,) * 4, size, iterations=iterations, opened=stretches.opened)
+        assert np.allclose(model.coefficients, lr.coefficientMatrix.toArray(), atol=1e-5)
+        assert np.allclose(model.intercepts, lr.interceptVector.toArray(), atol=1e-5)
+    want = Counter((r.doc_id, r.label, r.prediction) for r in pipeline.transform(scoring.text_words(rows)).collect())
+    got = regression.predicted(model, packed, opened=stretches.opened, keys=stretches.KEYS).collect()
+    assert Counter((r.doc_id, r.label, r.prediction) for r in got) == want and len({w[1] for w in want}) == 3
+    pairs = {(r.doc_id, *r.pair_id) for r in analysis.related_activities(spark, str(tmp_path)).collect()}
+    assert {tuple(r[:3]) for r in got} == pairs and len(got) == len(pairs)
