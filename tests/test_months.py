@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from flowloom import plans
+from flowloom.plans.fixtures import monthly
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +28,12 @@ def test_months_share_a_document(spark, events, name, n):
     got = [tuple(r) for r in plans.QUERIES[name](spark, d).collect()]
     assert sorted(got, key=repr) == sorted(con.execute(plans.ORACLES[name]).fetchall(), key=repr)
     assert n is None or len(got) == n
+
+
+@pytest.mark.parametrize("name", ["g15_nested_gateways", "a2_nested_per_parent", "g10_without_merge", "x1_split_points", "x6_branch_starts", "x8_branch_relations", "t17_capped_relations"])
+def test_more_queries_over_whole_documents(spark, events, name):
+    """As SQL has them, and not what the months give each for itself."""
+    con, d = events
+    got = sorted((tuple(r) for r in plans.QUERIES[name](spark, d).collect()), key=repr)
+    assert got == sorted(con.execute(plans.ORACLES[name]).fetchall(), key=repr)
+    assert got != sorted(con.execute(monthly(plans.ORACLES[name])).fetchall(), key=repr)
