@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are worked on at a time; bits of a :func:`bitmap` at most (32 MB).
@@ -74,17 +74,38 @@ def may_hold(bits: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
+def packed(keys: DataFrame, rows: int, part_rows: int = 1 << 20) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """``a, b`` in order for each ``kind`` and ``n`` of a table with about ``rows`` keys; tasks sort and pack them, so that
+    the driver gets twelve bytes a key."""
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("kind", pa.int32()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int32())]))
+        kind, n, a, b = (c.to_numpy() for c in table.columns)
+        order = np.lexsort((b.view(np.uint32), a, n, kind))
+        kind, n, a, b = (c[order] for c in (kind, n, a, b))
+        for at in np.split(np.arange(len(a)), np.flatnonzero((np.diff(n) != 0) | (np.diff(kind) != 0)) + 1) if len(a) else []:
+            i, j = at[0], at[-1] + 1
+            values = [kind[i : i + 1], n[i : i + 1], [a[i:j].tobytes()], [b[i:j].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["kind", "n", "a", "b"])
+
+    cut = keys.select(F.col("kind").cast("int"), F.col("n").cast("int"), "a", "b").repartitionByRange(max(1, -(-rows // part_rows)), "a")
+    found: dict = {}
+    for kind, n, a, b in zip(*(c.to_pylist() for c in cut.mapInArrow(run, "kind int, n int, a binary, b binary").toArrow().columns)):
+        found.setdefault((kind, n), []).append((np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32)))
+    return {k: tuple(np.concatenate(x) for x in zip(*sorted(parts, key=lambda p: p[0][0]))) for k, parts in found.items()}
+
+
 class KeySet:
-    """Keys in order, behind a bitmap."""
+    """Keys in the order of :func:`packed`, behind a bitmap."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray):
-        order = np.lexsort((b, a))
-        self.a, self.b, self.bits = a[order], b[order], bitmap(a)
+        self.a, self.b, self.bits = a, b, bitmap(a.view(np.uint64))
 
     def places(self, a: np.ndarray, b: np.ndarray, there: np.ndarray) -> np.ndarray:
         """Of the places ``there`` those whose key is held."""
         there = there[may_hold(self.bits, a[there])]
-        left, right = np.searchsorted(self.a, a[there]), np.searchsorted(self.a, a[there], "right")
+        asked = a[there].view(np.int64)
+        left, right = np.searchsorted(self.a, asked), np.searchsorted(self.a, asked, "right")
         found, more = np.zeros(len(there), bool), left < right
         while more.any():  # a second round where keys share their first 64 bits alone
             found[more] |= self.b[left[more]] == b[there[more]]
