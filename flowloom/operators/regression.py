@@ -72,14 +72,14 @@ def _counted(rows: DataFrame, labels: int, size: int, opened: Callable) -> tuple
 
 def fit(rows: DataFrame, weights: tuple[float, ...], size: int, first: int = 0, iterations: int = 5, penalty: float = 1e-3, tolerance: float = 1e-6, opened: Callable = blocks.opened) -> Regression:
     """Fit stored blocks (as ``opened`` gives them) with the ``weights`` of their labels: class ``first`` + label for each row; classes
-    before ``first`` have none, and those after the last label with rows are left out.
+    before ``first`` have none, and those after the last label with rows are left out. Without rows all is 0.
 
     Features are divided by their standard deviations (those without any are left out) and centred, the squares of the
     coefficients are penalised, intercepts begin at the logarithms of the classes' weights.
     """
     tokens, sums, squares = _counted(rows, len(weights), size, opened)
     if not tokens.any():
-        raise ValueError("no rows to fit")
+        return Regression(np.zeros((first + len(weights), size)), np.zeros(first + len(weights)))
     last = int(np.flatnonzero(tokens)[-1]) + 1
     tokens, sums, squares, each = tokens[:last], sums[:last], squares[:last], np.array(weights[:last], float)
     classes, weight = first + last, float(tokens @ each)

@@ -302,3 +302,12 @@ def test_regression_over_stretches_is_spark_mls(spark, tmp_path, monkeypatch):
     assert Counter((r.doc_id, r.label, r.prediction) for r in got) == want and len({w[1] for w in want}) == 3
     pairs = {(r.doc_id, *r.pair_id) for r in analysis.related_activities(spark, str(tmp_path)).collect()}
     assert {tuple(r[:3]) for r in got} == pairs and len(got) == len(pairs)
+
+
+def test_texts_without_rows(spark, tmp_path):
+    from flowloom import plans
+
+    odd_texts(spark, 0).filter("text IS NULL OR text = ''").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("m1_token_scores", "m3_relation_scores", "m7_full_training", "m4_trained_ensemble", "k1_mined_lexicon"):
+        assert plans.QUERIES[name](spark, str(tmp_path)).isEmpty()
+    assert {r.value for r in plans.QUERIES["m8_trained_history"](spark, str(tmp_path)).collect()} == {0.0}
